@@ -17,8 +17,7 @@ from clubhouse.operators.ids import with_new_ids
 from clubhouse.operators.load import refresh_to_par
 from clubhouse.operators.quality import (
     cascade_events,
-    check_references,
-    check_table,
+    check_changed_rows,
     duplicate_ids,
     refuse,
     rows_in_use,
@@ -40,13 +39,6 @@ class Change:
     not_found: DataFrame | None = None
 
 
-def _checked(tables: Tables, table: str) -> Tables:
-    check_table(getattr(tables, table), table)
-    if table in schemas.REFERENCES:
-        check_references(tables)
-    return tables
-
-
 def insert_rows(tables: Tables, table: str, rows: DataFrame) -> Change:
     """Add rows under new ids, after checking keys, references and required values.
 
@@ -62,7 +54,8 @@ def insert_rows(tables: Tables, table: str, rows: DataFrame) -> Change:
     order = [c for c in filled.columns if c != "id"]
     added = conform(with_new_ids(filled, current, order), table)
     after = tables.with_tables(**{table: conform(current, table).unionByName(added)})
-    return Change(_checked(after, table), added)
+    check_changed_rows(after, table, added, added.columns)
+    return Change(after, added)
 
 
 def not_found(table: DataFrame, ids: DataFrame) -> DataFrame:
@@ -96,8 +89,8 @@ def update_rows(
     after = tables.with_tables(**{table: joined})
     if refresh and table == "scores":
         after = after.with_tables(scores=refresh_to_par(after))
-    _checked(after, table)
     affected = getattr(after, table).join(changes.select("id"), "id", "left_semi")
+    check_changed_rows(after, table, affected, columns)
     return Change(after, affected, not_found(current, changes))
 
 

@@ -66,10 +66,11 @@ def reference_counts(tables: Tables, table: str, target: str) -> DataFrame:
     )
 
 
-def orphans(tables: Tables) -> DataFrame:
+def orphans(tables: Tables, of: list[str] = ("events", "scores")) -> DataFrame:
     """References to rows that do not exist: (table, column, id, rows)."""
     found = []
-    for table, references in schemas.REFERENCES.items():
+    for table in of:
+        references = schemas.REFERENCES[table]
         for target in dict.fromkeys(to for _, to, _ in references):
             counts = reference_counts(tables, table, target)
             missing = counts.join(getattr(tables, target).select("id"), "id", "left_anti")
@@ -125,17 +126,39 @@ def refuse(bad: DataFrame, message: str, shown: int = 5) -> None:
         raise IntegrityError(f"{message}: {listed}")
 
 
-def check_table(df: DataFrame, table: str) -> None:
-    """Required values, text lengths and unique key of one table, or raise."""
+def check_values(df: DataFrame, table: str) -> None:
+    """Required values and text lengths of some rows of a table, or raise."""
     one = {table: df}
     refuse(missing_values(one).where("rows > 0"), f"{table}: required value missing")
     if table in schemas.MAX_LENGTH:
         refuse(text_lengths(one).where("NOT fits"), f"{table}: text too long")
+
+
+def check_table(df: DataFrame, table: str) -> None:
+    """Required values, text lengths and unique key of a whole table, or raise."""
+    check_values(df, table)
     refuse(duplicate_keys(df, table), f"{table}: duplicate key")
 
 
-def check_references(tables: Tables) -> None:
-    refuse(orphans(tables), "reference to a missing row")
+def check_changed_rows(tables: Tables, table: str, changed: DataFrame, columns: list[str]) -> None:
+    """What new or changed rows of a table could break, or raise.
+
+    ``tables`` already holds them. Keys and references are looked at only if
+    one of their ``columns`` was set, and then only those of the changed rows.
+    """
+    check_values(changed, table)
+    key = schemas.UNIQUE_KEYS[table]
+    if set(key) & set(columns):
+        keys = changed.select(*key_columns(table)).distinct()
+        rivals = getattr(tables, table).select(*key_columns(table))
+        refuse(
+            duplicate_keys(rivals.join(keys, key, "left_semi"), table), f"{table}: duplicate key"
+        )
+    if any(c in columns for c, _, _ in schemas.REFERENCES.get(table, [])):
+        refuse(
+            orphans(tables.with_tables(**{table: changed}), [table]),
+            f"{table}: reference to a missing row",
+        )
 
 
 def rows_in_use(tables: Tables, target: str, ids: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubhouse.functions.scoring import location
@@ -17,8 +17,13 @@ EVENT_COLUMNS = [
 ]
 BRIEF_COLUMNS = ["id", "name", "date", "course_id", "season"]
 
-NEWEST_FIRST = [F.desc_nulls_first("date"), F.desc_nulls_first("id")]
-OLDEST_FIRST = [F.asc_nulls_last("date"), F.asc_nulls_last("id")]
+
+def newest_first() -> list[Column]:
+    return [F.desc_nulls_first("date"), F.desc_nulls_first("id")]
+
+
+def oldest_first() -> list[Column]:
+    return [F.asc_nulls_last("date"), F.asc_nulls_last("id")]
 
 
 def with_course(events: DataFrame, tables: Tables, *columns: str) -> DataFrame:
@@ -51,7 +56,7 @@ def event_facts(tables: Tables) -> DataFrame:
 def event_list(tables: Tables, ordered: bool = True) -> DataFrame:
     """All events with course name and par, newest first."""
     listed = with_course(tables.events.select(*EVENT_COLUMNS), tables, "name", "par")
-    return listed.orderBy(*NEWEST_FIRST) if ordered else listed
+    return listed.orderBy(*newest_first()) if ordered else listed
 
 
 def event_list_with_location(tables: Tables, ordered: bool = True) -> DataFrame:
@@ -65,7 +70,7 @@ def event_list_with_location(tables: Tables, ordered: bool = True) -> DataFrame:
         location("course_city", "course_state").alias("course_location"),
         "course_par",
     )
-    return listed.orderBy(*NEWEST_FIRST) if ordered else listed
+    return listed.orderBy(*newest_first()) if ordered else listed
 
 
 def event_by_id(tables: Tables, event_id: int) -> DataFrame:
@@ -74,6 +79,15 @@ def event_by_id(tables: Tables, event_id: int) -> DataFrame:
     return with_course_of_few(one, tables, "name", "par")
 
 
+def with_ids(listed: DataFrame, ids: DataFrame) -> DataFrame:
+    """A listing narrowed to a frame of ids: one row per id, ``found`` or not."""
+    wanted = ids.select("id").where(F.col("id").isNotNull()).distinct()
+    found = listed.withColumn("found", F.lit(True))
+    return wanted.join(found, "id", "left").withColumn(
+        "found", F.coalesce("found", F.lit(False))
+    )
+
+
 def _around(tables: Tables, condition, order) -> DataFrame:
     picked = tables.events.where(condition).select(*BRIEF_COLUMNS).orderBy(*order).limit(1)
     return with_course_of_few(picked, tables, "name", "par")
@@ -81,12 +95,12 @@ def _around(tables: Tables, condition, order) -> DataFrame:
 
 def latest_event(tables: Tables, as_of: dt.date) -> DataFrame:
     """The last event on or before a date, finalized or not."""
-    return _around(tables, F.col("date") <= F.lit(as_of), NEWEST_FIRST)
+    return _around(tables, F.col("date") <= F.lit(as_of), newest_first())
 
 
 def next_event(tables: Tables, as_of: dt.date) -> DataFrame:
     """The first event after a date."""
-    return _around(tables, F.col("date") > F.lit(as_of), OLDEST_FIRST)
+    return _around(tables, F.col("date") > F.lit(as_of), oldest_first())
 
 
 def _named_with_course(picked: DataFrame, tables: Tables, order) -> DataFrame:
@@ -100,11 +114,11 @@ def _named_with_course(picked: DataFrame, tables: Tables, order) -> DataFrame:
 def upcoming_events(tables: Tables, as_of: dt.date, n: int = 3) -> DataFrame:
     """The next n events on or after a date that are not finalized."""
     open_events = tables.events.where(~F.col("finalized") & (F.col("date") >= F.lit(as_of)))
-    picked = open_events.select("id", "name", "date", "course_id").orderBy(*OLDEST_FIRST).limit(n)
-    return _named_with_course(picked, tables, OLDEST_FIRST)
+    picked = open_events.select("id", "name", "date", "course_id").orderBy(*oldest_first()).limit(n)
+    return _named_with_course(picked, tables, oldest_first())
 
 
 def latest_finalized(tables: Tables, n: int) -> DataFrame:
     """The last n finalized events."""
     done = tables.events.where("finalized").select("id", "name", "date", "course_id")
-    return _named_with_course(done.orderBy(*NEWEST_FIRST).limit(n), tables, NEWEST_FIRST)
+    return _named_with_course(done.orderBy(*newest_first()).limit(n), tables, newest_first())

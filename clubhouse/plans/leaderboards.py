@@ -167,15 +167,14 @@ def _snippet_scores(tables: Tables, latest: DataFrame) -> DataFrame:
     return tables.scores.where((F.col("event_id") == event) & is_counted())
 
 
-SNIPPET_ORDER = [
-    F.asc_nulls_last("placement"), F.asc_nulls_last("strokes"), F.asc_nulls_last("id"),
-]
+def _snippet_order() -> list[Column]:
+    return [F.asc_nulls_last(c) for c in ("placement", "strokes", "id")]
 
 
 def leaderboard_snippet(tables: Tables, n: int = 5) -> DataFrame:
     """The first n counted scores of the newest finalized event."""
     latest = latest_finalized(tables, 1)
-    top = _snippet_scores(tables, latest).orderBy(*SNIPPET_ORDER).limit(n)
+    top = _snippet_scores(tables, latest).orderBy(*_snippet_order()).limit(n)
     event = latest.select(F.struct("name", "date", "course")).scalar()
     return (
         add_names_to_few(top, tables, "compact")
@@ -184,7 +183,7 @@ def leaderboard_snippet(tables: Tables, n: int = 5) -> DataFrame:
             "event_id", "event.name", "event.date", "event.course", "id", "placement",
             "strokes", "to_par", *_team_columns(),
         )
-        .orderBy(*SNIPPET_ORDER)
+        .orderBy(*_snippet_order())
     )
 
 
@@ -199,7 +198,7 @@ def leaderboard_snippet_outer(tables: Tables, n: int = 5) -> DataFrame:
     top = (
         tables.scores.where(event)
         .withColumn("counted", is_counted())
-        .orderBy(F.desc("counted"), *SNIPPET_ORDER)
+        .orderBy(F.desc("counted"), *_snippet_order())
         .limit(n)
     )
     shown = [
@@ -221,7 +220,7 @@ def leaderboard_snippet_outer(tables: Tables, n: int = 5) -> DataFrame:
             F.coalesce("player_ids", F.array().cast("array<bigint>")).alias("player_ids"),
             F.coalesce("team_name", F.lit("")).alias("team_name"),
         )
-        .orderBy(*SNIPPET_ORDER)
+        .orderBy(*_snippet_order())
     )
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clubhouse.functions.labels import two_decimal_label
 from clubhouse.functions.names import joined_name
 from clubhouse.functions.scoring import is_win, two_decimals
 from clubhouse.operators.joins import lookup
@@ -115,3 +116,19 @@ def top_players(tables: Tables, n: int = 10) -> DataFrame:
 
 def top_by_event_name(tables: Tables, n: int = 10) -> DataFrame:
     return _best_first(wins_by_event_name(tables), "player_id", "event_name").limit(n)
+
+
+def ranked_top_players(tables: Tables, n: int = 10) -> DataFrame:
+    """The top players with their place in the list and wins as two-decimal text."""
+    # The window sees the n rows of the list only.
+    place = Window.orderBy(
+        F.desc("career_wins"), F.desc("events_played"), F.asc_nulls_last("name"), "player_id"
+    )
+    return top_players(tables, n).select(
+        F.row_number().over(place).alias("rank"),
+        "player_id",
+        "name",
+        two_decimal_label("career_wins").alias("wins"),
+        two_decimal_label("major_wins").alias("majors"),
+        F.col("events_played").alias("events"),
+    )
