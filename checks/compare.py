@@ -1,6 +1,8 @@
 """Run every registered query next to its SQL and report differences.
 
-    python -m checks.compare [sf_dir] [query ...]
+    python -m checks.compare [--shuffled] [sf_dir] [query ...]
+
+``--shuffled`` treats every table as too large to broadcast.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ import duckdb
 from pyspark.sql import DataFrame
 
 from checks.oracles import ORACLES
-from checks.queries import QUERIES, on_driver_tables
+from checks.queries import QUERIES
+from clubhouse.binding import bound_tables
 from clubhouse.session import local_session
+from clubhouse.tables import BROADCAST_ROWS
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -39,7 +43,7 @@ def _rows(table) -> tuple[dict[str, str], Counter]:
 def difference(df: DataFrame, db: duckdb.DuckDBPyConnection, sql: str) -> str:
     """Empty if both give the same columns, types and rows in any order."""
     have_types, have = _rows(df.toArrow())
-    want_types, want = _rows(db.execute(sql).to_arrow_table())
+    want_types, want = _rows(db.sql(sql).to_arrow_table())
     if have_types != want_types:
         return f"types: {sorted(set(have_types.items()) ^ set(want_types.items()))}"
     if have != want:
@@ -48,15 +52,19 @@ def difference(df: DataFrame, db: duckdb.DuckDBPyConnection, sql: str) -> str:
     return ""
 
 
-def main(sf_dir: str = "/root/testdata/sf0.01", *names: str) -> int:
+def main(*arguments: str) -> int:
+    shuffled = "--shuffled" in arguments
+    sf_dir, *names = [a for a in arguments if a != "--shuffled"] or ["/root/testdata/sf0.01"]
     spark = local_session(8, **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    if shuffled:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tables = bound_tables(spark, sf_dir, 0 if shuffled else BROADCAST_ROWS)
     db = database(sf_dir)
     failures = 0
     for name in names or QUERIES:
         start = time.time()
-        df = on_driver_tables(QUERIES[name])(spark, sf_dir)
         try:
-            found = difference(df, db, ORACLES[name])
+            found = difference(QUERIES[name](tables), db, ORACLES[name])
         except Exception as error:  # report it and go on with the next query
             found = f"{type(error).__name__}: {str(error)[:600]}"
         failures += bool(found)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clubhouse.functions.names import full_name
-from clubhouse.tables import Tables, conform
+from clubhouse.tables import BROADCAST_ROWS, Tables, conform
 
 AS_OF = dt.date(1999, 6, 30)
 
@@ -77,19 +77,22 @@ def _scores(lineitem: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=16)
-def _bound(spark: SparkSession, application: str, sf_dir: str) -> Tables:
+def _bound(spark: SparkSession, application: str, sf_dir: str, broadcast_rows: int) -> Tables:
     nation = _read(spark, sf_dir, "nation")
     return Tables(
         players=conform(_players(_read(spark, sf_dir, "customer"), nation), "players"),
         courses=conform(_courses(_read(spark, sf_dir, "supplier"), nation), "courses"),
         events=conform(_events(_read(spark, sf_dir, "orders")), "events"),
         scores=conform(_scores(_read(spark, sf_dir, "lineitem")), "scores"),
+        broadcast_rows=broadcast_rows,
     )
 
 
-def bound_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def bound_tables(
+    spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS
+) -> Tables:
     """League tables over ``sf_dir``; one object per session, so counts are kept."""
-    return _bound(spark, spark.sparkContext.applicationId, sf_dir)
+    return _bound(spark, spark.sparkContext.applicationId, sf_dir, broadcast_rows)
 
 
 def bound_sheet(tables: Tables) -> DataFrame:
