@@ -34,13 +34,6 @@ def _ids_as_text(df: DataFrame) -> DataFrame:
     return df.withColumn("player_ids", F.array_join("player_ids", ","))
 
 
-def _line(*columns) -> Column:
-    """Columns as one text, "-" for NULL."""
-    return F.concat_ws(
-        "|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]
-    )
-
-
 # -- reports ---------------------------------------------------------------
 
 
@@ -70,34 +63,50 @@ def _podium_documents(t: Tables) -> DataFrame:
 
 
 def _homepage(t: Tables) -> DataFrame:
-    page = homepage.homepage(t, AS_OF)
-    rows = ["section", "pos", "sub", "id", "name", "detail"]
-    none = F.lit(0).alias("sub")
-
-    def section(name: str, df: DataFrame, *detail: str) -> DataFrame:
-        named = df.withColumns({"section": F.lit(name), "detail": _line(*detail)})
-        return named.select(*rows)
+    def line(*values: Column) -> Column:
+        texts = [F.coalesce(v.cast("string"), F.lit("-")) for v in values]
+        return F.concat_ws("|", *texts)
+
+    def row(section: str, pos, sub, id, name, detail) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), pos.alias("pos"), sub.alias("sub"), id.alias("id"),
+            name.alias("name"), detail.alias("detail"),
+        )
 
-    upcoming = page.select(F.posexplode("upcomingEvents").alias("pos", "e")).select(
-        "pos", none, "e.*"
-    )
-    shown = page.select(F.posexplode("latestEvents").alias("pos", "e")).select(
-        "pos", "e.id", F.posexplode("e.podium").alias("sub", "p")
-    ).select("pos", "sub", "id", F.col("p.teamName").alias("name"), "p.*")
-    snippet = page.select(
-        "leaderboardSnippet.event.id", F.posexplode("leaderboardSnippet.rows").alias("pos", "r")
-    ).select("pos", none, "id", F.col("r.teamName").alias("name"), "r.*")
-    best = page.select(F.posexplode("topPlayers").alias("pos", "b")).select(
-        "pos", none, F.col("b.player_id").alias("id"), "b.name", "b.career_wins",
-        "b.events_played", "b.major_wins",
-    )
-    line = ("placement", "strokes", "toPar")
-    return (
-        section("upcoming", upcoming, "date", "course")
-        .unionByName(section("podium", shown, *line))
-        .unionByName(section("snippet", snippet, *line))
-        .unionByName(section("players", best, "career_wins", "events_played", "major_wins"))
+    none = F.lit(0)
+
+    def result(section: str, pos, sub, id, r) -> Column:
+        return row(section, pos, sub, id, r.teamName, line(r.placement, r.strokes, r.toPar))
+
+    snippet = F.col("leaderboardSnippet")
+    page = homepage.homepage(t, AS_OF).select(
+        F.concat(
+            F.transform(
+                "upcomingEvents",
+                lambda e, i: row("upcoming", i, none, e.id, e["name"], line(e.date, e.course)),
+            ),
+            F.flatten(
+                F.transform(
+                    "latestEvents",
+                    lambda e, i: F.transform(
+                        e.podium, lambda p, j: result("podium", i, j, e.id, p)
+                    ),
+                )
+            ),
+            F.transform(
+                snippet.getField("rows"),
+                lambda r, i: result("snippet", i, none, snippet.event.id, r),
+            ),
+            F.transform(
+                "topPlayers",
+                lambda b, i: row(
+                    "players", i, none, b.player_id, b["name"],
+                    line(b.career_wins, b.events_played, b.major_wins),
+                ),
+            ),
+        ).alias("rows")
     )
+    return page.select(F.inline("rows"))
 
 
 def _event_with_teams(t: Tables) -> DataFrame:

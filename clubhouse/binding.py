@@ -22,6 +22,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Give every core some rows of a file that a single task has to read.
+
+    A table of many files has tasks enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _courses(supplier: DataFrame, nation: DataFrame) -> DataFrame:
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         (F.col("s_suppkey") + 1).alias("id"),
@@ -82,8 +91,8 @@ def _bound(spark: SparkSession, application: str, sf_dir: str, broadcast_rows: i
     return Tables(
         players=conform(_players(_read(spark, sf_dir, "customer"), nation), "players"),
         courses=conform(_courses(_read(spark, sf_dir, "supplier"), nation), "courses"),
-        events=conform(_events(_read(spark, sf_dir, "orders")), "events"),
-        scores=conform(_scores(_read(spark, sf_dir, "lineitem")), "scores"),
+        events=conform(_events(_spread(_read(spark, sf_dir, "orders"))), "events"),
+        scores=conform(_scores(_spread(_read(spark, sf_dir, "lineitem"))), "scores"),
         broadcast_rows=broadcast_rows,
     )
 

@@ -16,24 +16,28 @@ def ordered_list(fields: list, order: list) -> Column:
     """
     keys = [k for o in order for k in (_col(o).isNull(), _col(o))]
     entry = F.struct(F.struct(*keys).alias("key"), F.struct(*fields).alias("value"))
-    return F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["value"])
+    return F.sort_array(F.collect_list(entry)).getField("value")
+
+
+def crowded_groups(rows: DataFrame, group: str, rows_per_part: int) -> DataFrame:
+    """The groups of more than ``rows_per_part`` rows and how many ``parts`` they need."""
+    return (
+        rows.groupBy(group)
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__rows") > rows_per_part)
+        .select(group, F.ceil(F.col("__rows") / rows_per_part).cast("int").alias("parts"))
+    )
 
 
 def in_parts(
-    rows: DataFrame, group: str, rows_per_part: int, few_groups: bool = False
+    rows: DataFrame, group: str, crowded: DataFrame, few_groups: bool = False
 ) -> DataFrame:
-    """Add ``part``: 0 in an ordinary group, 0, 1, … in one of more than
-    ``rows_per_part`` rows, so that a part keeps to about that size.
+    """Add ``part``: 0 in an ordinary group; in a crowded one 0, 1, … so that a
+    part keeps to about the size wanted.
 
     ``few_groups`` says that the crowded groups are known to be few enough to
     be broadcast. Rows need an ``id``.
     """
-    crowded = (
-        rows.groupBy(group)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > rows_per_part)
-        .select(group, F.ceil(F.col("__rows") / rows_per_part).alias("__parts"))
-    )
     found = lookup(rows, crowded, [group], small=few_groups, keys_from=rows.select(group))
-    part = F.pmod(F.xxhash64("id"), F.coalesce("__parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
     return found.select(*rows.columns, part.cast("int").alias("part"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +26,24 @@ def members(scores: DataFrame, distinct: bool = False) -> DataFrame:
 
     A player who fills two slots of a row counts twice unless ``distinct``.
     """
-    ids = names.player_ids(*SLOT_IDS)
-    if distinct:
-        ids = F.array_distinct(ids)
     kept = [c for c in scores.columns if c not in SLOT_IDS]
-    return scores.select(*kept, F.explode(ids).alias("player_id"))
+    return explode_slots(scores, SLOT_IDS, "player_id", distinct).select(*kept, "player_id")
+
+
+def explode_slots(
+    df: DataFrame, slots: list[str], output: str, distinct: bool = False
+) -> DataFrame:
+    """One row per filled slot, all columns kept. With ``distinct`` a slot that
+    repeats an earlier one of its row counts as empty."""
+    values = [F.col(slot) for slot in slots]
+    if distinct:
+        for i in range(1, len(slots)):
+            repeats = reduce(or_, [F.col(slots[i]).eqNullSafe(F.col(s)) for s in slots[:i]])
+            values[i] = F.when(~repeats, values[i])
+    # Filtering after the explode stays in generated code; array functions that
+    # drop NULLs beforehand do not.
+    exploded = df.select("*", F.explode(F.array(*values)).alias(output))
+    return exploded.where(F.col(output).isNotNull())
 
 
 def fill_slots(
@@ -99,7 +114,7 @@ def add_names_to_few(df: DataFrame, tables: Tables, style: str = "full") -> Data
     labels, at most four per row, come back as one map value.
     """
     label = NAME_STYLES[style]("first_name", "last_name")
-    wanted = df.select(F.explode(names.player_ids(*SLOT_IDS)).alias("id")).distinct()
+    wanted = explode_slots(df.select(*SLOT_IDS), SLOT_IDS, "id").select("id").distinct()
     labels = (
         tables.players.join(F.broadcast(wanted), "id", "left_semi")
         .agg(F.map_from_entries(F.collect_list(F.struct("id", label.alias("label")))).alias("m"))
@@ -119,28 +134,28 @@ def hydrate_names(
     An id without a player reads "Player #id". ``key`` identifies a row.
     """
     label = names.compact_name("first_name", "last_name")
-    placed = df.select(*key, F.posexplode(ids).alias("__pos", "__player"))
+    others = [c for c in df.columns if c not in (*key, ids)]
+    placed = df.select(*key, *others, F.posexplode_outer(ids).alias("__pos", "__player"))
     found = lookup(
         placed,
         tables.players.select(F.col("id").alias("__player"), label.alias("__label")),
         ["__player"],
         small=tables.is_small("players"),
-    ).withColumn(
-        "__label",
-        F.coalesce("__label", F.concat(F.lit("Player #"), F.col("__player").cast("string"))),
-    )
-    # An array is one row's value, so a regrouped list is never longer than that.
-    joined = found.groupBy(*key).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("__pos", "__label"))),
-                lambda entry: entry["__label"],
-            ),
-            names.TEAM_SEPARATOR,
-        ).alias("names")
     )
+    number = F.concat(F.lit("Player #"), F.col("__player").cast("string"))
+    entry = F.struct("__pos", "__player", F.coalesce("__label", number).alias("__label"))
+    # A list holds the entries of one row's array, so it is never longer than that.
+    entries = F.sort_array(F.collect_list(F.when(F.col("__pos").isNotNull(), entry)))
     return (
-        df.join(joined, key, "left")
-        .withColumn("names", F.coalesce("names", F.lit("")))
+        found.groupBy(*key)
+        .agg(entries.alias("__entries"), *[F.any_value(c).alias(c) for c in others])
+        .withColumns(
+            {
+                ids: F.col("__entries").getField("__player"),
+                "names": F.array_join(
+                    F.col("__entries").getField("__label"), names.TEAM_SEPARATOR
+                ),
+            }
+        )
         .select(*df.columns, "names")
     )

@@ -35,8 +35,10 @@ def with_course(events: DataFrame, tables: Tables, *columns: str) -> DataFrame:
 
 
 def with_course_of_few(events: DataFrame, tables: Tables, *columns: str) -> DataFrame:
-    """``with_course`` for a frame that a LIMIT keeps to a few rows: the courses
-    they name are picked out of the table and broadcast, at most one per row."""
+    """``with_course`` for a frame that a LIMIT keeps to a few rows: of a large
+    course table only the courses they name are broadcast, at most one per row."""
+    if tables.is_small("courses"):
+        return with_course(events, tables, *columns)
     wanted = events.select(F.col("course_id").alias("id")).distinct()
     picked = tables.courses.join(F.broadcast(wanted), "id", "left_semi").select(
         F.col("id").alias("course_id"), *[F.col(c).alias(f"course_{c}") for c in columns]
@@ -88,26 +90,32 @@ def with_ids(listed: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def _around(tables: Tables, condition, order) -> DataFrame:
-    picked = tables.events.where(condition).select(*BRIEF_COLUMNS).orderBy(*order).limit(1)
-    return with_course_of_few(picked, tables, "name", "par")
+def pick_latest(tables: Tables, as_of: dt.date) -> DataFrame:
+    """The last event on or before a date, without its course."""
+    past = tables.events.where(F.col("date") <= F.lit(as_of)).select(*BRIEF_COLUMNS)
+    return past.orderBy(*newest_first()).limit(1)
+
+
+def pick_finalized(tables: Tables, n: int) -> DataFrame:
+    """The last n finalized events, without their courses."""
+    done = tables.events.where("finalized").select("id", "name", "date", "course_id")
+    return done.orderBy(*newest_first()).limit(n)
 
 
 def latest_event(tables: Tables, as_of: dt.date) -> DataFrame:
     """The last event on or before a date, finalized or not."""
-    return _around(tables, F.col("date") <= F.lit(as_of), newest_first())
+    return with_course_of_few(pick_latest(tables, as_of), tables, "name", "par")
 
 
 def next_event(tables: Tables, as_of: dt.date) -> DataFrame:
     """The first event after a date."""
-    return _around(tables, F.col("date") > F.lit(as_of), oldest_first())
+    coming = tables.events.where(F.col("date") > F.lit(as_of)).select(*BRIEF_COLUMNS)
+    return with_course_of_few(coming.orderBy(*oldest_first()).limit(1), tables, "name", "par")
 
 
-def _named_with_course(picked: DataFrame, tables: Tables, order) -> DataFrame:
-    return (
-        with_course_of_few(picked, tables, "name")
-        .select("id", "name", "date", F.col("course_name").alias("course"))
-        .orderBy(*order)
+def _named_with_course(picked: DataFrame, tables: Tables) -> DataFrame:
+    return with_course_of_few(picked, tables, "name").select(
+        "id", "name", "date", F.col("course_name").alias("course")
     )
 
 
@@ -115,10 +123,9 @@ def upcoming_events(tables: Tables, as_of: dt.date, n: int = 3) -> DataFrame:
     """The next n events on or after a date that are not finalized."""
     open_events = tables.events.where(~F.col("finalized") & (F.col("date") >= F.lit(as_of)))
     picked = open_events.select("id", "name", "date", "course_id").orderBy(*oldest_first()).limit(n)
-    return _named_with_course(picked, tables, oldest_first())
+    return _named_with_course(picked, tables).orderBy(*oldest_first())
 
 
 def latest_finalized(tables: Tables, n: int) -> DataFrame:
-    """The last n finalized events."""
-    done = tables.events.where("finalized").select("id", "name", "date", "course_id")
-    return _named_with_course(done.orderBy(*newest_first()).limit(n), tables, newest_first())
+    """The last n finalized events with their course names, newest first."""
+    return _named_with_course(pick_finalized(tables, n), tables).orderBy(*newest_first())

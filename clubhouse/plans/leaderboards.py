@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clubhouse.functions.names import TEAM_SEPARATOR, compact_team_name, player_ids
 from clubhouse.functions.scoring import is_counted, to_par
 from clubhouse.operators.joins import lookup
-from clubhouse.operators.nesting import in_parts, ordered_list
+from clubhouse.operators.nesting import crowded_groups, in_parts, ordered_list
 from clubhouse.operators.slots import add_names_to_few, add_player_names, hydrate_names
 from clubhouse.plans.events import (
     EVENT_COLUMNS,
@@ -18,6 +18,8 @@ from clubhouse.plans.events import (
     event_list_with_location,
     latest_event,
     latest_finalized,
+    pick_finalized,
+    pick_latest,
 )
 from clubhouse.schemas import SLOT_IDS, SLOT_NAMES
 from clubhouse.tables import Tables
@@ -87,12 +89,11 @@ def score_list(tables: Tables, ordered: bool = True) -> DataFrame:
 
 def latest_event_top(tables: Tables, as_of: dt.date, n: int = 5) -> DataFrame:
     """The first n scores of the latest event, disqualified ones included."""
-    latest = latest_event(tables, as_of)
     # One value: the scan of the scores gets it as a pushed filter.
-    scores = tables.scores.where(F.col("event_id") == latest.select("id").scalar())
+    event = pick_latest(tables, as_of).select("id").scalar()
     order = [F.asc_nulls_last("placement"), F.asc_nulls_last("id")]
-    top = scores.orderBy(*order).limit(n)
-    par = latest.select("course_par").scalar()
+    top = tables.scores.where(F.col("event_id") == event).orderBy(*order).limit(n)
+    par = latest_event(tables, as_of).select("course_par").scalar()
     return add_names_to_few(top, tables).select(
         "id", "placement", "strokes", to_par("to_par", "strokes", par).alias("to_par"),
         *SLOT_NAMES,
@@ -144,12 +145,9 @@ def podium_documents(
 ) -> DataFrame:
     """One row per event with a nested, ordered ``podium``; an event without a
     podium row is left out. A podium of more rows continues in further parts."""
-    rows = in_parts(
-        _podium_scores(tables, latest_finalized(tables, n)),
-        "event_id",
-        rows_per_part,
-        few_groups=True,  # n events at most
-    )
+    podium = _podium_scores(tables, latest_finalized(tables, n))
+    crowded = crowded_groups(podium, "event_id", rows_per_part)
+    rows = in_parts(podium, "event_id", crowded, few_groups=True)  # n events at most
     entry = [
         "placement", "strokes", F.col("to_par").alias("toPar"),
         player_ids(*SLOT_IDS).alias("playerIds"),
@@ -162,20 +160,15 @@ def podium_documents(
     )
 
 
-def _snippet_scores(tables: Tables, latest: DataFrame) -> DataFrame:
-    event = latest.select("id").scalar()
-    return tables.scores.where((F.col("event_id") == event) & is_counted())
-
-
 def _snippet_order() -> list[Column]:
     return [F.asc_nulls_last(c) for c in ("placement", "strokes", "id")]
 
 
 def leaderboard_snippet(tables: Tables, n: int = 5) -> DataFrame:
     """The first n counted scores of the newest finalized event."""
-    latest = latest_finalized(tables, 1)
-    top = _snippet_scores(tables, latest).orderBy(*_snippet_order()).limit(n)
-    event = latest.select(F.struct("name", "date", "course")).scalar()
+    latest = F.col("event_id") == pick_finalized(tables, 1).select("id").scalar()
+    top = tables.scores.where(latest & is_counted()).orderBy(*_snippet_order()).limit(n)
+    event = latest_finalized(tables, 1).select(F.struct("name", "date", "course")).scalar()
     return (
         add_names_to_few(top, tables, "compact")
         .select("*", event.alias("event"))
@@ -192,7 +185,7 @@ def leaderboard_snippet_outer(tables: Tables, n: int = 5) -> DataFrame:
     NULLs. An event whose scores are all disqualified still yields none. Names
     fall back to "Player #id"."""
     latest = latest_finalized(tables, 1)
-    event = F.col("event_id") == latest.select("id").scalar()
+    event = F.col("event_id") == pick_finalized(tables, 1).select("id").scalar()
     # Counted rows sort before disqualified ones, so that this frame is empty
     # only if the event has no score at all.
     top = (
@@ -238,19 +231,29 @@ def event_with_teams(
         scores = scores.where(F.col("event_id") == event_id)
     # Each crowded event takes more than rows_per_part of the counted rows.
     few_groups = tables.rows("scores") <= rows_per_part * tables.broadcast_rows
-    parted = in_parts(scores, "event_id", rows_per_part, few_groups)
+    crowded = crowded_groups(scores, "event_id", rows_per_part)
     team = [
         "id", "strokes", "placement", "notes",
         *[F.col(n).alias(n.removesuffix("_name")) for n in SLOT_NAMES],
     ]
     teams = (
-        add_player_names(parted, tables, "strict")
+        add_player_names(in_parts(scores, "event_id", crowded, few_groups), tables, "strict")
         .groupBy(F.col("event_id").alias("id"), "part")
         .agg(ordered_list(team, ["id"]).alias("teams"))
     )
+    # The events get a row per part as well, so that the nested lists are
+    # joined where they were built and need not move again.
+    parts = lookup(listed, crowded.withColumnRenamed("event_id", "id"), ["id"], small=few_groups)
+    listed = parts.select(
+        *listed.columns,
+        F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
+    )
     no_teams = F.array().cast(teams.schema["teams"].dataType)
-    return listed.join(teams, "id", "left").select(
-        *EVENT_COLUMNS, "course_name", "course_location", "course_par",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("teams", no_teams).alias("teams"),
+    return (
+        listed.join(teams, ["id", "part"], "left")
+        .where((F.col("part") == 0) | F.col("teams").isNotNull())
+        .select(
+            *EVENT_COLUMNS, "course_name", "course_location", "course_par", "part",
+            F.coalesce("teams", no_teams).alias("teams"),
+        )
     )
