@@ -7,6 +7,7 @@ compared with SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,12 +133,18 @@ def _hydrated_names(t: Tables) -> DataFrame:
 # -- load ------------------------------------------------------------------
 
 
+@lru_cache(maxsize=4)
+def _sheet(t: Tables) -> DataFrame:
+    """The bound tables as a staged sheet, staged once per session."""
+    return load.stage(bound_sheet(t))
+
+
 def _insert_courses(t: Tables) -> DataFrame:
-    return load.insert_courses(t.courses.where("par = 72"), bound_sheet(t))
+    return load.insert_courses(t.courses.where("par = 72"), _sheet(t))
 
 
 def _update_course_par(t: Tables) -> DataFrame:
-    return load.update_course_par(t.courses.withColumn("par", F.lit(72)), bound_sheet(t))
+    return load.update_course_par(t.courses.withColumn("par", F.lit(72)), _sheet(t))
 
 
 def _insert_players(t: Tables) -> DataFrame:
@@ -158,7 +165,7 @@ def _upsert_events(t: Tables) -> DataFrame:
         .where("finalized")
         .withColumns({"finalized": F.lit(False), "season": F.lit(0), "notes": F.lit("kept")})
     )
-    return load.upsert_events(bound_sheet(t), t.with_tables(events=known)).select(
+    return load.upsert_events(_sheet(t), t.with_tables(events=known)).select(
         "id", "name", "date", "course_id", "notes", "season", "is_major", "finalized"
     )
 
@@ -168,11 +175,11 @@ def _insert_scores(t: Tables) -> DataFrame:
         events=_first_events(t), scores=t.scores.where("placement = 1").drop("notes")
     )
     known = known.with_tables(scores=known.scores.withColumn("notes", F.lit("known")))
-    return load.insert_scores(bound_sheet(t), bound_name_map(t), known)
+    return load.insert_scores(_sheet(t), bound_name_map(t), known)
 
 
 def _load_from_staging(t: Tables) -> DataFrame:
-    loaded = load.load_from_staging(bound_sheet(t), bound_name_map(t), empty_tables(t.spark))
+    loaded = load.load_from_staging(_sheet(t), bound_name_map(t), empty_tables(t.spark))
     board = leaderboards.event_scores(loaded, ordered=False)
     about = events.event_list(loaded, ordered=False).select(
         F.col("id").alias("event_id"), F.col("name").alias("event_name"), "date", "season",

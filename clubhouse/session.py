@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +23,13 @@ def local_session(cpus: int | str = "*", app: str = "clubhouse", **settings) ->
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write a frame to the checkpoint directory and go on from there.
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
-    The directory is the one the cluster names in ``spark.checkpoint.dir``, a
-    folder all executors share, so the rows and their partitions stay as they
-    are when an executor is lost. Only a local session without that setting
-    gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session
+    without that setting gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
         if named is None:
@@ -38,4 +37,19 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             named = tempfile.mkdtemp(prefix="clubhouse-checkpoint-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame: its rows and their partitions then stay as they are,
+    also when an executor is lost."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a frame as Parquet to the shared folder and read it from there, for
+    rows that several jobs need, each with its own columns and filters."""
+    path = f"{_shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
