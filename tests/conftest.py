@@ -15,9 +15,13 @@ from clubhouse.tables import Tables, conform  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(
-        8, "tests", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"}
-    )
+    # The tables are tiny, so few and small tasks.
+    settings = {
+        "spark.sql.shuffle.partitions": "2",
+        "spark.default.parallelism": "2",
+        "spark.driver.memory": "6g",
+    }
+    session = local_session(8, "tests", **settings)
     yield session
     session.stop()
 

@@ -50,16 +50,22 @@ def test_lookup_refuses_other_joins(uneven, keyed):
 def test_the_frequent_key_is_found_and_spread(spark, uneven, keyed):
     hashed = spark.range(7, 8).select(F.xxhash64("id").alias("h")).first().h
     assert hashed in [r[0] for r in hot_key_hashes(uneven, ["key"]).collect()]
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, setting in settings.items():
+        spark.conf.set(name, setting)
     try:
         found = lookup(uneven, keyed, ["key"]).where("key = 7")
         tasks = found.groupBy(F.spark_partition_id()).count().collect()
         assert len(tasks) == 8
         assert max(r["count"] for r in tasks) < 2 * 10_000 / 8
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name, setting in before.items():
+            spark.conf.set(name, setting)
 
 
 def test_lookup_by_several_columns(spark):
