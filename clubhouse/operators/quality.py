@@ -128,10 +128,16 @@ def refuse(bad: DataFrame, message: str, shown: int = 5) -> None:
 
 def check_values(df: DataFrame, table: str) -> None:
     """Required values and text lengths of some rows of a table, or raise."""
-    one = {table: df}
-    refuse(missing_values(one).where("rows > 0"), f"{table}: required value missing")
-    if table in schemas.MAX_LENGTH:
-        refuse(text_lengths(one).where("NOT fits"), f"{table}: text too long")
+    found = {
+        c: F.when(F.count_if(F.col(c).isNull()) > 0, f"{c}: required value missing")
+        for c in schemas.REQUIRED[table]
+    }
+    for c, limit in schemas.MAX_LENGTH.get(table, {}).items():
+        long = F.when(F.max(F.length(c)) > limit, f"{c}: text too long")
+        found[c] = F.coalesce(found[c], long) if c in found else long
+    # One pass for all columns.
+    problems = df.agg(F.array_compact(F.array(*found.values())).alias("problems"))
+    refuse(problems.where(F.size("problems") > 0), table)
 
 
 def check_table(df: DataFrame, table: str) -> None:

@@ -36,9 +36,14 @@ No Last,No,
 """
 
 
-@pytest.fixture
-def sheet(spark, tmp_path):
-    return read_sheet(spark, tmp_path, SHEET_CSV)
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    return tmp_path_factory.mktemp("sheets")
+
+
+@pytest.fixture(scope="module")
+def sheet(spark, folder):
+    return read_sheet(spark, folder, SHEET_CSV)
 
 
 def read_sheet(spark, folder, text, name="sheet"):
@@ -47,16 +52,22 @@ def read_sheet(spark, folder, text, name="sheet"):
     return load.stage(files.read_results(spark, str(path)))
 
 
-@pytest.fixture
-def names(spark, tmp_path):
-    path = tmp_path / "names.csv"
+@pytest.fixture(scope="module")
+def names(spark, folder):
+    path = folder / "names.csv"
     path.write_text("raw_full,first_name,last_name\n" + NAMES_CSV)
     return load.stage(files.read_name_map(spark, str(path)))
 
 
-@pytest.fixture(params=[100_000, 0])
+@pytest.fixture(scope="module", params=["broadcast", "shuffled"])
 def empty(request, spark):
-    return Tables(**empty_tables(spark).as_dict(), broadcast_rows=request.param)
+    rows = 100_000 if request.param == "broadcast" else 0
+    return Tables(**empty_tables(spark).as_dict(), broadcast_rows=rows)
+
+
+@pytest.fixture(scope="module")
+def loaded(sheet, names, empty):
+    return load.load_from_staging(sheet, names, empty)
 
 
 def test_sheet_types(sheet):
@@ -87,8 +98,7 @@ def natural(tables: Tables):
     )
 
 
-def test_load(sheet, names, empty):
-    loaded = load.load_from_staging(sheet, names, empty)
+def test_load(loaded):
     assert sorted(rows(loaded.courses, "id", "name", "city", "par")) == [
         (1, "Long Meadow", "Oak Hill", 72), (2, "Short Meadow", None, 72),
     ]
@@ -108,17 +118,15 @@ def test_load(sheet, names, empty):
     assert sorted(rows(loaded.scores, "id")) == [(i,) for i in range(1, 6)]
 
 
-def test_loading_again_changes_nothing(sheet, names, empty):
-    once = load.load_from_staging(sheet, names, empty)
-    again = load.load_from_staging(sheet, names, once)
-    for name, df in once.as_dict().items():
+def test_loading_again_changes_nothing(sheet, names, loaded):
+    again = load.load_from_staging(sheet, names, loaded)
+    for name, df in loaded.as_dict().items():
         other = getattr(again, name)
         assert df.exceptAll(other).isEmpty() and other.exceptAll(df).isEmpty()
 
 
-def test_corrections(spark, tmp_path, sheet, names, empty):
-    once = load.load_from_staging(sheet, names, empty)
-    once = once.with_tables(events=once.events.withColumn("notes", F.lit("kept")))
+def test_corrections(spark, tmp_path, names, loaded):
+    once = loaded.with_tables(events=loaded.events.withColumn("notes", F.lit("kept")))
     changed = read_sheet(
         spark, tmp_path,
         "2026,2025-04-12,Pairs,Long Meadow,Oak Hill,MN,70,False,True,Masters,,"
