@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) names the tables, BENCH_CPUS
 (default 8) the threads. Every query is run once to warm up, then BENCH_RUNS
-times (default 3); the median counts. All rows are produced and thrown away.
+times (default 1); the median counts. All rows are produced and thrown away.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(
         cpus, "bench", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g"}
