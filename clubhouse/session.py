@@ -40,6 +40,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint a frame: its rows and their partitions then stay as they are,
     also when an executor is lost."""
@@ -50,6 +55,6 @@ def durable(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet to the shared folder and read it from there, for
     rows that several jobs need, each with its own columns and filters."""
-    path = f"{_shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
