@@ -7,13 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubhouse.llm import merkle, mixing
+from clubhouse.llm import merkle, mixing, pieces, tokenfiles
+from clubhouse.session import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of their decoding."""
+    rows = pieces.encode(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mixed(_table(spark, sf_dir, "documents")).select(
@@ -35,9 +54,24 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents as token files, read them back, and say what is there."""
+    path = _vocabulary("byte_bpe_50k.json")
+    folder = shared_path(spark, "token-files")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = tokenfiles.write(
+        docs, folder, lambda: tokenfiles.byte_level_encoder(path), width=2, end_id=2
+    )
+    return tokenfiles.read(manifest, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pieces": op2_pieces,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_token_files": op5_token_files,
 }
 
 SQL: dict[str, str] = {
