@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubhouse.llm import merkle, mixing, pieces, tokenfiles
+from clubhouse.llm import language, merkle, mixing, pieces, tokenfiles
 from clubhouse.session import shared_path
 
 
@@ -67,11 +67,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three parts in four."""
+    docs = _table(spark, sf_dir, "documents")
+    apart = language.held_out("doc_id", 4, 2)
+    model = language.learn(docs.where(~apart).select("text", "lang"))
+    return language.identify(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pieces": op2_pieces,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_files": op5_token_files,
+    "op9_language": op9_language,
 }
 
 SQL: dict[str, str] = {
