@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubhouse.llm import language, merkle, mixing, pieces, tokenfiles
+from clubhouse.llm import language, merkle, mixing, pieces, scoring, tokenfiles
 from clubhouse.session import shared_path
 
 
@@ -75,12 +75,23 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", apart.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How probable every document is under models learnt from nine parts in ten."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    learnt = ~language.held_out("doc_id", 10, 0)
+    path = _vocabulary("byte_bpe_50k.tiktoken")
+    return scoring.score(docs, learnt, path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pieces": op2_pieces,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_files": op5_token_files,
     "op9_language": op9_language,
+    "op10_scores": op10_scores,
 }
 
 SQL: dict[str, str] = {
