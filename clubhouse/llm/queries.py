@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubhouse.llm import language, merkle, mixing, pieces, scoring, tokenfiles
+from clubhouse.llm import language, merkle, mixing, pieces, quality, scoring, tokenfiles
 from clubhouse.session import shared_path
 
 
@@ -67,6 +67,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learnt from the labels by co-training."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from three parts in four."""
     docs = _table(spark, sf_dir, "documents")
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_files": op5_token_files,
+    "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_scores": op10_scores,
 }
