@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubhouse.llm import language, merkle, mixing, pieces, quality, scoring, tokenfiles
+from clubhouse.llm import language, merkle, mixing, pieces, quality, scoring, tokenfiles, vectors
 from clubhouse.session import shared_path
 
 
@@ -21,6 +21,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all vectors."""
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's piece ids and of their decoding."""
     rows = pieces.encode(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
@@ -92,6 +97,7 @@ def op10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vectors": op1_vectors,
     "op2_pieces": op2_pieces,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
@@ -102,6 +108,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_vectors": r"""
+WITH RECURSIVE given AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+good AS (
+  SELECT vec_id, v FROM given
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reached(id, other) AS (
+  SELECT vec_id, vec_id FROM given
+  UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT g.vec_id, (SELECT count(*) FROM links l WHERE l.a = g.vec_id)::BIGINT AS n_links,
+       m.component_id, g.vec_id = m.component_id AS kept
+FROM given g JOIN (SELECT id, min(other) AS component_id FROM reached GROUP BY id) m ON m.id = g.vec_id
+""",
     "op3_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
