@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubhouse.llm import language, merkle, mixing, pieces, quality, scoring, tokenfiles, vectors
+from clubhouse.llm import language, merkle, mixing, nearcopies, pieces, quality, scoring, tokenfiles, vectors
 from clubhouse.session import shared_path
 
 
@@ -72,6 +72,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents."""
+    return nearcopies.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learnt from the labels by co-training."""
     docs = _table(spark, sf_dir, "documents")
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op5_token_files": op5_token_files,
+    "op6_near_copies": op6_near_copies,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_scores": op10_scores,
@@ -156,5 +162,29 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        (floor(target + 0.5)::BIGINT // greatest(source_size, 1) * size
         + greatest(0, least(size, floor(target + 0.5)::BIGINT % greatest(source_size, 1) - begun)))::BIGINT AS taken
 FROM lined JOIN targets t ON lined.source IS NOT DISTINCT FROM t.source
+""",
+    "op6_near_copies": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s
+    FROM words WHERE len(w) >= 5
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)),
+reached(id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other),
+least AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least ON id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """,
 }
