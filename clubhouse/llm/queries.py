@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubhouse.llm import language, merkle, mixing, nearcopies, pieces, quality, scoring, tokenfiles, vectors
+from clubhouse.llm import language, merkle, mixing, nearcopies, pieces, quality, repeats, scoring, tokenfiles, vectors
 from clubhouse.session import shared_path
 
 
@@ -77,6 +77,18 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated windows of words."""
+    rows = repeats.without_repeats(_table(spark, sf_dir, "documents"))
+    one_space = F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " ")
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.sha2(F.btrim(one_space, F.lit(" ")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learnt from the labels by co-training."""
     docs = _table(spark, sf_dir, "documents")
@@ -108,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_token_files": op5_token_files,
     "op6_near_copies": op6_near_copies,
+    "op7_repeats": op7_repeats,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_scores": op10_scores,
@@ -186,5 +199,27 @@ reached(id, other) AS (
 least AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least ON id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+""",
+    "op7_repeats": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+repeated AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM windows)
+  WHERE k > 1),
+covered AS (
+  SELECT doc_id, list(DISTINCT p) AS gone
+  FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM repeated) GROUP BY doc_id),
+listed AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM words),
+places AS (SELECT DISTINCT doc_id, unnest(gone) AS p FROM covered),
+kept AS (
+  SELECT l.doc_id, string_agg(w[l.p], ' ' ORDER BY l.p) AS t
+  FROM listed l ANTI JOIN places g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(c.gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """,
 }
