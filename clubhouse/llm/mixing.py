@@ -100,6 +100,7 @@ def mixed(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
+    tag: Column | None = None,
 ) -> DataFrame:
     """What the mix takes of every document.
 
@@ -111,6 +112,7 @@ def mixed(
     same id are documents of their own; rows that are equal in all columns used
     share the outcome in any order. A null id counts as a text of its own in the
     seeded order. Other columns of ``docs`` are not looked at. Reruns agree.
+    ``tag`` is a value to be handed through as column tag.
     """
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("none"))))
     sized = written(
@@ -119,6 +121,7 @@ def mixed(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             key.alias("order_key"),
+            (F.lit(None).cast("long") if tag is None else tag).alias("tag"),
         )
     )
     rows = sized.count()
@@ -144,7 +147,7 @@ def mixed(
     )
     within = (
         Window.partitionBy("source", "line")
-        .orderBy("order_key", "doc_id", "size")
+        .orderBy("order_key", "doc_id", "size", "tag")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     begun = F.col("before") + F.col("run") - F.col("size")
@@ -162,6 +165,7 @@ def mixed(
             "whole",
             first_words.cast("long").alias("first_words"),
             (F.col("whole") * F.col("size") + first_words).cast("long").alias("taken"),
+            *([] if tag is None else ["tag"]),
         )
     )
 
@@ -170,30 +174,29 @@ def materialized(docs: DataFrame, text_col: str = "text", **options) -> DataFram
     """The documents of the mix, each as often as it is taken, all columns kept.
 
     A document that is taken in part keeps that many of its words, joined by one
-    space. (At most one document of a source is.)
-    The ids of ``docs`` must differ.
+    space. (At most one document of a source is.) Documents that are not taken
+    are left out; a repeated row is taken as often as all its repetitions are.
     """
-    id_col = options.get("id_col", "doc_id")
-    plan = mixed(docs, text_col=text_col, **options).select(
-        F.col("doc_id").alias("__id"),
-        "size",
-        (F.col("whole") + (F.col("first_words") > 0).cast("long")).cast("int").alias("__times"),
-        "whole",
-        "first_words",
+    row_tag = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mixed(docs, text_col=text_col, tag=row_tag, **options)
+    in_part = (F.col("first_words") > 0) & (F.col("first_words") < F.col("size"))
+    in_full = F.col("whole") + ((F.col("first_words") > 0) & ~in_part).cast("long")
+    plan = plan.where("taken > 0").groupBy("tag").agg(
+        F.sum(in_full).alias("__full"), F.max(F.when(in_part, F.col("first_words"))).alias("__part")
     )
-    names = docs.columns
-    cut = _first_words(F.col(f"__row.`{text_col}`"), F.col("first_words"))
-    part = (F.col("__turn") > F.col("whole")) & (F.col("first_words") < F.col("size"))
+    # Each copy as the number of its words that are kept, null for all.
+    whole = F.array_repeat(F.lit(None).cast("long"), F.col("__full").cast("int"))
+    copies = F.concat(whole, F.when(F.col("__part").isNull(), F.array().cast("array<long>")).otherwise(F.array("__part")))
     rows = (
-        docs.select(F.col(id_col).alias("__id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-        .join(plan.where("__times > 0"), F.col("__id") == plan["__id"])
-        .withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), row_tag.alias("tag"))
+        .join(plan, "tag")
+        .dropDuplicates(["tag"])
+        .withColumn("__words", F.explode(copies))
     )
+    cut = _first_words(F.col(f"__row.`{text_col}`"), F.col("__words"))
+    text = F.when(F.col("__words").isNull(), F.col(f"__row.`{text_col}`")).otherwise(cut)
     return rows.select(
-        *[
-            (F.when(part, cut).otherwise(F.col(f"__row.`{c}`")) if c == text_col else F.col(f"__row.`{c}`")).alias(c)
-            for c in names
-        ]
+        *[(text if c == text_col else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns]
     )
 
 

@@ -287,3 +287,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = sketches.where(named).join(known, digest).select("doc_id", "n_shingles", "component_id")
     alone = sketches.where(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns kept.
+
+    Of several rows with a kept id one stays; rows without an id all stay.
+    """
+    kept = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null")
+    kept = kept.select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -306,7 +306,9 @@ def _cut(texts: pa.Array, windows: list) -> tuple[np.ndarray, np.ndarray, list[b
     return counts, removed, kept, spans
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+) -> DataFrame:
     """Every text without the words of windows that have occurred earlier.
 
     Returns one row per row of ``docs``: doc_id, n_words, n_removed, kept_text
@@ -315,13 +317,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null text has no words and gives an empty text. A null id counts as greater
     than all others. Rows with equal ids count as one document: a window at the
     same place of both is not earlier than itself. Windows are judged on the
-    input, not on what is left. Other columns are not looked at.
+    input, not on what is left. Other columns are not looked at; ``carry`` hands
+    the whole row through as a struct, ``row``.
     """
     greatest = F.lit(2**63 - 1)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(id_col).cast("long"), greatest).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if carry and c != text_col], F.lit(True).alias("__")).alias("row"),
     ).withColumn("text_hash", F.xxhash64("text"))
     listed = (
         removed_windows(rows).distinct().groupBy("doc_id", "text_hash")
@@ -339,12 +343,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     [
                         batch.column(0).slice(at, len(texts)), pa.array(n), pa.array(removed),
                         pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, kind),
+                        batch.column(3).slice(at, len(texts)),
                     ],
-                    ["doc_id", "n_words", "n_removed", "kept_text", "spans"],
+                    ["doc_id", "n_words", "n_removed", "kept_text", "spans", "row"],
                 )
                 at += len(texts)
 
-    schema = """doc_id long, n_words long, n_removed long, kept_text string,
-    spans array<struct<begin: long, end: long>>"""
+    kind = rows.schema["row"].dataType.simpleString()
+    schema = f"""doc_id long, n_words long, n_removed long, kept_text string,
+    spans array<struct<begin: long, end: long>>, row {kind}"""
     joined = rows.join(listed, ["doc_id", "text_hash"], "left")
-    return joined.select("id", "text", "windows").mapInArrow(run, schema)
+    result = joined.select("id", "text", "windows", "row").mapInArrow(run, schema)
+    return result if carry else result.drop("row")
