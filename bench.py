@@ -37,6 +37,7 @@ HEADLINE = [
     "distinct_raw_names",
     "upsert_events",
     "insert_scores",
+    "load_from_staging",
     "refresh_to_par",
     "orphans",
     "duplicate_team_keys",

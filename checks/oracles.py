@@ -151,13 +151,12 @@ EVENT_ROWS = f"""SELECT {EVENT}, k.name AS course_name, k.par AS course_par
 PLAYER = """id, first_name, last_name, nickname, hometown, debut_year, image_url, hof_inducted,
   hof_year, accolades, first_name || ' ' || last_name AS full_name"""
 
-# One event per key, and the sheet rows of its scores.
+# The sheet rows of all scores; the sheet names an event by its id as well.
 SHEET = (
     FULL
     + """,
-first_event AS (SELECT min(id) AS id FROM event GROUP BY name, date, course_id),
-sheet AS (SELECT w.*, e.course_id FROM wide w JOIN event e ON e.id = w.event_id
-          WHERE w.event_id IN (SELECT id FROM first_event)),
+sheet AS (SELECT w.* REPLACE (w.event_name || ' #' || w.event_id AS event_name), e.course_id
+          FROM wide w JOIN event e ON e.id = w.event_id),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY event_id, p1, p2, p3, p4
                                ORDER BY placement NULLS LAST, strokes NULLS LAST) AS nth
@@ -272,9 +271,8 @@ ORACLES: dict[str, str] = {
     "latest_podiums": f"WITH {FULL}, {_finalized(3)}, {PODIUM} SELECT * FROM podium",
     "latest_podiums_hydrated": f"WITH {FULL}, {_finalized(5)}, {PODIUM} SELECT * FROM podium",
     "podium_documents": f"""WITH {FULL}, {_finalized(3)}, {PODIUM}
-      SELECT event_id AS id, name, date, course, 0 AS part,
-        CAST(row_number() OVER (PARTITION BY event_id ORDER BY placement, podium.id) - 1 AS INT)
-          AS pos,
+      SELECT event_id AS id, name, date, course, 0::BIGINT AS page,
+        row_number() OVER (PARTITION BY event_id ORDER BY placement, podium.id) AS position,
         placement, strokes, to_par, player_ids, team_name FROM podium""",
     "leaderboard_snippet": f"WITH {FULL}, {_finalized(1)}, {SNIPPET} SELECT * FROM snippet",
     "leaderboard_snippet_outer": f"WITH {FULL}, {_finalized(1)}, {SNIPPET} SELECT * FROM snippet",
@@ -313,7 +311,10 @@ ORACLES: dict[str, str] = {
       FROM wide""",
     "event_with_teams": f"""WITH {FULL}
       SELECT e.id, e.name, k.city || ', ' || k.state AS course_location, k.par AS course_par,
-        0 AS part, w.id AS score_id, w.strokes, w.placement, w.notes,
+        0::BIGINT AS page,
+        CASE WHEN w.id IS NOT NULL THEN row_number() OVER (PARTITION BY e.id ORDER BY w.id) END
+          AS position,
+        w.id AS score_id, w.strokes, w.placement, w.notes,
         n1 AS player1, n2 AS player2, n3 AS player3, n4 AS player4
       FROM event e LEFT JOIN course k ON k.id = e.course_id LEFT JOIN wide w ON w.event_id = e.id""",
     "player_list": f"WITH {LEAGUE} SELECT {PLAYER} FROM player",
@@ -394,7 +395,7 @@ ORACLES: dict[str, str] = {
         first_name, last_name, NULL
       FROM player WHERE NOT hof_inducted""",
     "upsert_events": f"""WITH {SHEET},
-      kept AS (SELECT * FROM event WHERE id IN (SELECT id FROM first_event)),
+      kept AS (SELECT * REPLACE (name || ' #' || id AS name) FROM event),
       told AS (SELECT DISTINCT event_id FROM sheet)
       SELECT id, name, date, course_id, 'kept' AS notes,
         CASE WHEN event_id IS NULL THEN 0 ELSE season END AS season, is_major,
@@ -428,6 +429,34 @@ ORACLES: dict[str, str] = {
       SELECT event_name, date, season, course_name, finalized, {NAMES}, strokes,
         strokes - course_par AS to_par, placement, strokes IS NULL AS disqualified
       FROM staged""",
+    "csv_sheet": f"""WITH {SHEET}
+      SELECT s.season, s.date AS event_date, s.event_name, k.name AS course_name,
+        k.city AS course_city, k.state AS course_state, k.par AS course_par, e.is_team_event,
+        e.is_major, e.major_label, e.finalized, n1 AS player1_full, n2 AS player2_full,
+        n3 AS player3_full, n4 AS player4_full, CAST(s.strokes AS DECIMAL(5,2)) AS strokes,
+        s.placement, s.notes
+      FROM sheet s JOIN event e ON e.id = s.event_id JOIN course k ON k.id = e.course_id""",
+    "csv_name_map": f"""WITH {LEAGUE}
+      SELECT first_name || ' ' || last_name AS raw_full, first_name, last_name FROM player""",
+    "csv_backup": f"""WITH {LEAGUE}
+      SELECT id, event_id, p1 AS player1_id, p2 AS player2_id, p3 AS player3_id,
+        p4 AS player4_id, strokes, to_par, placement, notes, disqualified FROM score""",
+    "saved_tables": f"WITH {LEAGUE} SELECT * FROM event",
+    "duplicate_player_keys": f"""WITH {LEAGUE}
+      SELECT first_name, hometown AS last_name, count(*) AS rows
+      FROM player GROUP BY ALL HAVING count(*) > 1""",
+    "duplicate_raw_names": f"""WITH {LEAGUE}
+      SELECT first_name AS raw_full, count(*) AS rows
+      FROM player GROUP BY ALL HAVING count(*) > 1""",
+    "insert_course_rows": f"""WITH {LEAGUE}
+      SELECT id, name, city, state, par FROM course
+      UNION ALL
+      SELECT (SELECT max(id) FROM course) + row_number() OVER (
+          ORDER BY last_name, hometown NULLS FIRST, nickname NULLS FIRST),
+        last_name, hometown, nickname, 70 FROM player""",
+    "delete_players": f"""WITH {LEAGUE}
+      SELECT id, last_name FROM player
+      WHERE id IN (SELECT unnest([p1, p2, p3, p4]) FROM score)""",
     "duplicate_event_keys": f"""WITH {LEAGUE}
       SELECT name, date, course_id, count(*) AS rows FROM event GROUP BY ALL HAVING count(*) > 1""",
     "duplicate_team_keys": f"""WITH {LEAGUE}
@@ -444,7 +473,8 @@ ORACLES: dict[str, str] = {
     "delete_open_events": f"WITH {FULL} SELECT id, event_id FROM wide WHERE finalized",
     "update_scores": f"""WITH {FULL}, touched AS (
         SELECT *, CASE WHEN disqualified THEN 99 ELSE strokes END AS now FROM wide)
-      SELECT id, now AS strokes, now - course_par AS to_par,
+      SELECT id, now AS strokes,
+        CASE WHEN disqualified THEN now - course_par ELSE to_par END AS to_par,
         CASE WHEN NOT disqualified THEN placement END AS placement,
         CASE WHEN disqualified THEN 'DQ' END AS notes, disqualified FROM touched""",
     "update_players": f"""WITH {LEAGUE}
@@ -463,3 +493,10 @@ ORACLES: dict[str, str] = {
     "not_found": f"""WITH {LEAGUE}
       SELECT DISTINCT event_id AS id FROM score WHERE event_id NOT IN (SELECT id FROM player)""",
 }
+
+# The same about one player, and the same rows by way of JSON.
+for _name in ("stats", "results", "scores"):
+    ORACLES[f"one_player_{_name}"] = (
+        f"SELECT * FROM ({ORACLES[f'player_{_name}']}) WHERE player_id = 7"
+    )
+ORACLES["json_documents"] = ORACLES["event_with_teams"]

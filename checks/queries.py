@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubhouse.binding import AS_OF, bound_name_map, bound_sheet, bound_tables
+from clubhouse.binding import AS_OF, bound_name_map, bound_sheet, bound_tables, sheet_events
 from clubhouse.functions.names import player_ids
 from clubhouse.operators import changes, load, quality
 from clubhouse.operators.slots import hydrate_names
@@ -26,8 +26,15 @@ from clubhouse.plans import (
     wins,
 )
 from clubhouse.schemas import SLOT_IDS, SLOT_NAMES
+from clubhouse.session import shared_path
+from clubhouse.sources import files, store
 from clubhouse.tables import Tables, empty_tables
 
+# Teams on a page of a nested document.
+PAGE = 10_000
+# The player of the queries about one player.
+ONE_PLAYER = 7
+
 Query = Callable[[Tables], DataFrame]
 
 
@@ -52,17 +59,22 @@ def _home_summary(t: Tables) -> DataFrame:
 
 
 def _podium_documents(t: Tables) -> DataFrame:
-    rows = leaderboards.podium_documents(t).select(
-        "id", "name", "date", "course", "part", F.posexplode("podium").alias("pos", "p")
+    rows = leaderboards.podium_documents(t, PAGE).select(
+        "id", "name", "date", "course", "page", F.posexplode("podium").alias("pos", "p")
     )
     return rows.select(
-        "id", "name", "date", "course", "part", "pos", "p.placement", "p.strokes",
+        "id", "name", "date", "course", "page", _position().alias("position"),
+        "p.placement", "p.strokes",
         F.col("p.toPar").alias("to_par"),
         F.array_join("p.playerIds", ",").alias("player_ids"),
         F.col("p.teamName").alias("team_name"),
     )
 
 
+def _position() -> Column:
+    return F.col("page") * PAGE + F.col("pos") + 1
+
+
 def _homepage(t: Tables) -> DataFrame:
     def line(*values: Column) -> Column:
         texts = [F.coalesce(v.cast("string"), F.lit("-")) for v in values]
@@ -80,7 +92,7 @@ def _homepage(t: Tables) -> DataFrame:
         return row(section, pos, sub, id, r.teamName, line(r.placement, r.strokes, r.toPar))
 
     snippet = F.col("leaderboardSnippet")
-    page = homepage.homepage(t, AS_OF).select(
+    page = homepage.homepage(t, AS_OF, PAGE).select(
         F.concat(
             F.transform(
                 "upcomingEvents",
@@ -111,12 +123,16 @@ def _homepage(t: Tables) -> DataFrame:
 
 
 def _event_with_teams(t: Tables) -> DataFrame:
-    rows = leaderboards.event_with_teams(t).select(
-        "id", "name", "course_location", "course_par", "part",
-        F.explode_outer("teams").alias("team"),
+    return _team_lines(leaderboards.event_with_teams(t, PAGE))
+
+
+def _team_lines(documents: DataFrame) -> DataFrame:
+    rows = documents.select(
+        "id", "name", "course_location", "course_par", "page",
+        F.posexplode_outer("teams").alias("pos", "team"),
     )
     return rows.select(
-        "id", "name", "course_location", "course_par", "part",
+        "id", "name", "course_location", "course_par", "page", _position().alias("position"),
         F.col("team.id").alias("score_id"),
         *[f"team.{c}" for c in ("strokes", "placement", "notes",
                                 "player1", "player2", "player3", "player4")],
@@ -154,14 +170,9 @@ def _insert_players(t: Tables) -> DataFrame:
     )
 
 
-def _first_events(t: Tables) -> DataFrame:
-    first = t.events.groupBy("name", "date", "course_id").agg(F.min("id").alias("id"))
-    return t.events.join(first.select("id"), "id", "left_semi")
-
-
 def _upsert_events(t: Tables) -> DataFrame:
     known = (
-        _first_events(t)
+        sheet_events(t)
         .where("finalized")
         .withColumns({"finalized": F.lit(False), "season": F.lit(0), "notes": F.lit("kept")})
     )
@@ -172,7 +183,7 @@ def _upsert_events(t: Tables) -> DataFrame:
 
 def _insert_scores(t: Tables) -> DataFrame:
     known = t.with_tables(
-        events=_first_events(t), scores=t.scores.where("placement = 1").drop("notes")
+        events=sheet_events(t), scores=t.scores.where("placement = 1").drop("notes")
     )
     known = known.with_tables(scores=known.scores.withColumn("notes", F.lit("known")))
     return load.insert_scores(_sheet(t), bound_name_map(t), known)
@@ -191,6 +202,40 @@ def _load_from_staging(t: Tables) -> DataFrame:
     )
 
 
+# -- sources -----------------------------------------------------------------
+
+
+def _csv_sheet(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "sheet")
+    files.write_csv(bound_sheet(t), path)
+    return files.read_results(t.spark, path)
+
+
+def _csv_name_map(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "names")
+    files.write_csv(bound_name_map(t), path)
+    return files.read_name_map(t.spark, path)
+
+
+def _csv_backup(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "backup")
+    files.write_csv(t.scores, path, short_flags=True)
+    return files.read_backup(t.spark, "scores", path)
+
+
+def _saved_tables(t: Tables) -> DataFrame:
+    root = shared_path(t.spark, "league")
+    store.save_tables(t, root)
+    return store.load_tables(t.spark, root).events
+
+
+def _json_documents(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "documents")
+    documents = leaderboards.event_with_teams(t, PAGE)
+    files.write_documents(documents, path)
+    return _team_lines(files.read_documents(t.spark, path, documents.schema))
+
+
 # -- integrity and changes ---------------------------------------------------
 
 
@@ -244,6 +289,23 @@ def _insert_player_rows(t: Tables) -> DataFrame:
     return after.players.select("id", "first_name", "last_name", "hometown", "hof_inducted")
 
 
+def _insert_course_rows(t: Tables) -> DataFrame:
+    rows = t.players.select(
+        F.col("last_name").alias("name"), F.col("hometown").alias("city"),
+        F.col("nickname").alias("state"), F.lit(70).alias("par"),
+    )
+    return changes.insert_rows(t, "courses", rows).tables.courses
+
+
+def _unused_players(t: Tables) -> DataFrame:
+    used = quality.rows_in_use(t, "players", t.players)
+    return t.players.select("id").join(used, "id", "left_anti")
+
+
+def _delete_players(t: Tables) -> DataFrame:
+    return changes.delete_rows(t, "players", _unused_players(t)).tables.players.select("id", "last_name")
+
+
 def _delete_scores(t: Tables) -> DataFrame:
     gone = t.scores.where("disqualified")
     return changes.delete_rows(t, "scores", gone).tables.scores.select("id", "event_id")
@@ -307,6 +369,20 @@ QUERIES: dict[str, Query] = {
     "insert_scores": _insert_scores,
     "refresh_to_par": lambda t: load.refresh_to_par(t).select("id", "strokes", "to_par"),
     "load_from_staging": _load_from_staging,
+    "csv_sheet": _csv_sheet,
+    "csv_name_map": _csv_name_map,
+    "csv_backup": _csv_backup,
+    "saved_tables": _saved_tables,
+    "json_documents": _json_documents,
+    "one_player_stats": lambda t: players.player_stats(t, player_id=ONE_PLAYER),
+    "one_player_results": lambda t: players.player_results(t, player_id=ONE_PLAYER),
+    "one_player_scores": lambda t: players.player_scores(t, player_id=ONE_PLAYER),
+    "duplicate_player_keys": lambda t: quality.duplicate_keys(
+        t.players.withColumn("last_name", F.col("hometown")), "players"
+    ),
+    "duplicate_raw_names": lambda t: quality.duplicate_keys(
+        bound_name_map(t).withColumn("raw_full", F.col("first_name")), "name_map"
+    ),
     "duplicate_event_keys": lambda t: quality.duplicate_keys(t.events, "events"),
     "duplicate_team_keys": lambda t: quality.duplicate_keys(t.scores, "scores"),
     "orphans": _orphans,
@@ -319,6 +395,8 @@ QUERIES: dict[str, Query] = {
     "update_players": _update_players,
     "update_courses": _update_courses,
     "insert_player_rows": _insert_player_rows,
+    "insert_course_rows": _insert_course_rows,
+    "delete_players": _delete_players,
     "delete_scores": _delete_scores,
     "not_found": _not_found,
 }

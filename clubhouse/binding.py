@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clubhouse.functions.names import full_name
+from clubhouse.operators.slots import fill_slots
+from clubhouse.schemas import SHEET_NAMES, SLOT_IDS
 from clubhouse.tables import BROADCAST_ROWS, Tables, conform
 
 AS_OF = dt.date(1999, 6, 30)
@@ -104,14 +106,18 @@ def bound_tables(
     return _bound(spark, spark.sparkContext.applicationId, sf_dir, broadcast_rows)
 
 
+def sheet_events(tables: Tables) -> DataFrame:
+    """The bound events under the names that the sheet gives them."""
+    name = F.concat("name", F.lit(" #"), F.col("id").cast("string"))
+    return tables.events.withColumn("name", name)
+
+
 def bound_sheet(tables: Tables) -> DataFrame:
     """Write the bound tables back out as one wide results sheet.
 
-    Event keys repeat among the bound events, and a load refuses such a batch
-    when their flags differ, so the event with the lowest id stands for its key.
+    A sheet knows an event by name, date and course, and those repeat among the
+    bound events; so the sheet names every event by its id as well.
     """
-    first = tables.events.groupBy("name", "date", "course_id").agg(F.min("id").alias("id"))
-    events = tables.events.join(first.select("id"), "id", "left_semi")
     course = tables.courses.select(
         F.col("id").alias("course_id"),
         F.col("name").alias("course_name"),
@@ -120,20 +126,20 @@ def bound_sheet(tables: Tables) -> DataFrame:
         F.col("par").alias("course_par"),
     )
     sheet = tables.scores.drop("to_par", "disqualified").join(
-        events.join(course, "course_id").select(
+        sheet_events(tables).join(course, "course_id").select(
             F.col("id").alias("event_id"), "season", F.col("date").alias("event_date"),
             F.col("name").alias("event_name"), "course_name", "course_city", "course_state",
             "course_par", "is_team_event", "is_major", "major_label", "finalized",
         ),
         "event_id",
     )
-    for slot in (1, 2, 3, 4):
-        names = tables.players.select(
-            F.col("id").alias(f"player{slot}_id"),
-            full_name("first_name", "last_name").alias(f"player{slot}_full"),
-        )
-        sheet = sheet.join(names, f"player{slot}_id", "left")
-    return sheet.select(
+    names = tables.players.select(
+        F.col("id").alias("__player"), full_name("first_name", "last_name").alias("__name")
+    )
+    named = fill_slots(
+        sheet, names, SLOT_IDS, SHEET_NAMES, small=tables.is_small("players"), spread_by=["id"]
+    )
+    return named.select(
         "season", "event_date", "event_name", "course_name", "course_city", "course_state",
         "course_par", "is_team_event", "is_major", "major_label", "finalized",
         "player1_full", "player2_full", "player3_full", "player4_full",

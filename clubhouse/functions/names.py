@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,5 +61,6 @@ def player_ids(*ids) -> Column:
 
 
 def is_member(player, *ids) -> Column:
-    """True if the player fills one of the slots."""
-    return _col(player).isin(*[_col(i) for i in ids])
+    """True if the player fills one of the slots. For a given player a scan can
+    check the comparisons, which an IN over columns would not let it do."""
+    return reduce(or_, [_col(i) == _col(player) for i in ids])

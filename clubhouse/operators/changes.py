@@ -69,7 +69,7 @@ def update_rows(
     """Overwrite the updatable columns of the rows named by ``id``, NULLs included.
 
     A changed stroke count leaves a score's stored to-par as it is, which the
-    reports prefer; ``refresh`` recomputes it.
+    reports prefer; ``refresh`` recomputes it, for the changed rows only.
     """
     if table not in UPDATABLE:
         raise ValueError(f"{table} rows cannot be updated")
@@ -88,7 +88,7 @@ def update_rows(
     )
     after = tables.with_tables(**{table: joined})
     if refresh and table == "scores":
-        after = after.with_tables(scores=refresh_to_par(after))
+        after = after.with_tables(scores=refresh_to_par(after, changes))
     affected = getattr(after, table).join(changes.select("id"), "id", "left_semi")
     check_changed_rows(after, table, affected, columns)
     return Change(after, affected, not_found(current, changes))

@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Keys that get their own treatment in a shuffled lookup. A key outside the
-# list can hold at most about rows / SKETCH_SIZE rows.
-HOT_KEYS = 64
-SKETCH_SIZE = 4096
+# A key is frequent if it holds more rows than a quarter of an even share of a
+# partition. There are at most HOT_SHARE keys like that for every partition, and
+# the sketch that finds them tracks some times as many.
+HOT_SHARE = 4
+_TRACKED = 8
+_MOST_KEYS, _MOST_TRACKED = 100_000, 1_000_000  # the sketch's own limits
 
 _KEY, _HIT, _FOUND = "__key", "__hit", "__found"
 
 
 def hot_key_hashes(fact: DataFrame, on: list[str]) -> DataFrame:
-    """Hashes of the most frequent keys, HOT_KEYS at most.
+    """Hashes of all frequent keys, HOT_SHARE for every partition at most.
 
     One pass over the key columns; each task sends a sketch, not its keys.
     """
-    top = F.expr(f"approx_top_k(key, {HOT_KEYS}, {SKETCH_SIZE})")
+    partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = min(HOT_SHARE * partitions, _MOST_KEYS)
+    tracked = min(max(4096, _TRACKED * keys), _MOST_TRACKED)
+    top = F.expr(f"approx_top_k(key, {keys}, {tracked})")
     return (
         fact.select(F.xxhash64(*on).alias("key"))
-        .agg(top.alias("top"))
-        .select(F.explode("top.item").alias(_KEY))
-        .where(F.col(_KEY).isNotNull())
+        .agg(top.alias("top"), F.count(F.lit(1)).alias("rows"))
+        .select(F.explode("top").alias("found"), "rows")
+        .where((F.col("found.count") * keys > F.col("rows")) & F.col("found.item").isNotNull())
+        .select(F.col("found.item").alias(_KEY))
     )
 
 

@@ -6,38 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubhouse.functions.names import _col
+from clubhouse.operators.ids import dense_index
 from clubhouse.operators.joins import lookup
 
 
 def ordered_list(fields: list, order: list) -> Column:
     """Aggregate: the rows of a group as structs, in ascending order, NULLs last.
 
-    Only for groups of bounded size: a LIMIT's rows, or one part of ``in_parts``.
+    Only for groups of bounded size: a LIMIT's rows, or one page.
     """
     keys = [k for o in order for k in (_col(o).isNull(), _col(o))]
     entry = F.struct(F.struct(*keys).alias("key"), F.struct(*fields).alias("value"))
     return F.sort_array(F.collect_list(entry)).getField("value")
 
 
-def crowded_groups(rows: DataFrame, group: str, rows_per_part: int) -> DataFrame:
-    """The groups of more than ``rows_per_part`` rows and how many ``parts`` they need."""
-    return (
-        rows.groupBy(group)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > rows_per_part)
-        .select(group, F.ceil(F.col("__rows") / rows_per_part).cast("int").alias("parts"))
-    )
-
-
-def in_parts(
-    rows: DataFrame, group: str, crowded: DataFrame, few_groups: bool = False
+def with_positions(
+    rows: DataFrame, group: str, order: list[str], few_groups: bool = False
 ) -> DataFrame:
-    """Add ``part``: 0 in an ordinary group; in a crowded one 0, 1, … so that a
-    part keeps to about the size wanted.
+    """Add ``position``: 1, 2, 3, … in the order of each group, NULLs last.
 
-    ``few_groups`` says that the crowded groups are known to be few enough to
-    be broadcast. Rows need an ``id``.
+    All rows are sorted together over many tasks and numbered there; a row's
+    position is its number less the first one of its group. So a crowded group
+    is spread over tasks. ``few_groups`` says that the groups may be broadcast.
     """
-    found = lookup(rows, crowded, [group], small=few_groups, keys_from=rows.select(group))
-    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
-    return found.select(*rows.columns, part.cast("int").alias("part"))
+    nulls = {f"__null{i}": F.col(c).isNull() for i, c in enumerate(order)}
+    keys = [k for i, c in enumerate(order) for k in (f"__null{i}", c)]
+    numbered = dense_index(rows.withColumns(nulls), [group, *keys], "__index")
+    first = numbered.groupBy(group).agg(F.min("__index").alias("__first"))
+    found = lookup(
+        numbered, first, [group], small=few_groups, keys_from=numbered.select(group)
+    )
+    return found.select(*rows.columns, (F.col("__index") - F.col("__first") + 1).alias("position"))
+
+
+def page_of(position: str, page_size: int) -> Column:
+    """The page, from 0, that holds a position."""
+    return F.floor((F.col(position) - 1) / page_size).cast("long")

@@ -15,7 +15,6 @@ from clubhouse.plans.events import (
     upcoming_events,
 )
 from clubhouse.plans.leaderboards import (
-    TEAMS_PER_PART,
     latest_event_top,
     leaderboard_snippet,
     podium_documents,
@@ -62,17 +61,17 @@ def home_summary(tables: Tables, as_of: dt.date, n: int = 5) -> DataFrame:
 def homepage(
     tables: Tables,
     as_of: dt.date,
-    rows_per_part: int = TEAMS_PER_PART,
+    page_size: int,
 ) -> DataFrame:
     """Upcoming events, latest podiums, leaderboard snippet and top players.
 
-    One document row, ``part`` 0. Only if a podium holds more than
-    ``rows_per_part`` rows do further parts follow, with podium rows alone.
+    One document row, ``page`` 0. Only if a podium holds more than
+    ``page_size`` rows do further pages follow, with podium rows alone.
     """
     newest_first = [-F.unix_date("date"), -F.col("id")]
     podiums = (
-        podium_documents(tables, rows_per_part=rows_per_part)
-        .groupBy("part")
+        podium_documents(tables, page_size)
+        .groupBy("page")
         .agg(
             ordered_list(["id", "name", "date", "course", "podium"], newest_first)
             .alias("latestEvents")
@@ -101,14 +100,14 @@ def homepage(
             [-F.col("career_wins"), -F.col("events_played"), "name", "player_id"],
         )
     )
-    first = F.col("part") == 0
+    first = F.col("page") == 0
     no_events = F.array().cast(podiums.schema["latestEvents"].dataType)
     return (
         _one_row(tables)
-        .select(F.col("id").cast("int").alias("part"))
-        .join(podiums, "part", "full")
+        .select(F.col("id").alias("page"))
+        .join(podiums, "page", "full")
         .select(
-            "part",
+            "page",
             F.when(first, upcoming.scalar()).alias("upcomingEvents"),
             F.coalesce("latestEvents", no_events).alias("latestEvents"),
             F.when(first, snippet.scalar()).alias("leaderboardSnippet"),

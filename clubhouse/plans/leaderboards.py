@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clubhouse.functions.names import TEAM_SEPARATOR, compact_team_name, player_ids
 from clubhouse.functions.scoring import is_counted, to_par
 from clubhouse.operators.joins import lookup
-from clubhouse.operators.nesting import crowded_groups, in_parts, ordered_list
+from clubhouse.operators.nesting import ordered_list, page_of, with_positions
 from clubhouse.operators.slots import add_names_to_few, add_player_names, hydrate_names
 from clubhouse.plans.events import (
     EVENT_COLUMNS,
@@ -24,10 +24,6 @@ from clubhouse.plans.events import (
 from clubhouse.schemas import SLOT_IDS, SLOT_NAMES
 from clubhouse.tables import Tables
 
-# Teams nested in one document row. An event with more continues in further
-# parts, so that no row and no task holds an unbounded list.
-TEAMS_PER_PART = 10_000
-
 
 def _id_and_name_columns() -> list[str]:
     return [c for pair in zip(SLOT_IDS, SLOT_NAMES) for c in pair]
@@ -107,16 +103,20 @@ def _team_columns() -> list[Column]:
     ]
 
 
-def _podium_scores(tables: Tables, events: DataFrame) -> DataFrame:
-    """Counted scores on places 1 to 3 of the given few events."""
+def _podium_scores(tables: Tables, events: DataFrame, n: int) -> DataFrame:
+    """Counted scores on places 1 to 3 of the last n finalized events."""
     named = events.select(F.col("id").alias("event_id"), "name", "date", "course")
-    placed = tables.scores.where(F.col("placement").isin(1, 2, 3) & is_counted())
+    # n values at most: the scan of the scores gets them as a pushed filter.
+    ids = [row.id for row in pick_finalized(tables, n).select("id").collect()]
+    placed = tables.scores.where(
+        F.col("event_id").isin(ids) & F.col("placement").isin(1, 2, 3) & is_counted()
+    )
     return placed.join(F.broadcast(named), "event_id")
 
 
 def latest_podiums(tables: Tables, n: int = 3, ordered: bool = True) -> DataFrame:
     """Podium rows of the last n finalized events, with compact team names."""
-    rows = _podium_scores(tables, latest_finalized(tables, n))
+    rows = _podium_scores(tables, latest_finalized(tables, n), n)
     podium = add_player_names(rows, tables, "compact").select(
         "event_id", "name", "date", "course", "id", "placement", "strokes", "to_par",
         *_team_columns(),
@@ -132,7 +132,7 @@ def latest_podiums(tables: Tables, n: int = 3, ordered: bool = True) -> DataFram
 def latest_podiums_hydrated(tables: Tables, n: int = 5) -> DataFrame:
     """Variant over five events whose names come from the id list, with
     "Player #id" for an id that is not in the table."""
-    rows = _podium_scores(tables, latest_finalized(tables, n)).select(
+    rows = _podium_scores(tables, latest_finalized(tables, n), n).select(
         "event_id", "name", "date", "course", "id", "placement", "strokes", "to_par",
         player_ids(*SLOT_IDS).alias("player_ids"),
     )
@@ -140,23 +140,27 @@ def latest_podiums_hydrated(tables: Tables, n: int = 5) -> DataFrame:
     return named.withColumnRenamed("names", "team_name")
 
 
-def podium_documents(
-    tables: Tables, n: int = 3, rows_per_part: int = TEAMS_PER_PART
-) -> DataFrame:
-    """One row per event with a nested, ordered ``podium``; an event without a
-    podium row is left out. A podium of more rows continues in further parts."""
-    podium = _podium_scores(tables, latest_finalized(tables, n))
-    crowded = crowded_groups(podium, "event_id", rows_per_part)
-    rows = in_parts(podium, "event_id", crowded, few_groups=True)  # n events at most
+def podium_rows(tables: Tables, n: int = 3) -> DataFrame:
+    """Podium rows of the last n finalized events with their ``position``, from
+    1, by placement and id."""
+    podium = _podium_scores(tables, latest_finalized(tables, n), n)
+    placed = with_positions(podium, "event_id", ["placement", "id"], few_groups=True)
+    return add_player_names(placed, tables, "compact")
+
+
+def podium_documents(tables: Tables, page_size: int, n: int = 3) -> DataFrame:
+    """One row per event and page with a nested, ordered ``podium``; an event
+    without a podium row is left out. Page 0 holds the first positions."""
     entry = [
         "placement", "strokes", F.col("to_par").alias("toPar"),
         player_ids(*SLOT_IDS).alias("playerIds"),
         compact_team_name(*SLOT_NAMES).alias("teamName"),
     ]
     return (
-        add_player_names(rows, tables, "compact")
-        .groupBy(F.col("event_id").alias("id"), "name", "date", "course", "part")
-        .agg(ordered_list(entry, ["placement", "id"]).alias("podium"))
+        podium_rows(tables, n)
+        .withColumn("page", page_of("position", page_size))
+        .groupBy(F.col("event_id").alias("id"), "name", "date", "course", "page")
+        .agg(ordered_list(entry, ["position"]).alias("podium"))
     )
 
 
@@ -217,43 +221,39 @@ def leaderboard_snippet_outer(tables: Tables, n: int = 5) -> DataFrame:
     )
 
 
-def event_with_teams(
-    tables: Tables, event_id: int | None = None, rows_per_part: int = TEAMS_PER_PART
-) -> DataFrame:
+def event_team_rows(tables: Tables, event_id: int | None = None) -> DataFrame:
+    """Teams of all events or of one with their ``position`` in the event, from
+    1, by id; names are NULL for an empty slot."""
+    scores = tables.scores.select("id", "event_id", *SLOT_IDS, "strokes", "placement", "notes")
+    if event_id is not None:
+        scores = scores.where(F.col("event_id") == event_id)
+    few = event_id is not None or tables.is_small("events")
+    placed = with_positions(scores, "event_id", ["id"], few_groups=few)
+    return add_player_names(placed, tables, "strict")
+
+
+def event_with_teams(tables: Tables, page_size: int, event_id: int | None = None) -> DataFrame:
     """Events with their teams nested, sorted by id; [] for an event without.
 
-    An event with more than ``rows_per_part`` teams continues in further parts.
+    One row per event and page; page 0 holds the first positions. The flat
+    ``event_team_rows`` has all teams of an event without pages.
     """
     listed = event_list_with_location(tables, ordered=False)
-    scores = tables.scores.select("id", "event_id", *SLOT_IDS, "strokes", "placement", "notes")
     if event_id is not None:
         listed = listed.where(F.col("id") == event_id)
-        scores = scores.where(F.col("event_id") == event_id)
-    # Each crowded event takes more than rows_per_part of the counted rows.
-    few_groups = tables.rows("scores") <= rows_per_part * tables.broadcast_rows
-    crowded = crowded_groups(scores, "event_id", rows_per_part)
     team = [
         "id", "strokes", "placement", "notes",
         *[F.col(n).alias(n.removesuffix("_name")) for n in SLOT_NAMES],
     ]
     teams = (
-        add_player_names(in_parts(scores, "event_id", crowded, few_groups), tables, "strict")
-        .groupBy(F.col("event_id").alias("id"), "part")
-        .agg(ordered_list(team, ["id"]).alias("teams"))
-    )
-    # The events get a row per part as well, so that the nested lists are
-    # joined where they were built and need not move again.
-    parts = lookup(listed, crowded.withColumnRenamed("event_id", "id"), ["id"], small=few_groups)
-    listed = parts.select(
-        *listed.columns,
-        F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
+        event_team_rows(tables, event_id)
+        .groupBy(F.col("event_id").alias("id"), page_of("position", page_size).alias("page"))
+        .agg(ordered_list(team, ["position"]).alias("teams"))
     )
     no_teams = F.array().cast(teams.schema["teams"].dataType)
-    return (
-        listed.join(teams, ["id", "part"], "left")
-        .where((F.col("part") == 0) | F.col("teams").isNotNull())
-        .select(
-            *EVENT_COLUMNS, "course_name", "course_location", "course_par", "part",
-            F.coalesce("teams", no_teams).alias("teams"),
-        )
+    # A page exists because a team is on it; an event without teams has page 0.
+    return listed.join(teams, "id", "left").select(
+        *EVENT_COLUMNS, "course_name", "course_location", "course_par",
+        F.coalesce("page", F.lit(0).cast("long")).alias("page"),
+        F.coalesce("teams", no_teams).alias("teams"),
     )

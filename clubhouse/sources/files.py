@@ -10,18 +10,19 @@ from clubhouse import schemas
 from clubhouse.operators.quality import duplicate_keys, refuse
 
 
+# The header must name the columns in their order, and a row that does not fit
+# them fails the read.
+_STRICT = {"header": True, "enforceSchema": False, "mode": "FAILFAST"}
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """A results sheet. A row that does not fit the columns fails the read."""
-    return (
-        spark.read.schema(schemas.SHEET)
-        .options(header=True, mode="FAILFAST", dateFormat="yyyy-MM-dd")
-        .csv(path)
-    )
+    """A results sheet."""
+    return spark.read.schema(schemas.SHEET).options(**_STRICT, dateFormat="yyyy-MM-dd").csv(path)
 
 
 def read_name_map(spark: SparkSession, path: str) -> DataFrame:
     """The raw-name map; a raw name may occur once."""
-    names = spark.read.schema(schemas.NAME_MAP).options(header=True, mode="FAILFAST").csv(path)
+    names = spark.read.schema(schemas.NAME_MAP).options(**_STRICT).csv(path)
     refuse(duplicate_keys(names, "name_map"), "name map: raw name given twice")
     return names
 
@@ -30,7 +31,7 @@ def read_backup(spark: SparkSession, table: str, path: str) -> DataFrame:
     """A table backup as CSV. Its booleans are t and f, so text is read first."""
     target = schemas.TABLES[table]
     text = StructType([StructField(f.name, StringType()) for f in target.fields])
-    rows = spark.read.schema(text).options(header=True, mode="FAILFAST").csv(path)
+    rows = spark.read.schema(text).options(**_STRICT).csv(path)
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.fields])
 
 
@@ -44,3 +45,19 @@ def as_json(document: DataFrame) -> DataFrame:
 def write_documents(document: DataFrame, path: str) -> None:
     """One JSON object per line."""
     document.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_csv(rows: DataFrame, path: str, short_flags: bool = False) -> None:
+    """Rows as CSV files with a header; ``short_flags`` writes booleans as t and
+    f, as backups have them."""
+    flags = {
+        f.name: F.when(F.col(f.name), "t").when(~F.col(f.name), "f")
+        for f in rows.schema.fields
+        if short_flags and f.dataType.typeName() == "boolean"
+    }
+    (rows.withColumns(flags) if flags else rows).write.option("header", True).csv(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Documents that were written one JSON object per line."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -1,38 +1,44 @@
 """The four tables as Parquet, one directory per saved version.
 
 Parquet cannot be overwritten while it is being read, so every save goes to a
-new version. A line in the ``versions`` log, written last, makes a version
-visible: all four tables at once, or none.
+directory of its own. A line in the ``versions`` log, written last, names it and
+makes it visible: all four tables at once, or none. Two savers at a time never
+write to the same place; of equal version numbers the greater name counts.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clubhouse import schemas
-from clubhouse.operators.changes import insert_rows
+from clubhouse.operators.quality import check_table
 from clubhouse.tables import Tables, conform, empty_tables
 
-_LOG = "version bigint"
+_LOG = "version bigint, folder string"
 
 
-def current_version(spark: SparkSession, root: str) -> int:
-    """The newest visible version, 0 if there is none."""
+def _visible(spark: SparkSession, root: str, version: int | None = None) -> tuple[int, str | None]:
+    """The number and folder of a version, by default the newest; 0 if none."""
     try:
         log = spark.read.schema(_LOG).json(f"{root}/versions")
-        return log.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        if version is not None:
+            log = log.where(F.col("version") == version)
+        newest = log.agg(F.max(F.struct("version", "folder"))).first()[0]
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return 0
-        raise
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = None
+    return (newest[0], newest[1]) if newest else (0, None)
 
 
-def _path(root: str, version: int, table: str) -> str:
-    return f"{root}/version={version}/{table}"
+def current_version(spark: SparkSession, root: str) -> int:
+    """The newest visible version, 0 if there is none."""
+    return _visible(spark, root)[0]
 
 
 # How a saved table is laid out. Range partitioning splits a crowded event or
@@ -44,16 +50,17 @@ def save_tables(tables: Tables, root: str) -> int:
     """Write a new version and make it visible. Events are split by season."""
     spark = tables.spark
     version = current_version(spark, root) + 1
+    folder = f"version={version}-{uuid.uuid4().hex}"
     for name, df in tables.as_dict().items():
         rows = conform(df, name)
         if name in CLUSTERED_BY:
             order = CLUSTERED_BY[name]
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        writer = rows.write.mode("overwrite")
+        writer = rows.write
         if name == "events":
             writer = writer.partitionBy("season")
-        writer.parquet(_path(root, version, name))
-    spark.createDataFrame([(version,)], _LOG).coalesce(1).write.mode("append").json(
+        writer.parquet(f"{root}/{folder}/{name}")
+    spark.createDataFrame([(version, folder)], _LOG).coalesce(1).write.mode("append").json(
         f"{root}/versions"
     )
     return version
@@ -61,57 +68,77 @@ def save_tables(tables: Tables, root: str) -> int:
 
 def load_tables(spark: SparkSession, root: str, version: int | None = None) -> Tables:
     """Read a version, by default the newest visible one."""
-    version = version or current_version(spark, root)
-    if not version:
-        raise FileNotFoundError(f"no saved tables under {root}")
+    _, folder = _visible(spark, root, version)
+    if folder is None:
+        raise FileNotFoundError(f"no such saved tables under {root}")
 
     def read(name: str) -> DataFrame:
-        df = spark.read.schema(schemas.TABLES[name]).parquet(_path(root, version, name))
+        df = spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{folder}/{name}")
         return conform(df, name)
 
     return Tables(**{name: read(name) for name in schemas.TABLES})
 
 
-# Invented demonstration rows.
+# Invented demonstration rows: a club's autumn, with a shared first place, a
+# disqualified team, teams of one, two and four, and an event still to come.
 SEED_PLAYERS = [
-    ("Ada", "Birch", "Lefty", "Oak Hill, MN", 2019, "Most improved 2022"),
-    ("Ben", "Cole", "", "Elm Town, MN", 2020, "Founder"),
-    ("Cy", "Drake", "The Putter", "Ash City, MN", 2021, ""),
+    ("Ines", "Quill", "Mulligan", 2008),
+    ("Jonah", "Reed", None, 2011),
+    ("Katja", "Stone", None, 2011),
+    ("Leo", "Thorn", "Birdie", 2014),
+    ("Mira", "Umber", None, 2016),
+    ("Nils", "Vale", None, None),
+    ("Oona", "Weld", "Ace", 2017),
+]
+SEED_COURSES = [
+    ("Harbour Links", "Port Wend", None, 70),
+    ("Pine Ridge", "Upper Marl", "WI", 71),
+]
+SEED_EVENTS = [
+    ("Harvest Cup", dt.date(2018, 9, 2), 2, 2018, True, "Club Championship", True),
+    ("Fog Bowl", dt.date(2018, 10, 21), 1, 2018, False, None, True),
+    ("First Frost", dt.date(2018, 11, 25), 2, 2018, False, None, False),
 ]
-SEED_COURSE = ("Long Meadow", "Oak Hill", "MN", 72)
-SEED_EVENT = ("Two-Player Scramble", dt.date(2025, 7, 12), 1, True, 2025, True, "Masters", True)
 SEED_SCORES = [
-    (1, 1, 2, 70, 1, "Ada and Ben as a pair"),
-    (1, 3, None, 75, 2, "Cy alone"),
+    (1, 1, 2, None, None, 64, 1, False, None),
+    (1, 3, 4, None, None, 64, 1, False, "level after extra holes"),
+    (1, 5, None, None, None, 69, 3, False, None),
+    (1, 6, 7, None, None, None, 4, True, "card not handed in"),
+    (2, 1, 3, 5, 7, 61, 1, False, None),
+    (2, 2, 4, 6, None, 66, 2, False, None),
 ]
 
 
 def seed(spark: SparkSession, root: str | None = None) -> Tables:
-    """Start over with a handful of rows: ids from 1, a pair and a solo score.
+    """Start over with the demonstration rows, numbered from 1.
 
     With ``root`` the rows become the newest saved version.
     """
     rows = {
         "players": (
             SEED_PLAYERS,
-            "first_name string, last_name string, nickname string, hometown string,"
-            " debut_year int, accolades string",
+            "first_name string, last_name string, nickname string, debut_year int",
         ),
-        "courses": ([SEED_COURSE], "name string, city string, state string, par int"),
+        "courses": (SEED_COURSES, "name string, city string, state string, par int"),
         "events": (
-            [SEED_EVENT],
-            "name string, date date, course_id bigint, is_team_event boolean, season int,"
-            " is_major boolean, major_label string, finalized boolean",
+            SEED_EVENTS,
+            "name string, date date, course_id bigint, season int, is_major boolean,"
+            " major_label string, finalized boolean",
         ),
         "scores": (
             SEED_SCORES,
-            "event_id bigint, player1_id bigint, player2_id bigint, strokes int,"
-            " placement int, notes string",
+            "event_id bigint, player1_id bigint, player2_id bigint, player3_id bigint,"
+            " player4_id bigint, strokes int, placement int, disqualified boolean, notes string",
         ),
     }
     tables = empty_tables(spark)
     for name, (values, columns) in rows.items():
-        tables = insert_rows(tables, name, spark.createDataFrame(values, columns)).tables
+        # Ids follow the order of the columns, events refer to them: keep it.
+        numbered = spark.createDataFrame([(i, *v) for i, v in enumerate(values, 1)], f"id bigint, {columns}")
+        defaults = {c: F.lit(x) for c, x in schemas.DEFAULTS[name].items() if c not in numbered.columns}
+        filled = conform(numbered.withColumns(defaults) if defaults else numbered, name)
+        tables = tables.with_tables(**{name: filled})
+        check_table(filled, name)
     if root is not None:
         save_tables(tables, root)
     return tables

@@ -209,3 +209,18 @@ def test_golden_load(spark):
     have = facts(loaded.events, loaded.scores)
     assert have.count() == want.count() > 0
     assert have.exceptAll(want).isEmpty() and want.exceptAll(have).isEmpty()
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
+def test_ambiguous_names_are_refused_at_any_size(spark, league, sheet, broadcast_rows):
+    twins = spark.createDataFrame([(9, "Ada", "Birch")], "id long, first_name string, last_name string")
+    two = Tables(
+        **{**league.as_dict(), "players": league.players.unionByName(twins, allowMissingColumns=True)},
+        broadcast_rows=broadcast_rows,
+    )
+    once = spark.createDataFrame([("Ada Birch", "Ada", "Birch")], "raw_full string, first_name string, last_name string")
+    with pytest.raises(IntegrityError, match="several players"):
+        load.insert_scores(sheet, once, two)
+    one = Tables(**league.as_dict(), broadcast_rows=broadcast_rows)
+    with pytest.raises(IntegrityError, match="given twice"):
+        load.insert_scores(sheet, once.union(once), one)

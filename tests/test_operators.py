@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clubhouse.operators.ids import dense_index, with_new_ids
 from clubhouse.operators.joins import hot_key_hashes, lookup
-from clubhouse.operators.nesting import crowded_groups, in_parts, ordered_list
+from clubhouse.operators.nesting import ordered_list, page_of, with_positions
 from clubhouse.operators.slots import (
     add_names_to_few,
     add_player_names,
@@ -147,12 +147,30 @@ def test_ordered_lists_put_nulls_last(spark):
 
 
 @pytest.mark.parametrize("few_groups", [True, False])
-def test_crowded_groups_are_split_without_loss(spark, few_groups):
-    df = spark.range(1000).select("id", F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("g"))
-    crowded = crowded_groups(df, "g", 100)
-    assert rows(crowded) == [(1, 9)]
-    parted = in_parts(df, "g", crowded, few_groups)
-    assert parted.count() == 1000 and parted.select("id").distinct().count() == 1000
-    sizes = dict(rows(parted.where("g = 1").groupBy("part").count()))
-    assert set(sizes) == set(range(9)) and max(sizes.values()) < 200
-    assert parted.where("g <> 1 AND part <> 0").isEmpty()
+def test_positions_follow_the_order_of_each_group(spark, few_groups):
+    df = spark.range(1000).select(
+        "id", F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("g"),
+        F.when(F.col("id") % 9 != 0, -F.col("id")).alias("rank"),
+    )
+    placed = with_positions(df, "g", ["rank", "id"], few_groups)
+    ids = [i for i in range(900)]
+    wanted = sorted(ids, key=lambda i: (i % 9 == 0, -i if i % 9 else 0, i))
+    assert rows(placed.where("g = 1").orderBy("position"), "position", "id") == list(enumerate(wanted, 1))
+    assert rows(placed.where("g <> 1").select("position").distinct()) == [(1,)]
+    pages = placed.where("g = 1").select("position", page_of("position", 100).alias("page"))
+    assert sorted(rows(pages.groupBy("page").count())) == [(i, 100) for i in range(9)]
+
+
+def test_many_heavy_keys_are_all_found(spark):
+    """A hundred keys with a hundredth of the rows each."""
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        fact = spark.range(20_000).select((F.col("id") % 100).alias("k"), "id")
+        assert hot_key_hashes(fact, ["k"]).count() == 100
+        dim = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        found = lookup(fact, dim, ["k"])
+        assert found.where("v = 2 * k").count() == 20_000
+        sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert max(sizes) < 3 * 20_000 / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")

@@ -149,7 +149,7 @@ def test_podiums(either):
         (1, 12, [2], "B. Cole"),
         (1, 13, [3, 2], "C. Drake / B. Cole"),
     ]
-    documents = leaderboards.podium_documents(either).orderBy("id").collect()
+    documents = leaderboards.podium_documents(either, 10).orderBy("id").collect()
     assert [(d.id, [p.teamName for p in d.podium]) for d in documents] == [
         (1, ["A. Birch / A. Birch", "B. Cole", "C. Drake / B. Cole"]), (2, ["B. Cole"]),
     ]
@@ -176,15 +176,25 @@ def test_snippets(either):
 
 
 def test_event_with_teams(either):
-    found = {r.id: r for r in leaderboards.event_with_teams(either).collect()}
+    found = {r.id: r for r in leaderboards.event_with_teams(either, 10).collect()}
     assert len(found) == 4 and found[4].teams == []
     assert [(t.id, t.player1, t.player2) for t in found[1].teams] == [
         (11, "Ada Birch", "Ada Birch"), (12, "Ben Cole", None), (13, "Cy Drake", "Ben Cole"),
     ]
-    assert leaderboards.event_with_teams(either, 2).count() == 1
-    parts = leaderboards.event_with_teams(either, 1, rows_per_part=1).collect()
-    assert sorted(t.id for p in parts for t in p.teams) == [11, 12, 13]
-    assert len({p.part for p in parts}) == len(parts)
+    assert leaderboards.event_with_teams(either, 10, event_id=2).count() == 1
+
+
+@pytest.mark.parametrize("page_size", [1, 3, 1_000_000])
+def test_pages_joined_in_order_give_the_same_list(either, page_size):
+    pages = leaderboards.event_with_teams(either, page_size, 1).orderBy("page").collect()
+    assert [p.page for p in pages] == list(range(len(pages)))
+    assert [t.id for p in pages for t in p.teams] == [11, 12, 13]
+    flat = leaderboards.event_team_rows(either, 1).orderBy("position")
+    assert rows(flat, "position", "id") == [(1, 11), (2, 12), (3, 13)]
+
+    podium = leaderboards.podium_documents(either, page_size).where("id = 1").orderBy("page")
+    places = [p.placement for page in podium.collect() for p in page.podium]
+    assert places == [1, 1, 3]
 
 
 def test_league_totals(either):
@@ -200,7 +210,7 @@ def test_home_summary(either):
 
 
 def test_homepage(either):
-    (page,) = homepage.homepage(either, day(3)).collect()
+    (page,) = homepage.homepage(either, day(3), 10).collect()
     assert [e.id for e in page.upcomingEvents] == [3, 4]
     assert [e.id for e in page.latestEvents] == [2, 1]
     assert page.leaderboardSnippet.event.name == "Cup"
@@ -208,9 +218,10 @@ def test_homepage(either):
     assert [p.player_id for p in page.topPlayers] == [1, 2, 3, 4]
 
 
-def test_a_long_podium_continues_in_parts(league):
-    pages = homepage.homepage(league, day(3), rows_per_part=1).orderBy("part").collect()
-    assert pages[0].part == 0 and pages[0].topPlayers and len(pages) > 1
+def test_a_long_podium_continues_on_further_pages(league):
+    pages = homepage.homepage(league, day(3), 1).orderBy("page").collect()
+    assert pages[0].page == 0 and pages[0].topPlayers and len(pages) > 1
+    assert {p.placement for e in pages[0].latestEvents for p in e.podium} == {1, 2}
     assert all(p.topPlayers is None for p in pages[1:])
     entries = [p for page in pages for e in page.latestEvents for p in e.podium]
     assert len(entries) == 4
@@ -221,7 +232,7 @@ def test_reports_on_empty_tables(spark, broadcast_rows):
     nothing = Tables(**empty_tables(spark).as_dict(), broadcast_rows=broadcast_rows)
     one = homepage.home_summary(nothing, day(1)).first()
     assert tuple(one.totals) == (0, 0, 0) and one.latest_event is None and one.next_event is None
-    (page,) = homepage.homepage(nothing, day(1)).collect()
+    (page,) = homepage.homepage(nothing, day(1), 10).collect()
     assert page.latestEvents == [] and page.leaderboardSnippet is None
     assert page.upcomingEvents == [] and page.topPlayers == []
     assert wins.career_wins(nothing).isEmpty() and players.player_stats(nothing).isEmpty()

@@ -30,13 +30,35 @@ def test_save_and_load(spark, league, tmp_path):
 def test_seed(spark, tmp_path):
     root = str(tmp_path / "league")
     tables = store.seed(spark, root)
-    assert sorted(rows(tables.players, "id", "first_name")) == [(1, "Ada"), (2, "Ben"), (3, "Cy")]
+    counts = {name: df.count() for name, df in tables.as_dict().items()}
+    assert counts == {"players": 7, "courses": 2, "events": 3, "scores": 6}
     board = leaderboards.event_scores(store.load_tables(spark, root))
-    assert rows(board, "player1_name", "player2_name", "strokes", "to_par", "placement") == [
-        ("Ada Birch", "Ben Cole", 70, -2, 1), ("Cy Drake", "", 75, 3, 2),
+    assert rows(board, "event_id", "player1_name", "strokes", "to_par", "placement", "disqualified") == [
+        (1, "Ines Quill", 64, -7, 1, False),
+        (1, "Katja Stone", 64, -7, 1, False),
+        (1, "Mira Umber", 69, -2, 3, False),
+        (1, "Nils Vale", None, None, 4, True),
+        (2, "Ines Quill", 61, -9, 1, False),
+        (2, "Jonah Reed", 66, -4, 2, False),
     ]
 
 
+def test_two_savers_do_not_meet(spark, league, tmp_path, monkeypatch):
+    root = str(tmp_path / "league")
+    monkeypatch.setattr(store, "current_version", lambda *_: 0)  # both see no version yet
+    less = league.with_tables(scores=league.scores.where("event_id = 1"))
+    assert store.save_tables(league, root) == store.save_tables(less, root) == 1
+    assert store.load_tables(spark, root).scores.count() in (3, 7)
+    assert len(list((tmp_path / "league").glob("version=1-*"))) == 2
+
+
+def test_headers_must_be_in_order(spark, tmp_path):
+    path = tmp_path / "names.csv"
+    path.write_text("raw_full,last_name,first_name\nAda Birch,Birch,Ada\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        files.read_name_map(spark, str(path)).collect()
+
+
 def test_backups(spark, tmp_path):
     path = tmp_path / "events.csv"
     path.write_text(
@@ -51,7 +73,7 @@ def test_backups(spark, tmp_path):
 
 
 def test_documents(league, tmp_path):
-    page = homepage.homepage(league, day(3))
+    page = homepage.homepage(league, day(3), 10)
     text = json.loads(files.as_json(page).first().value)
     assert [e["id"] for e in text["upcomingEvents"]] == [3, 4]
     assert text["latestEvents"][0]["podium"][0] == {
