@@ -81,11 +81,16 @@ def leaf_likeness(one: Column, other: Column) -> Column:
     return 2.0 * shared / (F.size(one) + F.size(other))
 
 
+def _tail(array: Column) -> Column:
+    """An array without its first element."""
+    return F.slice(array, F.lit(2), F.size(array))
+
+
 def leaves_of(fingerprint: Column) -> Column:
     """The distinct leaves that a fingerprint string holds."""
     paragraphs = F.split(F.regexp_replace(fingerprint, r"^[^|]*\||[0-9A-F]+:", ""), r"[|,]")
     return F.array_distinct(
-        F.flatten(F.transform(paragraphs, lambda p: F.slice(F.split(p, r"\."), 2, 2**31 - 1)))
+        F.flatten(F.transform(paragraphs, lambda p: _tail(F.split(p, r"\."))))
     )
 
 
@@ -101,8 +106,8 @@ def differing_paragraphs(one: Column, other: Column) -> Column:
     the paragraphs are compared. Paragraphs beyond the end of ``other`` differ.
     Equal roots give an empty list.
     """
-    mine = F.slice(F.split(one, r"\|"), 2, 2**31 - 1)
-    theirs = F.slice(F.split(other, r"\|"), 2, 2**31 - 1)
+    mine = _tail(F.split(one, r"\|"))
+    theirs = _tail(F.split(other, r"\|"))
 
     def changed(section: Column, i: Column) -> Column:
         there = F.coalesce(F.get(theirs, i), F.lit(""))
