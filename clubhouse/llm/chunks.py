@@ -11,12 +11,15 @@ to the library whole. The result is what the library gives for the whole text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import filterfalse
 
 import numpy as np
 
 #: Chunks a worker remembers, and the longest one in characters.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 400_000
 CACHED_LENGTH = 48
+#: New chunks that the library encodes together.
+LINE_CHUNKS = 64
 
 
 class ChunkEncoder:
@@ -36,27 +39,28 @@ class ChunkEncoder:
         bare_start: bool,
     ):
         self._encode, self._opens = encode, opens
-        self._irregular, self._bare_start = irregular, bare_start
+        self._irregular, self._lead = irregular, "" if bare_start else " "
         self._known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._encode(text), np.int32).tobytes()
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        joined = " ".join(missing) if self._bare_start else " " + " ".join(missing)
-        ids = np.asarray(self._encode(joined), np.int32)
-        begins = np.flatnonzero(self._opens[ids])
-        if len(begins) != len(missing) or (len(ids) and begins[0]):
-            return {chunk: self._alone(chunk) for chunk in missing}
-        data, ends = ids.tobytes(), [*(begins[1:] * 4).tolist(), 4 * len(ids)]
-        return {c: data[a:b] for c, a, b in zip(missing, (begins * 4).tolist(), ends)}
-
-    def _alone(self, chunk: str) -> bytes:
-        return self._whole(chunk if self._bare_start else " " + chunk)
+    def _learn(self, missing: list[str]) -> None:
+        for at in range(0, len(missing), LINE_CHUNKS):
+            part = missing[at : at + LINE_CHUNKS]
+            ids = np.asarray(self._encode(self._lead + " ".join(part)), np.int32)
+            begins = np.flatnonzero(self._opens[ids])
+            if len(begins) != len(part) or begins[0]:
+                self._known.update((c, self._whole(self._lead + c)) for c in part)
+                continue
+            data, cuts = ids.tobytes(), [*(begins * 4).tolist(), 4 * len(ids)]
+            self._known.update((c, data[a:b]) for c, a, b in zip(part, cuts, cuts[1:]))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         known = self._known
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
         chunked: list[list[str] | None] = []
         missing: set[str] = set()
         for text in texts:
@@ -65,31 +69,19 @@ class ChunkEncoder:
                 continue
             chunks = text.split(" ")
             chunked.append(chunks)
-            missing.update(chunks if self._bare_start else chunks[1:])
-        missing -= known.keys()
-        fresh = self._learn(list(missing)) if missing else {}
-        look = known if not fresh else {**fresh} if not known else _Both(fresh, known)
+            missing.update(filterfalse(known.__contains__, chunks))
+        self._learn(list(missing))
+        look = known.__getitem__
         rows = []
         for text, chunks in zip(texts, chunked):
             if chunks is None:
                 rows.append(self._whole(text))
-            elif self._bare_start:
-                rows.append(b"".join([look[c] for c in chunks]))
+            elif self._lead:
+                rows.append(self._whole(chunks[0]) + b"".join(map(look, chunks[1:])))
             else:
-                rows.append(self._whole(chunks[0]) + b"".join([look[c] for c in chunks[1:]]))
-        if len(known) + len(fresh) > CACHE_CHUNKS:
-            known.clear()
-        known.update((c, ids) for c, ids in fresh.items() if len(c) <= CACHED_LENGTH)
+                rows.append(b"".join(map(look, chunks)))
+        for chunk in missing:
+            if len(chunk) > CACHED_LENGTH:
+                del known[chunk]
         counts = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
         return np.frombuffer(b"".join(rows), np.int32), counts
-
-
-class _Both(dict):
-    """The known chunks, and behind them those just learnt."""
-
-    def __init__(self, fresh: dict[str, bytes], known: dict[str, bytes]):
-        super().__init__(fresh)
-        self._known = known
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self._known[chunk]

@@ -261,13 +261,14 @@ def byte_level_encoder(path: str) -> Callable:
     for name, number in names.items():
         opens[number] = name.startswith("Ġ")
     cutter = told["pre_tokenizer"] or {}
+    # A piece may reach over a space only between white space, as irregular texts have it.
     by_chunk = (
         told["normalizer"] is None
         and told["model"]["type"] == "BPE"
         and cutter.get("type") == "ByteLevel"
         and cutter.get("use_regex") is True
         and not cutter.get("add_prefix_space")
-        and not any("Ġ" in name[1:] and name.strip("Ġ") for name in names)
+        and not any(library.decode([n]).strip() for name, n in names.items() if "Ġ" in name[1:])
     )
     irregular = re.compile(r" (?:\s|\Z)").search if by_chunk else lambda _: True
     return ChunkEncoder(
