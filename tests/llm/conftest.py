@@ -1,0 +1,7 @@
+from __future__ import annotations
+
+import os
+import sys
+
+# The tests here share helpers.
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
