@@ -115,7 +115,7 @@ def codewords(n: int) -> np.ndarray:
     if n <= 7:
         splits = range(1, 1 << max(n - 1, 0))
         rows = [[1 if k == 0 else (1 if s >> (k - 1) & 1 == 0 else -1) for s in splits] for k in range(n)]
-        return np.array(rows, np.float64).reshape(n, -1)
+        return np.array(rows, np.float64).reshape(n, len(splits))
     bits = int(np.ceil(10 * np.log2(n)))
     best, apart = None, -1
     for seed in range(64):
@@ -140,7 +140,8 @@ def learn(labelled: DataFrame) -> Model:
 
     Each language weighs the same, however many texts it has.
     """
-    counts = count_ngrams(labelled.where("text is not null and lang is not null"))
+    known = labelled.where("text is not null and lang is not null")
+    counts = count_ngrams(known.select(F.col("text").cast("string"), F.col("lang").cast("string")))
     languages = sorted(k for k, v in counts.items() if v.sum())
     code = codewords(len(languages))
     weights = np.zeros((len(ORDERS), BUCKETS + 1, code.shape[1] if code.size else 0), np.float32)

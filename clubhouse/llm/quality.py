@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubhouse.llm.words import SLICE_BYTES, buffer_of, slices
+from clubhouse.llm.words import SLICE_BYTES, Words, slices
 
 #: Documents for fitting: labelled ones, and unlabelled ones for the exchange.
 LABELLED = 4000
@@ -32,36 +32,56 @@ ROUNDS = 3
 #: sure it must be of them.
 HANDED = 150
 SURE = 0.95
-CONTENT = 1 << 12
+GRAMS = 1 << 11
+_SHAPE = 9
+CONTENT = _SHAPE + 256 + GRAMS
 CATEGORIES = 64
 _NUMBERS = 6
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def content_features(texts: pa.Array) -> np.ndarray:
-    """Square roots of the shares of hashed byte n-grams of lengths 1 to 3, in
-    whole texts. An empty text has none."""
+    """What whole texts are made of: shares of repeated words, capitals, digits
+    and other signs; square roots of the shares of bytes and of hashed byte pairs
+    and triples. An empty text has none."""
     rows = []
     for part in slices(texts):
-        data, bounds = buffer_of(part)
-        for a, b in zip(bounds, bounds[1:]):
-            total = np.zeros(CONTENT, np.int64)
-            for at in range(a, b, SLICE_BYTES):  # a very long text in parts, two bytes shared
-                codes = data[at : min(at + SLICE_BYTES + 2, b)].astype(np.uint32)
-                for code in _gram_codes(codes):
-                    total += np.bincount(code, minlength=CONTENT)
-            rows.append(np.sqrt(total / max(total.sum(), 1)).astype(np.float32))
+        words = Words(part, lower=True)
+        again = np.zeros(len(words.hash), bool)
+        again[1:] = words.hash[1:] == words.hash[:-1]
+        lone = (words.ends - words.starts == 1) & ~_LETTER[words.data[words.starts]]
+        for i, (a, b) in enumerate(zip(words.bounds, words.bounds[1:])):
+            data, own = words.data[a:b], slice(words.first[i], words.first[i + 1])
+            single = np.bincount(data, minlength=256)
+            grams = np.zeros(GRAMS, np.int64)
+            for at in range(0, len(data), SLICE_BYTES):  # a very long text in parts, two bytes shared
+                for code in _gram_codes(data[at : at + SLICE_BYTES + 2].astype(np.uint32)):
+                    grams += np.bincount(code, minlength=GRAMS)
+            n, size = max(own.stop - own.start, 1), max(len(data), 1)
+            shape = [
+                again[own.start + 1 : own.stop].sum() / n,
+                len(np.unique(words.hash[own])) / n,
+                size / n / 10 if len(data) else 0,
+                single[65:91].sum() / size,
+                single[48:58].sum() / size,
+                (single[33:48].sum() + single[58:65].sum() + single[91:97].sum() + single[123:127].sum()) / size,
+                single[10] / size,
+                (single[46] + single[44]) / size,
+                lone[own].sum() / n,
+            ]
+            rows.append(np.concatenate([shape, np.sqrt(single / size), np.sqrt(grams / max(grams.sum(), 1))]))
     return np.array(rows, np.float32).reshape(-1, CONTENT)
 
 
 def _gram_codes(data: np.ndarray) -> Iterator[np.ndarray]:
     code = data
-    for order in range(3):
-        if order:
-            code = code[:-1] * np.uint32(257) + data[order:]
-        if not len(code):
+    for order in (1, 2):
+        if len(code) < 2:
             return
+        code = code[:-1] * np.uint32(257) + data[order:]
         mixed = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        yield mixed >> np.uint32(32 - 12)
+        yield mixed >> np.uint32(32 - 11)
 
 
 def metadata_features(texts: pa.Array, langs: list, sources: list) -> np.ndarray:
@@ -99,9 +119,13 @@ class Linear:
         return x @ (self.weights * self.scale) + self.bias
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> Linear:
-    """Fit by accelerated gradient steps; both classes weigh the same."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 200) -> Linear:
+    """Fit by accelerated gradient steps; both classes weigh the same. The many
+    hashed features count for less than the few others."""
     scale = (1 / np.maximum(x.std(axis=0), 1e-2)).astype(np.float32)
+    if x.shape[1] == CONTENT:
+        scale[_SHAPE : _SHAPE + 256] *= 0.3
+        scale[_SHAPE + 256 :] *= 0.05
     z = x * scale
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y <= 0).sum(), 1))
     w, b = np.zeros(x.shape[1]), 0.0
@@ -177,7 +201,12 @@ def co_train(labelled: tuple, y: np.ndarray, pool: tuple) -> Model | None:
     truth = y[kept_apart]
     calibration = np.stack([_platt(v, truth) for v in views])
     calibrated = np.column_stack([v * s + o for v, (s, o) in zip(views, calibration)])
-    return Model(*models, calibration, _platt(calibrated, truth))
+    combination = _platt(calibrated, truth)
+    for view in np.flatnonzero(combination[:2] < 0):  # a view never counts against itself
+        other = _platt(calibrated[:, [1 - view]], truth)
+        combination = np.zeros(3)
+        combination[[1 - view, 2]] = other
+    return Model(*models, calibration, combination)
 
 
 def _most_sure(model: Linear, view: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
