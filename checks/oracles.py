@@ -19,9 +19,12 @@ player AS (
 event AS (
   SELECT o_orderkey + 1 AS id, 'Open ' || o_orderpriority AS name,
          CAST(o_orderdate AS DATE) AS date, o_custkey % 10 + 1 AS course_id,
-         TRUE AS is_team_event, CAST(NULL AS VARCHAR) AS notes,
+         o_orderpriority <> '5-LOW' AS is_team_event,
+         CASE WHEN o_orderstatus = 'P' THEN 'weather' END AS notes,
          CAST(year(o_orderdate) AS INT) AS season, o_orderpriority = '1-URGENT' AS is_major,
-         CAST(NULL AS VARCHAR) AS major_label, o_orderstatus <> 'O' AS finalized
+         CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN 'Masters' END
+           AS major_label,
+         o_orderstatus <> 'O' AS finalized
   FROM orders),
 score AS (
   SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id,
@@ -36,7 +39,8 @@ score AS (
               THEN CAST(CAST(l_quantity AS INT) % 30 - 12 AS INT) END AS to_par,
          CASE WHEN l_quantity <> 50 THEN CAST(CAST(l_quantity AS INT) % 5 + 1 AS INT) END
            AS placement,
-         CAST(NULL AS VARCHAR) AS notes,
+         CASE WHEN l_returnflag = 'R' AND l_linenumber % 3 = 0 THEN 'late card, Dq by rule'
+              WHEN l_returnflag = 'A' THEN 'wind ' || l_linestatus END AS notes,
          (l_quantity = 50 OR (l_quantity = 46 AND l_returnflag = 'R')) AS disqualified
   FROM lineitem)"""
 
@@ -159,7 +163,8 @@ sheet AS (SELECT w.* REPLACE (w.event_name || ' #' || w.event_id AS event_name),
           FROM wide w JOIN event e ON e.id = w.event_id),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY event_id, p1, p2, p3, p4
-                               ORDER BY placement NULLS LAST, strokes NULLS LAST) AS nth
+                               ORDER BY placement NULLS LAST, strokes NULLS LAST,
+                                        coalesce(notes, '')) AS nth
   FROM sheet),
 staged AS (SELECT * FROM ranked WHERE nth = 1)"""
 )
@@ -362,7 +367,8 @@ ORACLES: dict[str, str] = {
     "event_labels": f"""WITH {LEAGUE}
       SELECT e.id, strftime(e.date, '%b %-d, %Y') AS date_label,
         k.name || ' (Par ' || k.par || ')' AS course_label, k.name AS course, k.name AS venue,
-        CASE WHEN e.is_major THEN 'Major Tournament' END AS major_title
+        CASE WHEN e.is_major THEN coalesce(e.major_label, 'Major Tournament') END
+          AS major_title
       FROM event e JOIN course k ON k.id = e.course_id""",
     "score_labels": f"""WITH {FULL}
       SELECT id, event_id,
@@ -421,13 +427,15 @@ ORACLES: dict[str, str] = {
       UNION ALL
       SELECT (SELECT max(id) FROM known) + row_number() OVER (
           ORDER BY event_id, p1, coalesce(p2, 0), coalesce(p3, 0), coalesce(p4, 0)),
-        event_id, p1, p2, p3, p4, strokes, NULL, placement, NULL, strokes IS NULL
+        event_id, p1, p2, p3, p4, strokes, NULL, placement, notes,
+        strokes IS NULL OR coalesce(notes, '') ILIKE '%dq%'
       FROM fresh""",
     "refresh_to_par": f"""WITH {FULL}
       SELECT id, strokes, coalesce(strokes - course_par, to_par) AS to_par FROM wide""",
     "load_from_staging": f"""WITH {SHEET}
       SELECT event_name, date, season, course_name, finalized, {NAMES}, strokes,
-        strokes - course_par AS to_par, placement, strokes IS NULL AS disqualified
+        strokes - course_par AS to_par, placement,
+        strokes IS NULL OR coalesce(notes, '') ILIKE '%dq%' AS disqualified
       FROM staged""",
     "csv_sheet": f"""WITH {SHEET}
       SELECT s.season, s.date AS event_date, s.event_name, k.name AS course_name,
@@ -476,7 +484,7 @@ ORACLES: dict[str, str] = {
       SELECT id, now AS strokes,
         CASE WHEN disqualified THEN now - course_par ELSE to_par END AS to_par,
         CASE WHEN NOT disqualified THEN placement END AS placement,
-        CASE WHEN disqualified THEN 'DQ' END AS notes, disqualified FROM touched""",
+        CASE WHEN disqualified THEN 'DQ' ELSE notes END AS notes, disqualified FROM touched""",
     "update_players": f"""WITH {LEAGUE}
       SELECT id, first_name, last_name,
         CASE WHEN hof_inducted THEN upper(hometown) ELSE nickname END AS nickname,

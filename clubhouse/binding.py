@@ -62,9 +62,13 @@ def _events(orders: DataFrame) -> DataFrame:
         F.concat(F.lit("Open "), "o_orderpriority").alias("name"),
         F.col("o_orderdate").cast("date").alias("date"),
         (F.col("o_custkey") % 10 + 1).alias("course_id"),
-        F.lit(True).alias("is_team_event"),
+        (F.col("o_orderpriority") != "5-LOW").alias("is_team_event"),
+        F.when(F.col("o_orderstatus") == "P", "weather").alias("notes"),
         F.year("o_orderdate").alias("season"),
         (F.col("o_orderpriority") == "1-URGENT").alias("is_major"),
+        F.when(
+            (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 2 == 0), "Masters"
+        ).alias("major_label"),
         (F.col("o_orderstatus") != "O").alias("finalized"),
     )
 
@@ -83,6 +87,9 @@ def _scores(lineitem: DataFrame) -> DataFrame:
         F.when(qty != 50, 60 + whole % 30).alias("strokes"),
         F.when((qty < 50) & (line % 2 == 0), whole % 30 - 12).alias("to_par"),
         F.when(qty != 50, whole % 5 + 1).alias("placement"),
+        F.when((F.col("l_returnflag") == "R") & (line % 3 == 0), "late card, Dq by rule")
+        .when(F.col("l_returnflag") == "A", F.concat(F.lit("wind "), F.col("l_linestatus")))
+        .alias("notes"),
         ((qty == 50) | ((qty == 46) & (F.col("l_returnflag") == "R"))).alias("disqualified"),
     )
 
