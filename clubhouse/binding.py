@@ -144,7 +144,8 @@ def bound_sheet(tables: Tables) -> DataFrame:
         F.col("id").alias("__player"), full_name("first_name", "last_name").alias("__name")
     )
     named = fill_slots(
-        sheet, names, SLOT_IDS, SHEET_NAMES, small=tables.is_small("players"), spread_by=["id"]
+        sheet, names, SLOT_IDS, SHEET_NAMES, small=tables.is_small("players"),
+        keys_from=tables.scores,
     )
     return named.select(
         "season", "event_date", "event_name", "course_name", "course_city", "course_state",

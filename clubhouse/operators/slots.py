@@ -52,15 +52,15 @@ def fill_slots(
     slots: list[str],
     outputs: list[str],
     small: bool,
-    spread_by: list[str] = (),
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Look up every slot column in ``dim`` (its columns: key, value).
 
-    With a small ``dim`` that is one broadcast join per slot. Otherwise the
-    filled slots become rows of their own, are looked up in a single shuffle
-    and regrouped, then joined back. Values depend on the slots alone, so the
-    slots are the key to join back on; ``spread_by`` columns are added to it so
-    that a frequent team does not become a frequent key.
+    With a small ``dim`` that is one broadcast join per slot. Otherwise every
+    slot becomes a row that carries its whole row along, all are looked up in a
+    single shuffle and regrouped by the row. Equal rows fall into one group,
+    which then counts how many there are. ``keys_from`` is a cheaper frame with
+    the slots to take frequent keys from.
     """
     key, value = dim.columns
     if small:
@@ -69,24 +69,24 @@ def fill_slots(
             df = lookup(df, side, [slot], small=True)
         return df
 
-    team_key = [*spread_by, "__team"]
-    with_team = df.withColumn("__team", F.array(*slots))
-    filled = with_team.select(*team_key, F.posexplode("__team").alias("__slot", key)).where(
-        F.col(key).isNotNull()
+    melted = df.select(
+        F.struct(*df.columns).alias("__carried"), F.posexplode(F.array(*slots)).alias("__slot", key)
     )
-    found = lookup(filled, dim, [key])
-    regrouped = found.groupBy(*team_key).agg(
+    if keys_from is not None:
+        keys_from = explode_slots(keys_from.select(*slots), slots, key)
+    found = lookup(melted, dim, [key], keys_from=keys_from)
+    regrouped = found.groupBy("__carried").agg(
         *[
             F.max(F.when(F.col("__slot") == i, F.col(value))).alias(output)
             for i, output in enumerate(outputs)
-        ]
+        ],
+        F.count_if(F.col("__slot") == 0).cast("int").alias("__times"),
     )
-    return with_team.join(regrouped, team_key, "left").select(*df.columns, *outputs)
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__copy")
+    return regrouped.select("__carried.*", *outputs, copies).drop("__copy")
 
 
-def add_player_names(
-    df: DataFrame, tables: Tables, style: str = "full", spread_by: list[str] = ("id",)
-) -> DataFrame:
+def add_player_names(df: DataFrame, tables: Tables, style: str = "full") -> DataFrame:
     """Add ``player1_name`` .. ``player4_name`` to rows with the four id columns.
 
     "full" gives '' for an empty slot, the other styles NULL.
@@ -98,7 +98,7 @@ def add_player_names(
         SLOT_IDS,
         SLOT_NAMES,
         small=tables.is_small("players"),
-        spread_by=list(spread_by),
+        keys_from=tables.scores,
     )
     if style != "full":
         return named

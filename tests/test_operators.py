@@ -96,8 +96,8 @@ def test_both_ways_to_fill_slots_agree(spark, league):
     scores = league.scores.select(
         F.when(F.col("id") == 12, 11).otherwise(F.col("id")).alias("id"), *SLOT_IDS
     )
-    few = fill_slots(scores, dim, SLOT_IDS, SLOT_NAMES, small=True, spread_by=["id"])
-    many = fill_slots(scores, dim, SLOT_IDS, SLOT_NAMES, small=False, spread_by=["id"])
+    few = fill_slots(scores, dim, SLOT_IDS, SLOT_NAMES, small=True)
+    many = fill_slots(scores, dim, SLOT_IDS, SLOT_NAMES, small=False)
     assert few.columns == many.columns
     assert sorted(rows(few), key=str) == sorted(rows(many), key=str)
     assert (11, 1, 1, None, None, "Birch", "Birch", None, None) in rows(many)
