@@ -368,14 +368,21 @@ ORACLES: dict[str, str] = {
       SELECT e.id, strftime(e.date, '%b %-d, %Y') AS date_label,
         k.name || ' (Par ' || k.par || ')' AS course_label, k.name AS course, k.name AS venue,
         CASE WHEN e.is_major THEN coalesce(e.major_label, 'Major Tournament') END
-          AS major_title
+          AS major_title, e.name AS title, strftime(e.date, '%b %-d, %Y') AS shown_date
       FROM event e JOIN course k ON k.id = e.course_id""",
+    "player_labels": f"""WITH {LEAGUE}
+      SELECT id, first_name || ' ' || last_name || coalesce(' (“' || nickname || '”)', '') AS title,
+        concat_ws(' · ', hometown, 'Debut ' || debut_year) AS line,
+        hometown || ' · ' || coalesce('Debut ' || debut_year, '')
+          || CASE WHEN hof_inducted THEN ' · Hall of Fame' ELSE '' END AS detail_line
+      FROM player""",
     "score_labels": f"""WITH {FULL}
       SELECT id, event_id,
         CASE placement WHEN 1 THEN '🥇' WHEN 2 THEN '🥈' WHEN 3 THEN '🥉'
              ELSE '#' || placement END AS medal,
         coalesce(CAST(placement AS VARCHAR), '—') AS place,
         concat_ws(' / ', n1, n2, n3, n4) AS team, concat_ws(', ', n1, n2, n3, n4) AS members,
+        concat_ws(' / ', n1, n2, n3, n4) AS linked_members,
         coalesce(CAST(strokes AS VARCHAR), '—') AS strokes_label,
         CASE WHEN relative IS NULL THEN '—' WHEN relative = 0 THEN 'E'
              WHEN relative > 0 THEN '+' || relative ELSE CAST(relative AS VARCHAR) END

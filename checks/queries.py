@@ -358,6 +358,7 @@ QUERIES: dict[str, Query] = {
     "hydrated_names": _hydrated_names,
     "event_labels": presentation.event_labels,
     "score_labels": presentation.score_labels,
+    "player_labels": presentation.player_labels,
     "distinct_raw_names": lambda t: load.distinct_raw_names(bound_sheet(t)),
     "insert_courses": _insert_courses,
     "update_course_par": _update_course_par,

@@ -25,11 +25,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Give every core some rows of a file that a single task has to read.
-
-    A table of many files has tasks enough and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """On one machine, give every core some rows of a file that a single task
+    has to read. A cluster's tables have files enough and stay as they are."""
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local["):
+        return df
+    cores = context.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

@@ -182,6 +182,11 @@ def cascade_events(tables: Tables, ids: DataFrame) -> Tables:
     """Delete events and their scores."""
     gone = ids.select("id").distinct().withColumn("gone", F.lit(True))
     kept = tables.events.join(gone.select("id"), "id", "left_anti")
+    if ids.count() <= tables.broadcast_rows:
+        left = tables.scores.join(
+            F.broadcast(gone.select(F.col("id").alias("event_id"))), "event_id", "left_anti"
+        )
+        return tables.with_tables(events=kept, scores=left)
     marked = lookup(
         tables.scores,
         gone.withColumnRenamed("id", "event_id"),

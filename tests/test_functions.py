@@ -114,3 +114,32 @@ def test_labels(spark):
     assert value(spark, labels.course_or_unknown(text(None))) == "Unknown Course"
     assert value(spark, labels.course_or_undecided(text(""))) == "TBD"
     assert value(spark, labels.two_decimal_label(F.lit("1234.5").cast("decimal(10,2)"))) == "1234.50"
+
+
+def test_lines_about_players_events_and_members(spark):
+    df = spark.createDataFrame(
+        [
+            ("Ada Birch", "Ace", "Oak Hill", 2001, True, 2010, "Open"),
+            ("Ben Cole", "", None, 2003, False, None, None),
+            ("Cy Drake", None, "Elm", None, True, None, ""),
+            ("Di Elm", None, None, None, None, None, "Cup"),
+        ],
+        "n string, nick string, home string, debut int, hof boolean, year int, event string",
+    )
+    shown = df.select(
+        labels.player_title("n", "nick"), labels.player_line("home", "debut"),
+        labels.player_detail_line("home", "debut", "hof", "year"), labels.event_title("event"),
+    )
+    assert [tuple(r) for r in shown.collect()] == [
+        ("Ada Birch (“Ace”)", "Oak Hill · Debut 2001",
+         "Oak Hill · Debut 2001 · Hall of Fame (2010)", "Open"),
+        ("Ben Cole", "Debut 2003", "Debut 2003", "(Unnamed Event)"),
+        ("Cy Drake", "Elm", "Elm ·  · Hall of Fame", "(Unnamed Event)"),
+        ("Di Elm", "", "", "Cup"),
+    ]
+    teams = spark.createDataFrame([("Ada", "", 1, 2), ("", "", None, None)], "a string, b string, i int, j int")
+    assert [r[0] for r in teams.select(labels.members_label(["a", "b"], ["i", "j"])).collect()] == [
+        "Ada / #2", "—",
+    ]
+    none = spark.sql("SELECT CAST(NULL AS DATE) AS d")
+    assert none.select(labels.date_or_none("d")).first()[0] == "No date"
