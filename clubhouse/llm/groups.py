@@ -50,6 +50,25 @@ def by_group(
     return sorted_rows.mapInArrow(run, schema)
 
 
+def bit_map(hashes: DataFrame, size: int) -> np.ndarray:
+    """A map of ``size`` bits (a power of two) with those of all hashes (m) set.
+
+    At most ``size / 64`` rows reach the driver, however many hashes there are.
+    """
+    place = F.shiftright("m", 6).bitwiseAND(F.lit(size // 64 - 1))
+    bit = F.expr("shiftleft(1L, cast(m & 63 as int))")
+    rows = hashes.select(place.alias("p"), bit.alias("b")).groupBy("p").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[rows["p"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+    return bits
+
+
+def in_bit_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (unsigned) may be in the map; those in it always."""
+    place = ((hashes >> np.uint64(6)) & np.uint64(len(bits) - 1)).astype(np.int64)
+    return (bits[place] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def forest(linked: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
     """The least index reachable from each of n nodes over pairs of index arrays."""
     label = np.arange(n)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubhouse.llm.groups import by_group, components, forest
+from clubhouse.llm.groups import bit_map, by_group, components, forest, in_bit_map
 from clubhouse.llm.words import Words, mix, sequence_hash, shingle_hashes, slices
 from clubhouse.session import written
 
@@ -34,7 +34,8 @@ WORDS = 5
 PERCENT = 75
 REGISTERS = 128
 BAND = 4
-BASE = 1.15
+#: Close to 1, so that registers of unlike sets are seldom equal by chance.
+BASE = 1.001
 RATE = 20.0
 #: A pair is kept for confirmation at this estimate: over six standard
 #: deviations below the threshold. A pair at the threshold shares no band with a
@@ -42,6 +43,8 @@ RATE = 20.0
 ESTIMATE = 0.5
 CROWD = 512
 BLOCK = 128
+#: Bits of the map of texts to be confirmed.
+MAP_BITS = 1 << 24
 
 _rng = np.random.default_rng(3)
 _FACTORS = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,8 +69,8 @@ def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 
 def registers(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SetSketch registers of some sets, a row of bytes each; 0 for empty sets."""
-    result = np.zeros((len(sizes), REGISTERS), np.uint8)
+    """SetSketch registers of some sets, a row each; 0 for empty sets."""
+    result = np.zeros((len(sizes), REGISTERS), np.uint16)
     some = np.flatnonzero(sizes)
     if not len(some):
         return result
@@ -80,7 +83,7 @@ def registers(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     # The least of uniform values gives the least of exponential ones.
     uniform = (least.T.astype(np.float64) + 0.5) / 2.0**64
     exponential = -np.log1p(-np.minimum(uniform, 1 - 1e-16)) / RATE
-    result[some] = np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, 255)
+    result[some] = np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, 65_535)
     return result
 
 
@@ -137,7 +140,7 @@ def _likely(table: pa.Table) -> Iterator[pa.RecordBatch]:
     reps, place = np.unique(table["rep"].to_numpy(), return_index=True)
     if len(reps) < 2:
         return
-    sketch = np.frombuffer(b"".join(table["registers"].take(place).to_pylist()), np.uint8).reshape(len(reps), -1)
+    sketch = np.frombuffer(b"".join(table["registers"].take(place).to_pylist()), np.uint16).reshape(len(reps), -1)
     sizes = table["n_shingles"].to_numpy()[place]
     linked = []
     for i in range(len(reps) - 1):
@@ -164,7 +167,7 @@ def _forest_rows(ids: np.ndarray, linked: list) -> Iterator[pa.RecordBatch]:
 def families(classes: DataFrame) -> DataFrame:
     """Sets that may be similar enough to some other: id, component."""
     bands = REGISTERS // BAND
-    key = lambda b: F.xxhash64(F.substring("registers", b * BAND + 1, BAND), F.lit(b))
+    key = lambda b: F.xxhash64(F.substring("registers", 2 * b * BAND + 1, 2 * BAND), F.lit(b))
     keyed = classes.select("rep", F.explode(F.array(*[key(b) for b in range(bands)])).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("rep").alias("hub"))
     together = written(keyed.join(shared.where("crowd > 1"), "key"))
@@ -202,29 +205,36 @@ def _confirmed(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from _forest_rows(ids, linked)
 
 
-def _with_sets(docs: DataFrame) -> DataFrame:
+def _with_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Full sets of the texts whose id may be among ``ids``.
+
+    A bit map of fixed size leaves most other texts out before anything moves; a
+    fuller map lets more through.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.xxhash64("id").alias("m")), MAP_BITS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            hashed = whole.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            batch = whole.filter(pa.array(in_bit_map(shared.value, hashed)))
             at = 0
-            for texts in slices(batch.column(2)):
+            for texts in slices(batch.column(1)):
                 values, sizes = shingle_sets(texts)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 rows = [values[a:b].tobytes() for a, b in zip(ends, ends[1:])]
-                own = batch.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(rows, pa.binary())], ["rep", "family", "shingles"]
+                    [batch.column(0).slice(at, len(texts)), pa.array(rows, pa.binary())], ["rep", "shingles"]
                 )
                 at += len(texts)
 
-    return docs.select("rep", "family", "text").mapInArrow(run, "rep long, family long, shingles binary")
+    named = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    return named.mapInArrow(run, "rep long, shingles binary")
 
 
 def confirmed_links(docs: DataFrame, likely: DataFrame) -> DataFrame:
     """Links (a, b) that join the truly linked sets of each family."""
-    spark = docs.sparkSession
-    members = likely.select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
-    texts = docs.join(members, "doc_id").select(F.col("doc_id").alias("rep"), "family", "text")
-    sets = written(_with_sets(texts))
+    members = likely.select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    sets = written(_with_sets(docs, likely).join(members, "rep"))
     blocks = sets.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     spread = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = sets.join(blocks, "family").withColumn("block", spread)
