@@ -56,5 +56,6 @@ def written(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet to the shared folder and read it from there, for
     rows that several jobs need, each with its own columns and filters."""
     path = shared_path(df.sparkSession, "written")
-    df.write.parquet(path)
+    # These copies live as long as the job: small counts for more than fast.
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
