@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clubhouse.llm.groups import by_group
+from clubhouse.llm.groups import bit_map, by_group, in_bit_map
 from clubhouse.llm.words import Words, shingle_hashes, slices
 from clubhouse.session import written
 
@@ -169,17 +169,6 @@ def _repeated(docs: DataFrame, buckets: int) -> DataFrame:
     return by_group(gathered, ["bucket"], count, "m long")
 
 
-def _bit_map(repeated: DataFrame) -> np.ndarray:
-    """Bits of the representatives that may be repeated, MAP_BITS in all."""
-    places = MAP_BITS // 64
-    place = F.shiftright("m", 6).bitwiseAND(F.lit(places - 1))
-    bit = F.expr("shiftleft(1L, cast(m & 63 as int))")
-    rows = repeated.select(place.alias("p"), bit.alias("b")).groupBy("p").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(places, np.uint64)
-    bits[rows["p"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
-    return bits
-
-
 def _occurrences(docs: DataFrame, shared) -> DataFrame:
     """Segments whose representative may be repeated, with their words."""
 
@@ -190,8 +179,7 @@ def _occurrences(docs: DataFrame, shared) -> DataFrame:
             for texts in slices(batch.column(2)):
                 words = Words(texts)
                 m, text, start, n = segments(words)
-                place = ((m >> np.uint64(6)) & np.uint64(len(bits) - 1)).astype(np.int64)
-                some = np.flatnonzero(bits[place] >> (m & np.uint64(63)) & np.uint64(1))
+                some = np.flatnonzero(in_bit_map(bits, m))
                 first = words.first[text[some]] + start[some]
                 begin, end = words.starts[first], words.ends[first + n[some] + WINDOW - 2]
                 data = words.data.tobytes()
@@ -207,7 +195,7 @@ def _occurrences(docs: DataFrame, shared) -> DataFrame:
                 )
                 at += len(texts)
 
-    schema = "m long, doc_id long, text_hash long, start int, n int, words string"
+    schema = "m long, doc_id long, text_hash int, start int, n int, words string"
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, schema)
 
 
@@ -249,14 +237,13 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     text_hash, start, n, mask: bit i stands for the window at start + i."""
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = _bit_map(_repeated(docs, buckets))
+    bits = bit_map(_repeated(docs, buckets), MAP_BITS)
     found = _occurrences(docs, spark.sparkContext.broadcast(bits))  # MAP_BITS, 16 MB
+    found = written(found.withColumn("s", F.xxhash64("words")))
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("start")
-    found = written(
-        found.withColumn("s", F.xxhash64("words")).withColumn("at", place.cast("decimal(38,0)"))
-    )
+    at = place.cast("decimal(38,0)")
     distinct = found.groupBy("m", "s", "words").agg(
-        F.min("at").alias("first"), F.count(F.lit(1)).alias("times")
+        F.min(at).alias("first"), F.count(F.lit(1)).alias("times")
     )
     distinct = written(distinct)
     shards = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
@@ -270,8 +257,8 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         .where("times > 1 or mask is not null").select("m", "s", "first", "mask")
     )
     all_windows = F.expr("shiftleft(1, n) - 1")
-    mask = F.when(F.col("at") > F.col("first"), all_windows).otherwise(F.coalesce("mask", F.lit(0)))
-    told = found.select("m", "s", "doc_id", "text_hash", "start", "n", "at").join(verdicts, ["m", "s"])
+    mask = F.when(at > F.col("first"), all_windows).otherwise(F.coalesce("mask", F.lit(0)))
+    told = found.select("m", "s", "doc_id", "text_hash", "start", "n").join(verdicts, ["m", "s"])
     return told.select("doc_id", "text_hash", "start", "n", mask.alias("mask")).where("mask <> 0")
 
 
@@ -321,15 +308,16 @@ def without_repeats(
     the whole row through as a struct, ``row``.
     """
     greatest = F.lit(2**63 - 1)
+    carried = [F.col(f"`{c}`") for c in docs.columns if carry and c != text_col]
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(id_col).cast("long"), greatest).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if carry and c != text_col], F.lit(True).alias("__")).alias("row"),
-    ).withColumn("text_hash", F.xxhash64("text"))
+        F.struct(*carried, F.lit(True).alias("__")).alias("row"),
+    ).withColumn("text_hash", F.hash("text"))
     listed = (
-        removed_windows(rows).distinct().groupBy("doc_id", "text_hash")
-        .agg(F.collect_list(F.struct("start", "n", "mask")).alias("windows"))  # of one document
+        removed_windows(rows).groupBy("doc_id", "text_hash")
+        .agg(F.collect_set(F.struct("start", "n", "mask")).alias("windows"))  # of one document
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
