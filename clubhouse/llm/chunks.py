@@ -22,6 +22,11 @@ CACHED_LENGTH = 48
 LINE_CHUNKS = 64
 
 
+def _text(chunks: list) -> str:
+    """Chunks one space apart, as text; they are text or UTF-8, all alike."""
+    return b" ".join(chunks).decode() if isinstance(chunks[0], bytes) else " ".join(chunks)
+
+
 class ChunkEncoder:
     """Encodes lists of texts to 32-bit ids.
 
@@ -48,36 +53,39 @@ class ChunkEncoder:
     def _learn(self, missing: list[str]) -> None:
         for at in range(0, len(missing), LINE_CHUNKS):
             part = missing[at : at + LINE_CHUNKS]
-            ids = np.asarray(self._encode(self._lead + " ".join(part)), np.int32)
+            ids = np.asarray(self._encode(self._lead + _text(part)), np.int32)
             begins = np.flatnonzero(self._opens[ids])
             if len(begins) != len(part) or begins[0]:
-                self._known.update((c, self._whole(self._lead + c)) for c in part)
+                self._known.update((c, self._whole(self._lead + _text([c]))) for c in part)
                 continue
             data, cuts = ids.tobytes(), [*(begins * 4).tolist(), 4 * len(ids)]
             self._known.update((c, data[a:b]) for c, a, b in zip(part, cuts, cuts[1:]))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
+        whole = [not text or bool(self._irregular(text)) for text in texts]
+        return self._all([None if w else t.split(" ") for t, w in zip(texts, whole)], texts)
+
+    def of_chunks(self, chunked: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that are given as their chunks in UTF-8."""
+        return self._all(chunked, [""] * len(chunked))
+
+    def _all(self, chunked: list[list | None], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self._known
         if len(known) > CACHE_CHUNKS:
             known.clear()
-        chunked: list[list[str] | None] = []
-        missing: set[str] = set()
-        for text in texts:
-            if not text or self._irregular(text):
-                chunked.append(None)
-                continue
-            chunks = text.split(" ")
-            chunked.append(chunks)
-            missing.update(filterfalse(known.__contains__, chunks))
+        missing: set = set()
+        for chunks in chunked:
+            if chunks:
+                missing.update(filterfalse(known.__contains__, chunks))
         self._learn(list(missing))
         look = known.__getitem__
         rows = []
         for text, chunks in zip(texts, chunked):
-            if chunks is None:
+            if not chunks:
                 rows.append(self._whole(text))
             elif self._lead:
-                rows.append(self._whole(chunks[0]) + b"".join(map(look, chunks[1:])))
+                rows.append(self._whole(_text(chunks[:1])) + b"".join(map(look, chunks[1:])))
             else:
                 rows.append(b"".join(map(look, chunks)))
         for chunk in missing:
