@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +80,7 @@ def count_ngrams(labelled: DataFrame) -> dict[str, np.ndarray]:
         for batch in batches:
             langs = batch.column(1)
             for lang in langs.unique().to_pylist():
-                chosen = batch.column(0).filter(pa.compute.equal(langs, lang))
+                chosen = batch.column(0).filter(pc.equal(langs, lang))
                 for texts in slices(chosen):
                     for i, bucket in enumerate(ngrams(texts)[0]):
                         part = np.bincount(bucket, minlength=BUCKETS + 1)[:BUCKETS]

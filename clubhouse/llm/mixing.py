@@ -186,7 +186,9 @@ def materialized(docs: DataFrame, text_col: str = "text", **options) -> DataFram
     )
     # Each copy as the number of its words that are kept, null for all.
     whole = F.array_repeat(F.lit(None).cast("long"), F.col("__full").cast("int"))
-    copies = F.concat(whole, F.when(F.col("__part").isNull(), F.array().cast("array<long>")).otherwise(F.array("__part")))
+    none = F.array().cast("array<long>")
+    last = F.when(F.col("__part").isNull(), none).otherwise(F.array("__part"))
+    copies = F.concat(whole, last)
     rows = (
         docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), row_tag.alias("tag"))
         .join(plan, "tag")

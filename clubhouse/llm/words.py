@@ -94,10 +94,11 @@ class Words:
         inside = ~space
         begins = inside[1:-1] & space[:-2]
         finishes = inside[1:-1] & space[2:]
-        edges = bounds[:-1][bounds[:-1] < bounds[1:]]
-        begins[edges] = inside[1:-1][edges]
-        tails = edges_end = bounds[1:][bounds[:-1] < bounds[1:]] - 1
-        finishes[tails] = inside[1:-1][edges_end]
+        # A word also begins where its text does, and ends where that ends.
+        filled = bounds[:-1] < bounds[1:]
+        heads, tails = bounds[:-1][filled], bounds[1:][filled] - 1
+        begins[heads] = inside[1:-1][heads]
+        finishes[tails] = inside[1:-1][tails]
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(finishes) + 1
         self.first = np.searchsorted(self.starts, bounds)
