@@ -126,14 +126,15 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 200) ->
     if x.shape[1] == CONTENT:
         scale[_SHAPE : _SHAPE + 256] *= 0.3
         scale[_SHAPE + 256 :] *= 0.05
-    z = x * scale
+    z = x.astype(np.float32) * scale
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y <= 0).sum(), 1))
-    w, b = np.zeros(x.shape[1]), 0.0
+    # Single precision throughout: a mixed product would copy all features.
+    w, b = np.zeros(x.shape[1], np.float32), 0.0
     ahead, ahead_b = w, b
-    rate = 4 / (float((weight * (z**2).sum(axis=1)).sum()) + 1 + ridge)
+    rate = 4 / (float((weight * np.einsum("ij,ij->i", z, z)).sum()) + 1 + ridge)
     for t in range(1, steps + 1):
-        error = (_sigmoid(z @ ahead + ahead_b) - y) * weight
-        new, new_b = ahead - rate * (error @ z + ridge * ahead), ahead_b - rate * error.sum()
+        error = ((_sigmoid(z @ ahead + ahead_b) - y) * weight).astype(np.float32)
+        new, new_b = ahead - rate * (error @ z + ridge * ahead), ahead_b - rate * float(error.sum())
         push = t / (t + 3)
         ahead, ahead_b = new + push * (new - w), new_b + push * (new_b - b)
         w, b = new, new_b
