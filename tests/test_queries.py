@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import database, difference
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -15,15 +17,16 @@ def db():
     return database(SF_DIR)
 
 
-def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_query_of_the_league_has_its_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
     df = entry.queries()[name](spark, SF_DIR)
     assert difference(df, db, entry.oracle_sql()[name]) == ""
