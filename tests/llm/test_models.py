@@ -193,3 +193,32 @@ def test_scores_when_nothing_is_learnt(spark):
     found = scoring.score(docs, F.lit(False), RANKS, public_tokenizers.PATTERN).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.base_score) for r in found] == [(3, 0, 0.0), (1, 0, 0.0)]
     assert scoring.score(docs.limit(0), F.lit(True), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_all_of_every_text_is_learnt_from(spark, monkeypatch):
+    learnt_from = []
+    averaged = scoring._averaged
+    monkeypatch.setattr(
+        scoring, "_averaged", lambda windows, *a: learnt_from.append(windows.collect()) or averaged(windows, *a)
+    )
+    rng = random.Random(3)
+    texts = ["", "one", " ".join(rng.choices("the quick brown fox jumps over a lazy dog again".split(), k=3000))]
+    encoder = lambda: scoring.rank_encoder(RANKS, public_tokenizers.PATTERN)
+    model = scoring.learn(spark.createDataFrame(list(zip(texts, [1, 2, 3])), "text string, seed long"), encoder)
+    encode, size = encoder()
+    after, counts, wanted = np.zeros((attention.CLASSES, size + 1)), np.zeros(size + 1), collections.Counter()
+    for text in texts:
+        ids, _ = encode.of_chunks([text.encode().split()])
+        line = np.concatenate([[size], ids, [size]])
+        counts += np.bincount(line[1:], minlength=size + 1)
+        np.add.at(after, (model.classes[line[:-1]], line[1:]), 1)
+        wanted.update(zip(line[:-1].tolist(), line[1:].tolist()))
+    assert np.allclose(model.pairs, attention.pair_table(counts, model.classes, after))
+    assert np.allclose(model.shares, attention.share_table(counts, model.classes, after))
+    for rows in learnt_from:
+        found = collections.Counter()
+        for row in rows:
+            for w in np.frombuffer(row.data, np.int32).reshape(-1, attention.WINDOW + 1):
+                found.update((a, b) for a, b in zip(w[:-1].tolist(), w[1:].tolist()) if b >= 0)
+        assert found == wanted
+    assert learnt_from
