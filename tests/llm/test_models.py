@@ -222,3 +222,11 @@ def test_all_of_every_text_is_learnt_from(spark, monkeypatch):
                 found.update((a, b) for a, b in zip(w[:-1].tolist(), w[1:].tolist()) if b >= 0)
         assert found == wanted
     assert learnt_from
+
+
+def test_weights_are_averaged_more_than_once(spark, monkeypatch):
+    averaged, rounds = scoring._averaged, []
+    monkeypatch.setattr(scoring, "_averaged", lambda *a: rounds.append(1) or averaged(*a))
+    encoder = lambda: scoring.rank_encoder(RANKS, public_tokenizers.PATTERN)
+    scoring.learn(spark.createDataFrame([("a b c", 1)], "text string, seed long"), encoder)
+    assert len(rounds) >= 2
