@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clubhouse.llm import language, merkle, mixing, nearcopies, pieces, quality, repeats, scoring, tokenfiles, vectors
+from clubhouse.llm import (
+    language,
+    lexical,
+    merkle,
+    mixing,
+    nearcopies,
+    pieces,
+    quality,
+    repeats,
+    scoring,
+    tokenfiles,
+    vectors,
+    warc,
+)
 from clubhouse.session import shared_path
 
 
@@ -113,6 +126,21 @@ def op10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(docs, learnt, path, public_tokenizers.PATTERN)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n, total = lexical.statistics(docs)
+    return lexical.search(lexical.index(docs, n, total), _table(spark, sf_dir, "benchmark"), n)
+
+
+def op13_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as web archives, read them back, and say what is there."""
+    folder = shared_path(spark, "archives")
+    manifest = warc.write(_table(spark, sf_dir, "pages"), folder)
+    records = warc.read(manifest, folder).where("record_type IN ('response', 'revisit')")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vectors": op1_vectors,
     "op2_pieces": op2_pieces,
@@ -124,6 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_scores": op10_scores,
+    "op11_search": op11_search,
+    "op13_archives": op13_archives,
 }
 
 SQL: dict[str, str] = {
@@ -221,5 +251,41 @@ kept AS (
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(c.gone), 0)::BIGINT AS n_removed,
        sha256(coalesce(k.t, '')) AS kept_sha256
 FROM words d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op11_search": r"""
+WITH listed AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+stats AS (SELECT count(*) FILTER (len(t) > 0) AS nd, sum(len(t)) AS total FROM listed),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY 1, 2),
+postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM listed)
+  GROUP BY 1, 2, 3),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, stats GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf)
+           // (1000 * tf + 12 * (75 + ((25 * n::HUGEINT * nd) // total)))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), stats GROUP BY 1, 2)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+""",
+    "op13_archives": r"""
+WITH paid AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+told AS (
+  SELECT page_id, payload, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS smallest FROM paid)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = smallest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> smallest THEN smallest END AS refers_to
+FROM told
 """,
 }
