@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clubhouse.llm import (
+    collocations,
     language,
     lexical,
     merkle,
@@ -133,6 +134,11 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.index(docs, n, total), _table(spark, sf_dir, "benchmark"), n)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of every language whose words keep company."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as web archives, read them back, and say what is there."""
     folder = shared_path(spark, "archives")
@@ -153,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_scores": op10_scores,
     "op11_search": op11_search,
+    "op12_phrases": op12_phrases,
     "op13_archives": op13_archives,
 }
 
@@ -275,6 +282,41 @@ scored AS (
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
 WHERE rank <= 20
+""",
+    "op12_phrases": r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+counts AS (
+  SELECT lang, p, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i+m-1])) AS p
+    FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)
+  GROUP BY lang, p),
+candidates AS (SELECT lang, p, f FROM counts WHERE len(p) >= 2 AND f >= 100),
+inside AS (
+  SELECT lang, sub, max(f) AS longer FROM (
+    SELECT lang, f, p, unnest(list_transform(range(1, len(p) - m + 2), lambda i: p[i:i+m-1])) AS sub
+    FROM candidates, (SELECT unnest(range(2, 5)) AS m) WHERE len(p) > m) GROUP BY lang, sub),
+alone AS (
+  SELECT c.* FROM candidates c LEFT JOIN inside i ON i.lang = c.lang AND i.sub = c.p
+  WHERE longer IS NULL OR longer < f),
+cuts AS (
+  SELECT a.lang, a.p, a.f AS a, k, x.f AS l, y.f AS r, n,
+         (1000::HUGEINT * a.f * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM alone) a JOIN totals t ON t.lang = a.lang
+  JOIN counts x ON x.lang = a.lang AND x.p = a.p[1:k] JOIN counts y ON y.lang = a.lang AND y.p = a.p[k+1:]),
+weakest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS place FROM cuts)
+  WHERE place = 1),
+ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM weakest)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+       score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """,
     "op13_archives": r"""
 WITH paid AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
