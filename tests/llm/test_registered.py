@@ -27,7 +27,7 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in found if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in found if k.startswith("op")}
     assert "pipeline" in found and len(corpus_pipeline.STAGES) == 5
 
 

@@ -1,0 +1,362 @@
+"""Ranked search, collocations and web archives, against brute force."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import hashlib
+import io
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from clubhouse.llm import collocations, lexical, warc
+from clubhouse.llm.queries import QUERIES
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+CLASH = "rank int, score string, term string, segment int, key string, f int, h string"
+CLASHING = (1, "s", "t", 2, "k", 3, "h")
+
+
+def frame(spark, rows, columns):
+    """Rows with further columns whose names the operators use too."""
+    return spark.createDataFrame([(*r, *CLASHING) for r in rows], f"{columns}, {CLASH}")
+
+
+# -- ranked search -------------------------------------------------------------
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def _terms(text: str | None) -> list[str]:
+    return TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def _ranked(docs, items, k):
+    listed = [(i, Counter(_terms(t))) for i, t in docs]
+    n = sum(bool(c) for _, c in listed)
+    total = sum(sum(c.values()) for _, c in listed)
+    df = Counter(t for _, c in listed for t in c)
+    out = []
+    texts = defaultdict(set)
+    for i, t in items:
+        texts[i].add(t)
+    for item, own in texts.items():
+        asked = Counter()
+        for t in own:
+            asked.update(_terms(t))
+        scored = []
+        for doc, c in listed:
+            m = 75 + (25 * sum(c.values()) * n) // max(total, 1)
+            score = sum(
+                times * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1)))
+                * ((10**9 * c[t]) // (1000 * c[t] + 12 * m))
+                for t, times in asked.items() if c[t]
+            )
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0))
+        for rank, (score, null, doc) in enumerate(sorted(scored)[:k], 1):
+            out.append((item, rank, None if null else doc, -score))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("segment_bytes", [1 << 20, 700])
+def test_search_equals_a_scan_of_all_documents(spark, segment_bytes):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)] + ["Ärger", "日本", "x1", "THE"]
+    weights = [1 / (i + 1) for i in range(len(vocabulary))]
+
+    def text(n):
+        return " ".join(rng.choices(vocabulary, weights, k=n))
+
+    docs = [(i * 3, text(rng.randint(1, 60))) for i in range(150)]
+    docs += [(1000, docs[7][1]), (1001, docs[7][1]), (9, docs[3][1]), (9, "w1 w59 w59"), (None, docs[5][1])]
+    docs += [(2000, None), (2001, ""), (2002, " .,! "), (2003, text(5000)), (2004, "the-w1_w2\x00W3")]
+    items = [(i, text(rng.randint(1, 12))) for i in range(12)]
+    items += [(12, None), (13, "nowhere"), (14, "w0 w0 w0 w1"), (14, "w0 w0 w0 w1"), (15, "w2"), (15, "w3 w40")]
+    items += [(None, "w50 the"), (16, "Ä ärger Ärger 日本")]
+    d = frame(spark, docs, "doc_id long, text string").repartition(3)
+    n, total = lexical.statistics(d)
+    found = lexical.search(
+        lexical.index(d, n, total, segment_bytes), frame(spark, items, "item_id long, text string"), n, 7
+    )
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, found.collect()), key=str) == _ranked(docs, items, 7)
+
+
+def test_search_of_nothing(spark):
+    docs = frame(spark, [], "doc_id long, text string")
+    items = frame(spark, [(1, "a b")], "item_id long, text string")
+    assert lexical.statistics(docs) == (0, 0)
+    assert lexical.search(lexical.index(docs, 0, 0), items, 0).count() == 0
+    some = frame(spark, [(1, "a"), (2, None)], "doc_id long, text string")
+    built = lexical.index(some, *lexical.statistics(some))
+    assert lexical.search(built, items.limit(0), 1).count() == 0
+
+
+def test_rounds_of_items_change_nothing(spark, monkeypatch):
+    docs = [(i, f"a{i % 7} b{i % 5} c") for i in range(80)]
+    items = [(i, f"a{i} b{i % 5}") for i in range(9)]
+    d = frame(spark, docs, "doc_id long, text string")
+    built = lexical.index(d, *lexical.statistics(d))
+    monkeypatch.setattr(lexical, "ROUND_TERMS", 4)
+    found = lexical.search(built, frame(spark, items, "item_id long, text string"), 80, 5)
+    assert sorted(map(tuple, found.collect()), key=str) == _ranked(docs, items, 5)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**62), max_size=40))
+def test_numbers_are_packed_and_unpacked(numbers):
+    values = np.array(numbers, np.int64)
+    data, sizes = lexical._packed(values)
+    assert len(data) == sizes.sum() and lexical._unpacked(data).tolist() == numbers
+
+
+def _lists(rng, size, count):
+    """Postings of some terms over one segment, with their weights."""
+    texts = [
+        " ".join(rng.choices([f"t{i}" for i in range(count)], [3.0**-i for i in range(count)], k=rng.randint(1, 30)))
+        for _ in range(size)
+    ]
+    n, total = size, sum(len(t.split()) for t in texts)
+    rows = lexical._segment("s", pa.array(range(size)), [pa.array(texts, pa.large_string())], n, total).to_pylist()
+    m = np.frombuffer(rows[0]["block_last"], "<i8")
+    df = {r["term"]: r["postings"] for r in rows[1:]}
+    weights = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * x + 1))) for t, x in df.items()}
+    return {r["term"]: (weights[r["term"]], lexical.Postings(r, m)) for r in rows[1:]}
+
+
+def test_common_lists_are_mostly_not_decompressed():
+    rng = random.Random(3)
+    lists = _lists(rng, 4000, 9)
+    rarest = sorted(lists, key=lambda t: -lists[t][0])
+    asked = [lists[t] for t in (*rarest[:2], rarest[-1])]
+    docs, scores = lexical.best_of(asked, 4000, 3, 0)
+    exact = np.zeros(4000, np.int64)
+    for w, p in _lists(random.Random(3), 4000, 9).values():
+        if (w, p.size) in [(x, y.size) for x, y in asked]:
+            have, values = p.whole()
+            exact[have] += w * values
+    third = np.sort(exact)[-3]
+    assert sorted(docs.tolist()) == np.flatnonzero(exact >= third).tolist()
+    assert (exact[docs] == scores).all()
+    common = asked[-1][1]
+    blocks = -(-common.size // lexical.BLOCK)
+    # The most common list is asked for a few blocks only; bounds reject the rest.
+    assert common._docs is None and getattr(common, "decompressed", 0) < blocks / 2
+
+
+# -- collocations ----------------------------------------------------------------
+
+
+def _collocations(docs, least, kept, longest):
+    counts, totals = defaultdict(Counter), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    counts[lang][tuple(words[i : i + k])] += 1
+    out = []
+    for lang, f in counts.items():
+        n = totals[lang]
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        rows = []
+        for p, a in candidates.items():
+            if any(
+                len(q) > len(p) and b >= a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+                for q, b in candidates.items()
+            ):
+                continue
+            score, k = min((1000 * a * n // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(rows)[:kept], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return sorted(out)
+
+
+def _talk(rng, n):
+    words = ["a", "b", "c", "D", "é", "é\x0fz", "nbsp x", "w1", "w2", "w3"]
+    weights = [9, 7, 5, 3, 3, 1, 1, 2, 2, 2]
+    out = []
+    for _ in range(n):
+        out.append(rng.choices(words, weights)[0])
+        out.append(rng.choice([" ", "  ", "\t", " ", ". ", ",", "\r\n", " "]))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("least, kept, share", [(3, 12, 0.1), (2, 2000, 0.1), (4, 5, 0.02)])
+def test_collocations_equal_counting_everything(spark, least, kept, share):
+    rng = random.Random(least)
+    docs = [(_talk(rng, rng.randint(1, 60)), rng.choice(["x", "x", "y"])) for _ in range(40)]
+    docs += [("fixed phrase of five words here. a a a a a a", "x")] * 6 + [(None, "y"), ("", "y"), ("q q q q", None)]
+    docs += [("m n. " * 5, "und"), ("o", "z"), ("EN en", "EN"), ("EN en en", "en"), ("long " * 3000, "y")]
+    rows = frame(spark, docs, "text string, lang string").repartition(3)
+    found = collocations.collocations(rows, least, kept, 5, share, 1 << 12)
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, found.collect())) == _collocations(docs, least, kept, 5)
+
+
+def test_collocations_of_nothing(spark):
+    assert collocations.collocations(frame(spark, [], "text string, lang string")).count() == 0
+    empty = frame(spark, [(None, "a"), ("", None), (" . ", "b")], "text string, lang string")
+    assert collocations.collocations(empty).count() == 0
+
+
+def test_a_small_map_only_costs_time(spark):
+    rng = random.Random(1)
+    rows = frame(spark, [(_talk(rng, 60), "x") for _ in range(2)], "text string, lang string")
+    a, b = (sorted(map(tuple, collocations.collocations(rows, 2, 50, bits=b).collect())) for b in (64, 1 << 12))
+    assert a == b and a
+
+
+def test_counts_are_handed_on_when_there_are_many(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 4)
+    tally, out = collocations._Tally(["h", "x"]), []
+    for _ in range(3):
+        out += tally.add(np.array([1, 2, 2, 9], np.uint64), np.array([5, 6, 6, 7], np.uint64))
+    out += tally.rest()
+    total = Counter()
+    for b in out:
+        for h, x, f in zip(*(c.to_pylist() for c in b.columns)):
+            total[h, x] += f
+    assert total == {(1, 5): 3, (2, 6): 6, (9, 7): 3} and len(out) > 1
+
+
+# -- web archives ------------------------------------------------------------------
+
+PAGES = [
+    (3, "http://a/1", "<p>one</p>"), (1, "http://a/2", "<p>two</p>"), (2, "http://a/3\r\nX: y", "<p>one</p>"),
+    (7, None, None), (4, "u", ""), (5, "u", "é" * 40_000), (6, "ü", "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1\r\nx"),
+    (8, "", "\x1f\x8b\x08"), (9, "v", "<p>one</p>"), (9, "v", "<p>one</p>"), (None, "n", "<p>two</p>"),
+    (None, "n", "only null"), (2, "again", "<p>one</p>"), (2, "http://a/3", "other"),
+]
+
+
+def _pages(spark, rows=PAGES):
+    return frame(spark, rows, "page_id long, url string, html string")
+
+
+def _expected(rows, least=0):
+    first = {}
+    for page, _, html in rows:
+        payload = (html or "").encode()
+        known = first.get(payload)
+        first[payload] = page if known is None else known if page is None else min(known, page)
+    out = []
+    for page, _, html in rows:
+        payload = (html or "").encode()
+        again = len(payload) >= least and page != first[payload]
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        out.append((page, len(payload), digest, "revisit" if again else "response", first[payload] if again else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("split_bytes", [1 << 20, 97])
+def test_archives_say_what_was_written(spark, tmp_path, split_bytes):
+    manifest = warc.write(_pages(spark).repartition(2), str(tmp_path))
+    records = warc.read(manifest, str(tmp_path), split_bytes=split_bytes)
+    pages = records.where("page_id IS NOT NULL OR record_type <> 'warcinfo'")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, pages.select(*columns).collect()), key=str) == _expected(PAGES)
+    assert records.count() == manifest.agg(F.sum("records")).first()[0]
+
+
+def test_short_payloads_may_all_be_responses(spark, tmp_path):
+    manifest = warc.write(_pages(spark), str(tmp_path), least_bytes=11)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    found = warc.read(manifest, str(tmp_path)).where("record_type <> 'warcinfo'").select(*columns)
+    assert sorted(map(tuple, found.collect()), key=str) == _expected(PAGES, 11)
+
+
+def test_payloads_and_heads_come_back(spark, tmp_path):
+    manifest = warc.write(_pages(spark), str(tmp_path))
+    rows = warc.read(manifest, str(tmp_path), payload=True, split_bytes=500).where("record_type = 'response'").collect()
+    texts = {(r.page_id, r.target_uri): bytes(r.payload).decode() for r in rows}
+    assert texts[5, "u"] == "é" * 40_000 and texts[8, ""] == "\x1f\x8b\x08"
+    assert texts[2, "http://a/3"] == "other" and texts[6, "ü"].startswith("WARC/1.1")
+    # Any gzip reader sees plain records, one after another.
+    whole = b"".join(gzip.open(r.path).read() for r in manifest.collect())
+    assert whole.count(b"WARC-Type: response") == len(rows) and b"\r\nX: y" not in whole
+
+
+def test_no_pages_no_files(spark, tmp_path):
+    manifest = warc.write(_pages(spark, []), f"{tmp_path}/none")
+    assert manifest.count() == 0 and warc.read(manifest, f"{tmp_path}/none").count() == 0
+
+
+class _File(io.BytesIO):
+    def size(self):
+        return len(self.getvalue())
+
+    def read_at(self, n, place):
+        return self.getvalue()[place : place + n]
+
+
+def _archive(payloads):
+    return [warc.page_record(i, f"u{i}", p, None, True, "2024-01-01T00:00:00Z") for i, p in enumerate(payloads)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=300), max_size=12), st.integers(1, 400))
+def test_every_record_has_one_owner(payloads, step):
+    parts = _archive(payloads)
+    data = b"".join(parts)
+    found = []
+    for begin in range(0, len(data), step):
+        found += warc.records_of(_File(data), begin, begin + step, payload=True)
+    assert [r["payload"] for r in found] == payloads
+    assert [r["offset"] for r in found] == [sum(map(len, parts[:i])) for i in range(len(parts))]
+
+
+def test_what_only_looks_like_a_record_is_passed_over():
+    rng = random.Random(2)
+    noise = rng.randbytes(3000) + b"\x1f\x8b\x08\x00" + rng.randbytes(3000)
+    inner = _archive([b"inner"])[0]
+    # A whole record inside a payload that cannot be compressed, followed by noise.
+    parts = _archive([noise, rng.randbytes(200_000) + inner + rng.randbytes(200_000), b"last"])
+    data = b"".join(parts)
+    for step in (1000, 70_000):
+        sizes = [r["payload_bytes"] for b in range(0, len(data), step) for r in warc.records_of(_File(data), b, b + step)]
+        assert sizes == [len(noise), 400_000 + len(inner), 4]
+
+
+@pytest.mark.parametrize("damage", ["cut", "flipped", "between"])
+def test_damage_is_an_error(damage):
+    parts = _archive([b"a" * 5000, random.Random(1).randbytes(5000), b"c"])
+    data = bytearray(b"".join(parts))
+    if damage == "cut":
+        data = data[:-9]
+    elif damage == "flipped":
+        data[len(parts[0]) + 2500] ^= 255
+    else:
+        data[len(parts[0]) : len(parts[0])] = b"junk"
+    with pytest.raises(ValueError):
+        list(warc.records_of(_File(bytes(data)), 0, len(data)))
+
+
+def test_records_of_other_writers():
+    def member(head, block):
+        return gzip.compress(head.encode() + f"\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    data = member("WARC/1.0\r\nWARC-Type: request\r\nWARC-Record-ID: <urn:uuid:1>", b"GET / HTTP/1.1\r\n\r\n")
+    data += member("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: http://x/", b"body")
+    rows = list(warc.records_of(_File(data), 0, len(data), payload=True))
+    assert [(r["record_type"], r["payload"], r["page_id"]) for r in rows] == [
+        ("request", b"GET / HTTP/1.1\r\n\r\n", None), ("resource", b"body", None)
+    ]
+
+
+def test_registered_archives_hold_every_page(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    assert QUERIES["op13_archives"](spark, sf_dir).count() == pages.count()
