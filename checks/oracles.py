@@ -172,6 +172,30 @@ SHEET_COURSES = """sheet_course AS (
   SELECT * FROM course WHERE id IN (SELECT course_id FROM sheet))"""
 
 
+# The sheet with faults planted in it, and why its rows are refused.
+FAULTS = f"""{SHEET}, faults AS (
+  SELECT event_name, date, season, n1 AS player1_full, strokes, placement, notes, list_filter([
+    CASE WHEN notes <> 'wind F' THEN 'event_date: not date' END,
+    CASE WHEN is_major AND event_id % 2 = 1 THEN 'is_major: not boolean' END,
+    CASE WHEN strokes = 61 THEN 'strokes: not decimal(5,2)' END,
+    CASE WHEN placement = 5 THEN 'placement: not int' END,
+    CASE WHEN p4 IS NOT NULL THEN 'season: missing' END], lambda x: x IS NOT NULL) AS reasons
+  FROM sheet)"""
+
+LATE_CARDS = """touched AS (
+  SELECT *, CASE WHEN disqualified THEN 99 ELSE strokes END AS now FROM wide)"""
+LATE_COLUMNS = """CASE WHEN disqualified THEN now - course_par ELSE to_par END AS to_par,
+  CASE WHEN NOT disqualified THEN placement END AS placement,
+  CASE WHEN disqualified THEN 'DQ' ELSE notes END AS notes"""
+
+MORE_COURSES = """more AS (
+  SELECT id, name, city, state, par FROM course
+  UNION ALL
+  SELECT (SELECT max(id) FROM course) + row_number() OVER (
+      ORDER BY last_name, hometown NULLS FIRST, nickname NULLS FIRST),
+    last_name, hometown, nickname, 70 FROM player)"""
+
+
 def _required(table: str, source: str, columns: dict[str, str]) -> list[str]:
     return [
         f"SELECT '{table}' AS \"table\", '{name}' AS \"column\","
@@ -314,6 +338,12 @@ ORACLES: dict[str, str] = {
       SELECT id, event_id, p1 AS player1_id, p2 AS player2_id, p3 AS player3_id,
         p4 AS player4_id, {NAMES}, strokes, relative AS to_par, placement, disqualified
       FROM wide""",
+    "event_places": f"""WITH {FULL}
+      SELECT id, event_id, p1 AS player1_id, p2 AS player2_id, p3 AS player3_id,
+        p4 AS player4_id, {NAMES}, strokes, relative AS to_par, placement, disqualified,
+        row_number() OVER (PARTITION BY event_id ORDER BY placement NULLS LAST, relative NULLS LAST,
+                           strokes NULLS LAST, id) AS line
+      FROM wide""",
     "event_with_teams": f"""WITH {FULL}
       SELECT e.id, e.name, k.city || ', ' || k.state AS course_location, k.par AS course_par,
         0::BIGINT AS page,
@@ -370,6 +400,12 @@ ORACLES: dict[str, str] = {
         CASE WHEN e.is_major THEN coalesce(e.major_label, 'Major Tournament') END
           AS major_title, e.name AS title, strftime(e.date, '%b %-d, %Y') AS shown_date
       FROM event e JOIN course k ON k.id = e.course_id""",
+    "labels_without_courses": f"""WITH {LEAGUE}
+      SELECT e.id, CASE WHEN k.par <> 71 THEN k.name || ' (Par ' || k.par || ')'
+                        ELSE 'Course #' || k.id END AS course_label,
+        CASE WHEN k.par <> 71 THEN k.name ELSE 'Unknown Course' END AS course,
+        CASE WHEN k.par <> 71 THEN k.name ELSE 'TBD' END AS venue
+      FROM event e JOIN course k ON k.id = e.course_id""",
     "player_labels": f"""WITH {LEAGUE}
       SELECT id, first_name || ' ' || last_name || coalesce(' (“' || nickname || '”)', '') AS title,
         concat_ws(' · ', hometown, 'Debut ' || debut_year) AS line,
@@ -451,27 +487,51 @@ ORACLES: dict[str, str] = {
         n3 AS player3_full, n4 AS player4_full, CAST(s.strokes AS DECIMAL(5,2)) AS strokes,
         s.placement, s.notes
       FROM sheet s JOIN event e ON e.id = s.event_id JOIN course k ON k.id = e.course_id""",
+    "sheet_rejects": f"""WITH {FAULTS}
+      SELECT event_name, player1_full, array_to_string(reasons, '; ') AS reasons FROM faults WHERE len(reasons) > 0""",
+    "sheet_accepted": f"""WITH {FAULTS}
+      SELECT event_name, date AS event_date, season, player1_full, CAST(strokes AS DECIMAL(5,2)) AS strokes,
+        placement, notes FROM faults WHERE len(reasons) = 0""",
     "csv_name_map": f"""WITH {LEAGUE}
       SELECT first_name || ' ' || last_name AS raw_full, first_name, last_name FROM player""",
     "csv_backup": f"""WITH {LEAGUE}
       SELECT id, event_id, p1 AS player1_id, p2 AS player2_id, p3 AS player3_id,
         p4 AS player4_id, strokes, to_par, placement, notes, disqualified FROM score""",
     "saved_tables": f"WITH {LEAGUE} SELECT * FROM event",
+    "stored_changes": f"""WITH {FULL}, {LATE_CARDS}
+      SELECT id, event_id, now AS strokes, {LATE_COLUMNS} FROM touched WHERE finalized""",
+    "conflicting_changes": f"""WITH {LEAGUE}, {MORE_COURSES}
+      SELECT id, name, city, coalesce(state, 'WI') AS state,
+        CASE WHEN state IS NULL THEN par + 1 ELSE par END AS par FROM more""",
     "duplicate_player_keys": f"""WITH {LEAGUE}
       SELECT first_name, hometown AS last_name, count(*) AS rows
       FROM player GROUP BY ALL HAVING count(*) > 1""",
     "duplicate_raw_names": f"""WITH {LEAGUE}
       SELECT first_name AS raw_full, count(*) AS rows
       FROM player GROUP BY ALL HAVING count(*) > 1""",
-    "insert_course_rows": f"""WITH {LEAGUE}
-      SELECT id, name, city, state, par FROM course
+    "insert_course_rows": f"WITH {LEAGUE}, {MORE_COURSES} SELECT * FROM more",
+    "insert_event_rows": f"""WITH {LEAGUE}
+      SELECT id, name, date, course_id, season, is_team_event, is_major, finalized FROM event
+      UNION ALL
+      SELECT (SELECT max(id) FROM event) + row_number() OVER (ORDER BY name, id), 'Opening of ' || name,
+        {AS_OF}, id, 1999, TRUE, FALSE, FALSE FROM course""",
+    "insert_score_rows": f"""WITH {LEAGUE}
+      SELECT id, event_id, p1 AS player1_id, p2 AS player2_id, p3 AS player3_id, p4 AS player4_id,
+        strokes, placement, disqualified FROM score
       UNION ALL
-      SELECT (SELECT max(id) FROM course) + row_number() OVER (
-          ORDER BY last_name, hometown NULLS FIRST, nickname NULLS FIRST),
-        last_name, hometown, nickname, 70 FROM player""",
+      SELECT (SELECT max(id) FROM score) + row_number() OVER (ORDER BY id), id, 1, 2, 3, 4, 70, NULL, FALSE
+      FROM event""",
     "delete_players": f"""WITH {LEAGUE}
       SELECT id, last_name FROM player
       WHERE id IN (SELECT unnest([p1, p2, p3, p4]) FROM score)""",
+    "delete_players_in_use": f"""WITH {LEAGUE}, famous AS (SELECT id FROM player WHERE hof_inducted)
+      SELECT id, p1 AS player1_id,
+        {', '.join(f"CASE WHEN p{i} NOT IN (SELECT id FROM famous) THEN p{i} END AS player{i}_id" for i in (2, 3, 4))}
+      FROM score WHERE p1 NOT IN (SELECT id FROM famous)""",
+    "delete_courses": f"WITH {LEAGUE} SELECT * FROM course WHERE id IN (SELECT course_id FROM event)",
+    "duplicate_course_keys": f"""WITH {LEAGUE}
+      SELECT city AS name, city, coalesce(state, '') AS state, count(*) AS rows
+      FROM course GROUP BY ALL HAVING count(*) > 1""",
     "duplicate_event_keys": f"""WITH {LEAGUE}
       SELECT name, date, course_id, count(*) AS rows FROM event GROUP BY ALL HAVING count(*) > 1""",
     "duplicate_team_keys": f"""WITH {LEAGUE}
@@ -486,12 +546,8 @@ ORACLES: dict[str, str] = {
       WHERE id IS NOT NULL""",
     "courses_in_use": f"WITH {LEAGUE} SELECT DISTINCT course_id AS id FROM event",
     "delete_open_events": f"WITH {FULL} SELECT id, event_id FROM wide WHERE finalized",
-    "update_scores": f"""WITH {FULL}, touched AS (
-        SELECT *, CASE WHEN disqualified THEN 99 ELSE strokes END AS now FROM wide)
-      SELECT id, now AS strokes,
-        CASE WHEN disqualified THEN now - course_par ELSE to_par END AS to_par,
-        CASE WHEN NOT disqualified THEN placement END AS placement,
-        CASE WHEN disqualified THEN 'DQ' ELSE notes END AS notes, disqualified FROM touched""",
+    "update_scores": f"""WITH {FULL}, {LATE_CARDS}
+      SELECT id, now AS strokes, {LATE_COLUMNS}, disqualified FROM touched""",
     "update_players": f"""WITH {LEAGUE}
       SELECT id, first_name, last_name,
         CASE WHEN hof_inducted THEN upper(hometown) ELSE nickname END AS nickname,

@@ -25,7 +25,7 @@ from clubhouse.plans import (
     presentation,
     wins,
 )
-from clubhouse.schemas import SLOT_IDS, SLOT_NAMES
+from clubhouse.schemas import LENIENT_REFERENCES, SLOT_IDS, SLOT_NAMES
 from clubhouse.session import shared_path
 from clubhouse.sources import files, store
 from clubhouse.tables import Tables, empty_tables
@@ -229,6 +229,65 @@ def _saved_tables(t: Tables) -> DataFrame:
     return store.load_tables(t.spark, root).events
 
 
+def _sheet_with_faults(t: Tables) -> DataFrame:
+    """The sheet as text, with values that are none and values left out."""
+    text = bound_sheet(t)
+    text = text.select(*[F.col(c).cast("string").alias(c) for c in text.columns])
+    return text.withColumns(
+        {
+            "strokes": F.when(F.col("strokes") == "61.00", "sixty-one").otherwise(F.col("strokes")),
+            "placement": F.when(F.col("placement") == "5", "5th").otherwise(F.col("placement")),
+            "is_major": F.when(F.col("major_label").isNotNull(), "yes").otherwise(F.col("is_major")),
+            "event_date": F.when(F.col("notes") != "wind F", F.date_format("event_date", "dd.MM.yyyy")).otherwise(
+                F.col("event_date")
+            ),
+            "season": F.when(F.col("player4_full").isNull(), F.col("season")),
+        }
+    )
+
+
+def _sheet_rejects(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "faults")
+    files.write_csv(_sheet_with_faults(t), path)
+    _, rejects = files.read_results_checked(t.spark, path)
+    return rejects.select("event_name", "player1_full", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _sheet_accepted(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "faults")
+    files.write_csv(_sheet_with_faults(t), path)
+    good, _ = files.read_results_checked(t.spark, path)
+    return good.select("event_name", "event_date", "season", "player1_full", "strokes", "placement", "notes")
+
+
+def _stored_changes(t: Tables) -> DataFrame:
+    """Two change sets, each saved as a version of its own."""
+    root = shared_path(t.spark, "league")
+    store.save_tables(t, root)
+    store.commit(t.spark, root, lambda now: changes.update_rows(now, "scores", _late_cards(now), refresh=True).tables)
+    store.commit(
+        t.spark, root, lambda now: changes.delete_rows(now, "events", now.events.where("NOT finalized")).tables
+    )
+    return store.load_tables(t.spark, root).scores.select("id", "event_id", "strokes", "to_par", "placement", "notes")
+
+
+def _conflicting_changes(t: Tables) -> DataFrame:
+    """Two savers of one version: the second one's change goes onto the first one's."""
+    root = shared_path(t.spark, "league")
+    store.save_tables(t, root)
+    mine = store.load_tables(t.spark, root)
+    store.commit(t.spark, root, lambda now: changes.insert_rows(now, "courses", _player_courses(now)).tables)
+
+    def states(now: Tables) -> Tables:
+        return changes.update_rows(now, "courses", _without_state(now)).tables
+
+    try:
+        store.save_tables(states(mine), root)
+    except store.VersionConflict:
+        store.commit(t.spark, root, states)
+    return store.load_tables(t.spark, root).courses
+
+
 def _json_documents(t: Tables) -> DataFrame:
     path = shared_path(t.spark, "documents")
     documents = leaderboards.event_with_teams(t, PAGE)
@@ -256,12 +315,15 @@ def _delete_open_events(t: Tables) -> DataFrame:
     return after.scores.select("id", "event_id")
 
 
-def _update_scores(t: Tables) -> DataFrame:
-    new = t.scores.where("disqualified").select(
+def _late_cards(t: Tables) -> DataFrame:
+    return t.scores.where("disqualified").select(
         "id", F.lit(99).alias("strokes"), F.lit(None).cast("int").alias("placement"),
         F.lit("DQ").alias("notes"),
     )
-    after = changes.update_rows(t, "scores", new, refresh=True).tables
+
+
+def _update_scores(t: Tables) -> DataFrame:
+    after = changes.update_rows(t, "scores", _late_cards(t), refresh=True).tables
     return after.scores.select("id", "strokes", "to_par", "placement", "notes", "disqualified")
 
 
@@ -273,11 +335,12 @@ def _update_players(t: Tables) -> DataFrame:
     return after.players.select("id", "first_name", "last_name", "nickname", "hof_year")
 
 
+def _without_state(t: Tables) -> DataFrame:
+    return t.courses.where("state IS NULL").withColumns({"state": F.lit("WI"), "par": F.col("par") + 1})
+
+
 def _update_courses(t: Tables) -> DataFrame:
-    new = t.courses.where("state IS NULL").withColumns(
-        {"state": F.lit("WI"), "par": F.col("par") + 1}
-    )
-    return changes.update_rows(t, "courses", new).tables.courses
+    return changes.update_rows(t, "courses", _without_state(t)).tables.courses
 
 
 def _insert_player_rows(t: Tables) -> DataFrame:
@@ -289,12 +352,58 @@ def _insert_player_rows(t: Tables) -> DataFrame:
     return after.players.select("id", "first_name", "last_name", "hometown", "hof_inducted")
 
 
-def _insert_course_rows(t: Tables) -> DataFrame:
-    rows = t.players.select(
+def _player_courses(t: Tables) -> DataFrame:
+    return t.players.select(
         F.col("last_name").alias("name"), F.col("hometown").alias("city"),
         F.col("nickname").alias("state"), F.lit(70).alias("par"),
     )
-    return changes.insert_rows(t, "courses", rows).tables.courses
+
+
+def _insert_course_rows(t: Tables) -> DataFrame:
+    return changes.insert_rows(t, "courses", _player_courses(t)).tables.courses
+
+
+def _insert_event_rows(t: Tables) -> DataFrame:
+    rows = t.courses.select(
+        F.concat(F.lit("Opening of "), "name").alias("name"), F.lit(AS_OF).alias("date"),
+        F.col("id").alias("course_id"), F.lit(AS_OF.year).alias("season"),
+    )
+    after = changes.insert_rows(t, "events", rows).tables
+    return after.events.select("id", "name", "date", "course_id", "season", "is_team_event", "is_major", "finalized")
+
+
+def _insert_score_rows(t: Tables) -> DataFrame:
+    """A team of the first four players in every event."""
+    team = {slot: F.lit(i).cast("long") for i, slot in enumerate(SLOT_IDS, 1)}
+    rows = t.events.select(F.col("id").alias("event_id"), *[v.alias(c) for c, v in team.items()],
+                           F.lit(70).alias("strokes"))
+    after = changes.insert_rows(t, "scores", rows).tables
+    return after.scores.select("id", "event_id", *SLOT_IDS, "strokes", "placement", "disqualified")
+
+
+def _delete_players_in_use(t: Tables) -> DataFrame:
+    """Players of the hall of fame go: their teams too if they come first in them.
+
+    A team key that only differed in an emptied slot would be refused, so every
+    score is an event of its own here.
+    """
+    apart = t.with_tables(scores=t.scores.withColumn("event_id", F.col("id")))
+    famous = apart.players.where("hof_inducted")
+    after = changes.delete_rows(apart, "players", famous, LENIENT_REFERENCES).tables
+    return after.scores.select("id", *SLOT_IDS)
+
+
+def _delete_courses(t: Tables) -> DataFrame:
+    used = quality.rows_in_use(t, "courses", t.courses)
+    unused = t.courses.select("id").join(used, "id", "left_anti")
+    return changes.delete_rows(t, "courses", unused).tables.courses
+
+
+def _labels_without_courses(t: Tables) -> DataFrame:
+    """Labels where a course is not in the table."""
+    return presentation.event_labels(t.with_tables(courses=t.courses.where("par <> 71"))).select(
+        "id", "course_label", "course", "venue"
+    )
 
 
 def _unused_players(t: Tables) -> DataFrame:
@@ -342,6 +451,7 @@ QUERIES: dict[str, Query] = {
         events.event_list(t, ordered=False), t.scores.select(F.col("event_id").alias("id"))
     ),
     "event_scores": leaderboards.event_scores,
+    "event_places": leaderboards.event_places,
     "event_with_teams": _event_with_teams,
     "player_list": players.player_list,
     "players_by_id": lambda t: events.with_ids(
@@ -357,6 +467,7 @@ QUERIES: dict[str, Query] = {
     ),
     "hydrated_names": _hydrated_names,
     "event_labels": presentation.event_labels,
+    "labels_without_courses": _labels_without_courses,
     "score_labels": presentation.score_labels,
     "player_labels": presentation.player_labels,
     "distinct_raw_names": lambda t: load.distinct_raw_names(bound_sheet(t)),
@@ -371,9 +482,13 @@ QUERIES: dict[str, Query] = {
     "refresh_to_par": lambda t: load.refresh_to_par(t).select("id", "strokes", "to_par"),
     "load_from_staging": _load_from_staging,
     "csv_sheet": _csv_sheet,
+    "sheet_rejects": _sheet_rejects,
+    "sheet_accepted": _sheet_accepted,
     "csv_name_map": _csv_name_map,
     "csv_backup": _csv_backup,
     "saved_tables": _saved_tables,
+    "stored_changes": _stored_changes,
+    "conflicting_changes": _conflicting_changes,
     "json_documents": _json_documents,
     "one_player_stats": lambda t: players.player_stats(t, player_id=ONE_PLAYER),
     "one_player_results": lambda t: players.player_results(t, player_id=ONE_PLAYER),
@@ -384,6 +499,9 @@ QUERIES: dict[str, Query] = {
     "duplicate_raw_names": lambda t: quality.duplicate_keys(
         bound_name_map(t).withColumn("raw_full", F.col("first_name")), "name_map"
     ),
+    "duplicate_course_keys": lambda t: quality.duplicate_keys(
+        t.courses.withColumn("name", F.col("city")), "courses"
+    ),
     "duplicate_event_keys": lambda t: quality.duplicate_keys(t.events, "events"),
     "duplicate_team_keys": lambda t: quality.duplicate_keys(t.scores, "scores"),
     "orphans": _orphans,
@@ -397,7 +515,11 @@ QUERIES: dict[str, Query] = {
     "update_courses": _update_courses,
     "insert_player_rows": _insert_player_rows,
     "insert_course_rows": _insert_course_rows,
+    "insert_event_rows": _insert_event_rows,
+    "insert_score_rows": _insert_score_rows,
     "delete_players": _delete_players,
+    "delete_players_in_use": _delete_players_in_use,
+    "delete_courses": _delete_courses,
     "delete_scores": _delete_scores,
     "not_found": _not_found,
 }

@@ -64,3 +64,9 @@ def is_member(player, *ids) -> Column:
     """True if the player fills one of the slots. For a given player a scan can
     check the comparisons, which an IN over columns would not let it do."""
     return reduce(or_, [_col(i) == _col(player) for i in ids])
+
+
+def in_order_of(column: str, collation: str | None) -> Column:
+    """A text as a sort key, NULLs last: by bytes, or as a collation (such as
+    "UNICODE" or "de") has it."""
+    return F.asc_nulls_last(column if collation is None else F.collate(F.col(column), collation))

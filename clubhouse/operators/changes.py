@@ -7,7 +7,7 @@ found.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +16,10 @@ from clubhouse import schemas
 from clubhouse.operators.ids import with_new_ids
 from clubhouse.operators.load import refresh_to_par
 from clubhouse.operators.quality import (
-    cascade_events,
     check_changed_rows,
+    delete_with_rules,
     duplicate_ids,
     refuse,
-    rows_in_use,
 )
 from clubhouse.tables import Tables, conform
 
@@ -37,6 +36,8 @@ class Change:
     tables: Tables
     affected: DataFrame
     not_found: DataFrame | None = None
+    # Rows of other tables that a deletion changed, as they were.
+    also: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def insert_rows(tables: Tables, table: str, rows: DataFrame) -> Change:
@@ -53,7 +54,7 @@ def insert_rows(tables: Tables, table: str, rows: DataFrame) -> Change:
     # Rows that differ in nothing sort next to each other in any order.
     order = [c for c in filled.columns if c != "id"]
     added = conform(with_new_ids(filled, current, order), table)
-    after = tables.with_tables(**{table: conform(current, table).unionByName(added)})
+    after = tables.with_rows_changed(table, conform(current, table).unionByName(added), added)
     check_changed_rows(after, table, added, added.columns)
     return Change(after, added)
 
@@ -86,23 +87,24 @@ def update_rows(
             for c in current.columns
         ]
     )
-    after = tables.with_tables(**{table: joined})
+    before = current.join(changes.select("id"), "id", "left_semi")
+    after = tables.with_rows_changed(table, joined, before)
     if refresh and table == "scores":
-        after = after.with_tables(scores=refresh_to_par(after, changes))
+        after = after.with_rows_changed("scores", refresh_to_par(after, changes), before)
     affected = getattr(after, table).join(changes.select("id"), "id", "left_semi")
     check_changed_rows(after, table, affected, columns)
     return Change(after, affected, not_found(current, changes))
 
 
-def delete_rows(tables: Tables, table: str, ids: DataFrame) -> Change:
-    """Delete rows by id. Deleting an event deletes its scores; a course or a
-    player that is still referred to is refused."""
+def delete_rows(
+    tables: Tables, table: str, ids: DataFrame, references: dict = schemas.REFERENCES
+) -> Change:
+    """Delete rows by id, and what refers to them as the rules of ``references`` say.
+
+    By default deleting an event deletes its scores, and a course or a player
+    that is still referred to is refused; see ``delete_with_rules``.
+    """
     current = getattr(tables, table)
-    refuse(rows_in_use(tables, table, ids), f"{table}: still referred to")
-    wanted = ids.select("id").distinct()
-    affected = current.join(wanted, "id", "left_semi")
-    if table == "events":
-        after = cascade_events(tables, wanted)
-    else:
-        after = tables.with_tables(**{table: current.join(wanted, "id", "left_anti")})
-    return Change(after, affected, not_found(current, ids))
+    affected = current.join(ids.select("id").distinct(), "id", "left_semi")
+    after, also = delete_with_rules(tables, table, ids, references)
+    return Change(after, affected, not_found(current, ids), also)

@@ -40,6 +40,7 @@ def lookup(
     how: str = "left",
     small: bool = False,
     keys_from: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim``, a table with one row per key.
 
@@ -50,14 +51,16 @@ def lookup(
     keys the sketch names changes the work per task, never the result.
 
     ``keys_from`` is a cheaper frame with the same key columns to take the
-    frequent keys from. ``how`` is "left" or "inner".
+    frequent keys from; ``hot`` has their hashes where they are known already.
+    ``how`` is "left" or "inner".
     """
     values = [c for c in dim.columns if c not in on]
     if small:
         return fact.join(F.broadcast(dim), on, how).select(*fact.columns, *values)
 
     hashed = dim.withColumn(_KEY, F.xxhash64(*on))
-    hot = hot_key_hashes(fact if keys_from is None else keys_from, on)
+    if hot is None:
+        hot = hot_key_hashes(fact if keys_from is None else keys_from, on)
     hot_rows = hashed.join(F.broadcast(hot), _KEY, "left_semi").select(
         *on, F.struct(*values, F.lit(True).alias(_FOUND)).alias(_HIT)
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clubhouse.functions.names import _col
-from clubhouse.operators.ids import dense_index
-from clubhouse.operators.joins import lookup
+
+# A group of more rows is parted, and into how many parts at most.
+CROWD = 1_000_000
+MOST_PARTS = 256
 
 
 def ordered_list(fields: list, order: list) -> Column:
@@ -20,23 +22,64 @@ def ordered_list(fields: list, order: list) -> Column:
     return F.sort_array(F.collect_list(entry)).getField("value")
 
 
+def crowded_groups(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
+    """Groups of more than ``most`` rows, with values of ``by`` that part them.
+
+    Rows are counted before they move, and quantiles come from mergeable
+    sketches, so a crowded group is never in one place. There is less than one such group for
+    every ``most`` rows, with MOST_PARTS values at most.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > most)
+    crowded = sizes.select(F.col(group).alias("__g"), "__rows")
+    parts = F.least(F.ceil(2 * F.col("__rows") / most), F.lit(MOST_PARTS)).cast("int")
+    shares = [(i + 1) / MOST_PARTS for i in range(MOST_PARTS - 1)]
+    found = rows.join(F.broadcast(crowded), F.col(group).eqNullSafe(F.col("__g"))).groupBy("__g")
+    marks = found.agg(
+        F.percentile_approx(by, shares, 10 * MOST_PARTS).alias("__marks"), F.first("__rows").alias("__rows")
+    )
+    # As many marks as there are parts less one, evenly chosen.
+    step = F.lit(MOST_PARTS) / parts
+    chosen = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("__marks", F.floor(i * step).cast("int") - 1))
+    return marks.select("__g", F.array_sort(F.array_distinct(chosen)).alias("__marks"))
+
+
 def with_positions(
-    rows: DataFrame, group: str, order: list[str], few_groups: bool = False
+    rows: DataFrame, group: str, order: list[str], crowd: int = CROWD
 ) -> DataFrame:
     """Add ``position``: 1, 2, 3, … in the order of each group, NULLs last.
 
-    All rows are sorted together over many tasks and numbered there; a row's
-    position is its number less the first one of its group. So a crowded group
-    is spread over tasks. ``few_groups`` says that the groups may be broadcast.
+    A group is sorted where its rows meet, in one shuffle by group that later steps
+    by group can use. Groups of more than ``crowd`` rows are parted at quantiles of the first
+    numeric column of ``order`` from which on it decides; a position there is the one
+    within the part, and the sizes of the parts before it are added.
     """
-    nulls = {f"__null{i}": F.col(c).isNull() for i, c in enumerate(order)}
-    keys = [k for i, c in enumerate(order) for k in (f"__null{i}", c)]
-    numbered = dense_index(rows.withColumns(nulls), [group, *keys], "__index")
-    first = numbered.groupBy(group).agg(F.min("__index").alias("__first"))
-    found = lookup(
-        numbered, first, [group], small=few_groups, keys_from=numbered.select(group)
-    )
-    return found.select(*rows.columns, (F.col("__index") - F.col("__first") + 1).alias("position"))
+    keys = [F.asc_nulls_last(c) for c in order]
+    local = Window.partitionBy(group).orderBy(*keys)
+    crowded = crowded_groups(rows, group, order[0], crowd)
+    marked = [(row["__g"], row["__marks"]) for row in crowded.collect()]
+    if not marked:
+        return rows.withColumn("position", F.row_number().over(local).cast("long"))
+    spark = rows.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    marks = spark.createDataFrame(marked, f"__g {kinds[group]}, __marks array<{kinds[order[0]]}>")
+    told = rows.join(F.broadcast(marks), F.col(group).eqNullSafe(F.col("__g")), "left")
+    first = F.col(order[0])
+    below = F.size(F.filter("__marks", lambda m: m < first))
+    part = F.when(F.col("__marks").isNull(), 0).when(first.isNull(), MOST_PARTS).otherwise(below)
+    parted = told.withColumn("__part", part).drop("__g", "__marks")
+    sizes = parted.where(F.col("__part").isNotNull()).join(
+        F.broadcast(marks.select("__g")), F.col(group).eqNullSafe(F.col("__g")), "left_semi"
+    ).groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), "__rows").withColumn(
+        "__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0))
+    ).drop("__rows")
+    within = Window.partitionBy(group, "__part").orderBy(*keys)
+    numbered = parted.withColumn("__local", F.row_number().over(within))
+    same = F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p"))
+    placed = numbered.join(F.broadcast(before), same, "left")
+    position = (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("long")
+    return placed.select(*rows.columns, position.alias("position"))
 
 
 def page_of(position: str, page_size: int) -> Column:

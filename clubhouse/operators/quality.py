@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubhouse import schemas
-from clubhouse.operators.joins import lookup
+from clubhouse.operators.slots import fill_slots
 from clubhouse.tables import Tables
 
 
@@ -167,31 +168,70 @@ def check_changed_rows(tables: Tables, table: str, changed: DataFrame, columns:
         )
 
 
-def rows_in_use(tables: Tables, target: str, ids: DataFrame) -> DataFrame:
+def rows_in_use(tables: Tables, target: str, ids: DataFrame, references: dict = schemas.REFERENCES) -> DataFrame:
     """Ids among ``ids`` that a restricting reference still names."""
     used = []
-    for table, references in schemas.REFERENCES.items():
-        if any(to == target and rule == "restrict" for _, to, rule in references):
-            used.append(reference_counts(tables, table, target).select("id"))
+    for table, listed in references.items():
+        columns = [c for c, to, rule in listed if to == target and rule == "restrict"]
+        if columns:
+            counts = reference_counts(tables, table, target)
+            used.append(counts.where(F.col("column").isin(columns)).select("id"))
     if not used:
         return ids.select("id").limit(0)
     return ids.select("id").distinct().join(reduce(DataFrame.union, used), "id", "left_semi")
 
 
-def cascade_events(tables: Tables, ids: DataFrame) -> Tables:
-    """Delete events and their scores."""
-    gone = ids.select("id").distinct().withColumn("gone", F.lit(True))
-    kept = tables.events.join(gone.select("id"), "id", "left_anti")
-    if ids.count() <= tables.broadcast_rows:
-        left = tables.scores.join(
-            F.broadcast(gone.select(F.col("id").alias("event_id"))), "event_id", "left_anti"
-        )
-        return tables.with_tables(events=kept, scores=left)
-    marked = lookup(
-        tables.scores,
-        gone.withColumnRenamed("id", "event_id"),
-        ["event_id"],
-        keys_from=tables.scores.select("event_id"),
-    )
-    scores = marked.where(F.col("gone").isNull()).drop("gone")
-    return tables.with_tables(events=kept, scores=scores)
+def _marked(tables: Tables, table: str, columns: list[str], gone: DataFrame, few: bool) -> DataFrame:
+    """The rows of a table with a flag per column: does it refer to a row that goes?"""
+    rows = getattr(tables, table)
+    named = gone.select("id", F.lit(True).alias("gone"))
+    return fill_slots(rows, named, columns, [f"__{c}" for c in columns], small=few, keys_from=rows.select(*columns))
+
+
+def _any(columns: list[str]) -> Column:
+    return reduce(or_, [F.col(f"__{c}").isNotNull() for c in columns], F.lit(False))
+
+
+def delete_with_rules(
+    tables: Tables, target: str, ids: DataFrame, references: dict = schemas.REFERENCES
+) -> tuple[Tables, dict[str, DataFrame]]:
+    """Delete rows by id and do what the rules say to rows that refer to them.
+
+    "restrict" refuses the deletion, "cascade" deletes the row that refers (and,
+    by their own rules, rows that refer to that one), "set null" empties the column. All
+    columns of a table are decided in one pass over it; if several of its columns refer to rows that go,
+    restrict counts before cascade, and cascade before set null. Refused as well
+    is a NULL where a value is required, and a key that occurs twice once its
+    column is empty. Ids that are not there do nothing.
+
+    Returns the tables afterwards and, by table, the other rows touched, as they were.
+    """
+    gone = ids.select("id").distinct()
+    few = gone.count() <= tables.broadcast_rows
+    refuse(rows_in_use(tables, target, gone, references), f"{target}: still referred to")
+    touched: dict[str, DataFrame] = {}
+    after = tables
+    for table, listed in references.items():
+        rules = {c: rule for c, to, rule in listed if to == target and rule != "restrict"}
+        if not rules:
+            continue
+        dropped = [c for c, rule in rules.items() if rule == "cascade"]
+        emptied = [c for c, rule in rules.items() if rule == "set null"]
+        current = getattr(after, table)
+        marked = _marked(after, table, list(rules), gone, few)
+        kept = marked.where(~_any(dropped)) if dropped else marked
+        values = {c: F.when(F.col(f"__{c}").isNull(), F.col(c)).alias(c) for c in emptied}
+        left = kept.select(*[values.get(c, F.col(c)) for c in current.columns])
+        touched[table] = marked.where(_any(list(rules))).select(*current.columns)
+        if table == target or any(to == table for other in references.values() for _, to, _ in other):
+            # Its rows are referred to in turn.
+            lost = marked.where(_any(dropped)).select("id") if dropped else current.select("id").limit(0)
+            after, deeper = delete_with_rules(after, table, lost, references)
+            touched = {**deeper, **touched}
+        after = after.with_rows_changed(table, left, touched[table])
+        if emptied:
+            changed = kept.where(_any(emptied)).select(*[values.get(c, F.col(c)) for c in current.columns])
+            check_changed_rows(after, table, changed, [c for c in emptied if c in schemas.UNIQUE_KEYS[table]])
+    current = getattr(after, target)
+    kept = current.join(F.broadcast(gone) if few else gone, "id", "left_anti")
+    return after.with_rows_changed(target, kept, current.join(gone, "id", "left_semi")), touched

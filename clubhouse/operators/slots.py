@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clubhouse.functions import names
-from clubhouse.operators.joins import lookup
+from clubhouse.operators.joins import hot_key_hashes, lookup
 from clubhouse.schemas import SLOT_IDS, SLOT_NAMES
 from clubhouse.tables import Tables
 
@@ -56,34 +56,20 @@ def fill_slots(
 ) -> DataFrame:
     """Look up every slot column in ``dim`` (its columns: key, value).
 
-    With a small ``dim`` that is one broadcast join per slot. Otherwise every
-    slot becomes a row that carries its whole row along, all are looked up in a
-    single shuffle and regrouped by the row. Equal rows fall into one group,
-    which then counts how many there are. ``keys_from`` is a cheaper frame with
-    the slots to take frequent keys from.
+    With a small ``dim`` that is one broadcast join per slot, otherwise one
+    shuffled lookup per slot, all with the frequent keys of one sketch over
+    all slots. Rows with an empty slot travel spread out. ``keys_from`` is a cheaper frame
+    with the slots to take frequent keys from.
     """
     key, value = dim.columns
-    if small:
-        for slot, output in zip(slots, outputs):
-            side = dim.select(F.col(key).alias(slot), F.col(value).alias(output))
-            df = lookup(df, side, [slot], small=True)
-        return df
-
-    melted = df.select(
-        F.struct(*df.columns).alias("__carried"), F.posexplode(F.array(*slots)).alias("__slot", key)
-    )
-    if keys_from is not None:
-        keys_from = explode_slots(keys_from.select(*slots), slots, key)
-    found = lookup(melted, dim, [key], keys_from=keys_from)
-    regrouped = found.groupBy("__carried").agg(
-        *[
-            F.max(F.when(F.col("__slot") == i, F.col(value))).alias(output)
-            for i, output in enumerate(outputs)
-        ],
-        F.count_if(F.col("__slot") == 0).cast("int").alias("__times"),
-    )
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("__times"))).alias("__copy")
-    return regrouped.select("__carried.*", *outputs, copies).drop("__copy")
+    hot = None
+    if not small:
+        keys = df if keys_from is None else keys_from
+        hot = hot_key_hashes(explode_slots(keys.select(*slots), slots, "__key_of_slot"), ["__key_of_slot"])
+    for slot, output in zip(slots, outputs):
+        side = dim.select(F.col(key).alias(slot), F.col(value).alias(output))
+        df = lookup(df, side, [slot], small=small, hot=hot)
+    return df
 
 
 def add_player_names(df: DataFrame, tables: Tables, style: str = "full") -> DataFrame:

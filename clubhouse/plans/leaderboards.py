@@ -59,6 +59,14 @@ def event_scores(tables: Tables, event_id: int | None = None, ordered: bool = Tr
     return board.orderBy(*[F.asc_nulls_last(c) for c in order])
 
 
+def event_places(tables: Tables, event_id: int | None = None) -> DataFrame:
+    """Leaderboards with each score's line on its event's board, from 1, in the
+    order of ``event_scores``: placement, to-par, strokes and id, NULLs last."""
+    board = event_scores(tables, event_id, ordered=False)
+    placed = with_positions(board, "event_id", ["placement", "to_par", "strokes", "id"])
+    return placed.withColumnRenamed("position", "line")
+
+
 def score_list(tables: Tables, ordered: bool = True) -> DataFrame:
     """All scores with event name and date; names are NULL for an empty slot."""
     events = tables.events.select(
@@ -144,7 +152,7 @@ def podium_rows(tables: Tables, n: int = 3) -> DataFrame:
     """Podium rows of the last n finalized events with their ``position``, from
     1, by placement and id."""
     podium = _podium_scores(tables, latest_finalized(tables, n), n)
-    placed = with_positions(podium, "event_id", ["placement", "id"], few_groups=True)
+    placed = with_positions(podium, "event_id", ["placement", "id"])
     return add_player_names(placed, tables, "compact")
 
 
@@ -227,8 +235,7 @@ def event_team_rows(tables: Tables, event_id: int | None = None) -> DataFrame:
     scores = tables.scores.select("id", "event_id", *SLOT_IDS, "strokes", "placement", "notes")
     if event_id is not None:
         scores = scores.where(F.col("event_id") == event_id)
-    few = event_id is not None or tables.is_small("events")
-    placed = with_positions(scores, "event_id", ["id"], few_groups=few)
+    placed = with_positions(scores, "event_id", ["id"])
     return add_player_names(placed, tables, "strict")
 
 

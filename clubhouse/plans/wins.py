@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clubhouse.functions.labels import two_decimal_label
-from clubhouse.functions.names import joined_name
+from clubhouse.functions.names import in_order_of, joined_name
 from clubhouse.functions.scoring import is_win, two_decimals
 from clubhouse.operators.joins import lookup
 from clubhouse.operators.slots import members
@@ -58,7 +58,7 @@ def _totals() -> list[Column]:
     ]
 
 
-def _with_players(tables: Tables, totals: DataFrame, *extra: str) -> DataFrame:
+def with_players(tables: Tables, totals: DataFrame, *extra: str) -> DataFrame:
     zero = F.lit(0)
     return (
         tables.players.select(
@@ -85,7 +85,7 @@ def career_wins(tables: Tables) -> DataFrame:
     """
     shares = win_shares(tables).where("finalized").drop("event_name")
     entries = _entries(tables, shares, "inner")
-    return _with_players(tables, entries.groupBy("player_id").agg(*_totals()))
+    return with_players(tables, entries.groupBy("player_id").agg(*_totals()))
 
 
 def wins_by_event_name(tables: Tables) -> DataFrame:
@@ -95,23 +95,24 @@ def wins_by_event_name(tables: Tables) -> DataFrame:
     event name.
     """
     entries = _entries(tables, win_shares(tables), "left")
-    return _with_players(
+    return with_players(
         tables, entries.groupBy("player_id", "event_name").agg(*_totals()), "event_name"
     )
 
 
-def _best_first(df: DataFrame, *ties: str) -> DataFrame:
+def _best_first(df: DataFrame, *ties: str, collation: str | None = None) -> DataFrame:
     return df.orderBy(
         F.desc_nulls_first("career_wins"),
         F.desc_nulls_first("events_played"),
-        F.asc_nulls_last("name"),
+        in_order_of("name", collation),
         *[F.asc_nulls_last(t) for t in ties],
     )
 
 
-def top_players(tables: Tables, n: int = 10) -> DataFrame:
-    """The n players with the most career wins."""
-    return _best_first(career_wins(tables), "player_id").limit(n)
+def top_players(tables: Tables, n: int = 10, collation: str | None = None) -> DataFrame:
+    """The n players with the most career wins; equal ones by name, in the order
+    of bytes or of a collation."""
+    return _best_first(career_wins(tables), "player_id", collation=collation).limit(n)
 
 
 def top_by_event_name(tables: Tables, n: int = 10) -> DataFrame:

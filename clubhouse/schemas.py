@@ -96,6 +96,9 @@ SHEET = _struct(
     notes=StringType(),
 )
 
+# What a sheet's row must say about the event it names.
+SHEET_REQUIRED = ["event_name", "event_date", "season"]
+
 NAME_MAP = _struct(raw_full=StringType(), first_name=StringType(), last_name=StringType())
 
 SLOT_IDS = ["player1_id", "player2_id", "player3_id", "player4_id"]
@@ -135,7 +138,16 @@ MAX_LENGTH = {
     "events": {"name": 100, "major_label": 50},
 }
 
-# table -> (column, referenced table, what deleting the referenced row does)
+# Saved tables are kept in slices of this many values of a column, and a change
+# rewrites the slices it touches. A table without one is a single slice.
+SLICED_BY = {"events": "season", "scores": "event_id", "player_events": "event_id"}
+SLICE_WIDTH = {"events": 1, "scores": 1 << 14, "player_events": 1 << 14}
+
+# What is remembered of changed rows: the slice and the event they belong to.
+TOLD_APART_BY = {"players": ["id"], "courses": ["id"], "events": ["season", "id"], "scores": ["event_id"]}
+
+# table -> (column, referenced table, what deleting the referenced row does:
+# restrict, cascade or set null)
 REFERENCES = {
     "events": [("course_id", "courses", "restrict")],
     "scores": [
@@ -147,6 +159,19 @@ REFERENCES = {
     ],
 }
 
+# The other set of rules: deleting a team's first player deletes its scores, and
+# deleting another member empties the slot.
+LENIENT_REFERENCES = {
+    "events": [("course_id", "courses", "restrict")],
+    "scores": [
+        ("event_id", "events", "cascade"),
+        ("player1_id", "players", "cascade"),
+        ("player2_id", "players", "set null"),
+        ("player3_id", "players", "set null"),
+        ("player4_id", "players", "set null"),
+    ],
+}
+
 DEFAULTS = {
     "players": {"hof_inducted": False},
     "courses": {},

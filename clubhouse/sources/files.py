@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, DateType, StringType, StructField, StructType
 
 from clubhouse import schemas
 from clubhouse.operators.quality import duplicate_keys, refuse
@@ -20,6 +20,46 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SHEET).options(**_STRICT, dateFormat="yyyy-MM-dd").csv(path)
 
 
+def _typed(column: str, kind: DataType) -> Column:
+    """A text as a value of its column, NULL if it is none."""
+    text = F.col(column)
+    if isinstance(kind, StringType):
+        return text
+    if isinstance(kind, DateType):
+        return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast(kind)
+    if isinstance(kind, BooleanType):
+        return F.when(F.lower(text) == "true", True).when(F.lower(text) == "false", False)
+    return text.try_cast(kind)
+
+
+def read_results_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A results sheet in two parts: rows that can be loaded, and the others.
+
+    Rejected are rows with too many or too few fields, with a text that is no value of its
+    column, and with a course but without what every event must have. They come as
+    they stand in the sheet, each field as text, with the whole ``line`` if its
+    fields do not fit, and with all ``reasons``. The header must be right.
+    """
+    names = schemas.SHEET.names
+    text = StructType([StructField(c, StringType()) for c in [*names, "line"]])
+    options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "line"}
+    rows = spark.read.schema(text).options(**options).csv(path)
+    values = {f.name: _typed(f.name, f.dataType) for f in schemas.SHEET.fields}
+    broken = F.when(F.col("line").isNotNull(), F.lit("wrong number of fields"))
+    unread = [
+        F.when(F.col("line").isNull() & F.col(c).isNotNull() & value.isNull(), F.lit(f"{c}: not {kind}"))
+        for (c, value), kind in zip(values.items(), (f.dataType.simpleString() for f in schemas.SHEET.fields))
+        if kind != "string"
+    ]
+    lacking = [
+        F.when(F.col("line").isNull() & F.col("course_name").isNotNull() & F.col(c).isNull(), F.lit(f"{c}: missing"))
+        for c in schemas.SHEET_REQUIRED
+    ]
+    told = rows.withColumn("reasons", F.array_compact(F.array(broken, *unread, *lacking)))
+    good = told.where(F.size("reasons") == 0).select(*[v.alias(c) for c, v in values.items()])
+    return good, told.where(F.size("reasons") > 0).select(*names, "line", "reasons")
+
+
 def read_name_map(spark: SparkSession, path: str) -> DataFrame:
     """The raw-name map; a raw name may occur once."""
     names = spark.read.schema(schemas.NAME_MAP).options(**_STRICT).csv(path)

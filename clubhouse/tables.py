@@ -15,6 +15,16 @@ from clubhouse import schemas
 BROADCAST_ROWS = 100_000
 
 
+@dataclass(frozen=True)
+class Base:
+    """The saved version that tables were read from, and its frames as read."""
+
+    root: str
+    version: int
+    read: dict[str, DataFrame] = field(repr=False)
+    files: dict[str, dict[int, str]] = field(repr=False)
+
+
 @dataclass(frozen=True)
 class Tables:
     players: DataFrame
@@ -22,6 +32,10 @@ class Tables:
     events: DataFrame
     scores: DataFrame
     broadcast_rows: int = BROADCAST_ROWS
+    base: Base | None = field(default=None, repr=False, compare=False)
+    # For changed tables: frames of the rows that differ from the base, as far as
+    # schemas.TOLD_APART_BY has columns. A changed table that is not here may differ anywhere.
+    touched: dict[str, tuple[DataFrame, ...]] = field(default_factory=dict, repr=False, compare=False)
     _rows: dict[str, int] = field(default_factory=dict, repr=False, compare=False)
 
     @property
@@ -41,7 +55,22 @@ class Tables:
     def with_tables(self, **changed: DataFrame) -> Tables:
         """A copy with some tables exchanged; only their counts are forgotten."""
         kept = {name: n for name, n in self._rows.items() if name not in changed}
-        return replace(self, _rows=kept, **changed)
+        touched = {name: t for name, t in self.touched.items() if name not in changed}
+        return replace(self, _rows=kept, touched=touched, **changed)
+
+    def with_rows_changed(self, name: str, df: DataFrame, *rows: DataFrame) -> Tables:
+        """A copy with one table exchanged that differs from the present one only in
+        the given rows: those that are new, and those that are gone, as they were."""
+        known = name in self.touched or (self.base is not None and getattr(self, name) is self.base.read[name])
+        after = self.with_tables(**{name: df})
+        if not known:
+            return after
+        told = (r.select(*schemas.TOLD_APART_BY[name]) for r in rows)
+        return replace(after, touched={**after.touched, name: (*self.touched.get(name, ()), *told)})
+
+    def with_base(self, base: Base | None) -> Tables:
+        """A copy that counts as read from another version, or from none."""
+        return replace(self, base=base, touched={})
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in schemas.TABLES}

@@ -4,6 +4,7 @@ import pytest
 from conftest import day, rows
 from pyspark.sql import functions as F
 
+from clubhouse import schemas
 from clubhouse.operators import changes, quality
 from clubhouse.operators.quality import IntegrityError
 
@@ -119,3 +120,42 @@ def test_delete(spark, either):
             change = changes.delete_rows(either, table, ids(spark, free))
             assert getattr(change.tables, table).count() == 3
     assert changes.delete_rows(either, "scores", ids(spark, 11)).tables.scores.count() == 6
+
+
+def test_players_in_use_go_by_the_lenient_rules(spark, either):
+    """Player 2 is first in score 12 and 22, and second in 13."""
+    with pytest.raises(IntegrityError, match="still referred to"):
+        changes.delete_rows(either, "players", ids(spark, 2))
+    change = changes.delete_rows(either, "players", ids(spark, 2, 4, 99), schemas.LENIENT_REFERENCES)
+    assert sorted(rows(change.tables.scores, "id", "player1_id", "player2_id")) == [
+        (11, 1, 1), (13, 3, None), (21, 1, 3), (23, 3, None), (31, 1, None),
+    ]
+    assert sorted(rows(change.tables.players, "id")) == [(1,), (3,)]
+    assert sorted(rows(change.also["scores"], "id", "player2_id")) == [(12, None), (13, 2), (22, None)]
+    assert sorted(rows(change.affected, "id")) == [(2,), (4,)] and rows(change.not_found) == [(99,)]
+
+
+def test_a_row_in_both_roles_is_deleted(spark, either):
+    # Player 1 is both members of score 11, first in 21 and 31.
+    after = changes.delete_rows(either, "players", ids(spark, 1), schemas.LENIENT_REFERENCES).tables
+    assert sorted(rows(after.scores, "id")) == [(12,), (13,), (22,), (23,)]
+
+
+def test_rules_that_empty_what_is_needed_or_unique_are_refused(spark, league):
+    twins = league.with_tables(scores=league.scores.where("id IN (13, 23)").withColumns(
+        {"event_id": F.lit(2).cast("long"), "player1_id": F.lit(3).cast("long")}))
+    # Without its second player the team of score 13 is that of score 23.
+    with pytest.raises(IntegrityError, match="duplicate key"):
+        changes.delete_rows(twins, "players", ids(spark, 2), schemas.LENIENT_REFERENCES)
+    nulls = {"scores": [("player1_id", "players", "set null")]}
+    with pytest.raises(IntegrityError, match="required value"):
+        changes.delete_rows(league, "players", ids(spark, 2), nulls)
+
+
+def test_cascades_go_on(spark, either):
+    rules = {**schemas.REFERENCES, "events": [("course_id", "courses", "cascade")]}
+    change = changes.delete_rows(either, "courses", ids(spark, 1), rules)
+    assert sorted(rows(change.tables.events, "id")) == [(2,), (4,)]
+    assert sorted(rows(change.tables.scores, "event_id")) == [(2,), (2,), (2,)]
+    assert sorted(rows(change.also["events"], "id")) == [(1,), (3,)]
+    assert sorted(rows(change.also["scores"], "id")) == [(11,), (12,), (13,), (31,)]

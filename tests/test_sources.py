@@ -4,9 +4,13 @@ import json
 
 import pytest
 from conftest import day, rows
+from pyspark.sql import functions as F
 
+from clubhouse import schemas
+from clubhouse.operators import changes
 from clubhouse.plans import homepage, leaderboards
 from clubhouse.sources import files, store
+from clubhouse.sources.folders import Folder
 
 
 def test_save_and_load(spark, league, tmp_path):
@@ -43,13 +47,148 @@ def test_seed(spark, tmp_path):
     ]
 
 
-def test_two_savers_do_not_meet(spark, league, tmp_path, monkeypatch):
+def test_the_second_of_two_savers_is_told(spark, league, tmp_path):
     root = str(tmp_path / "league")
-    monkeypatch.setattr(store, "current_version", lambda *_: 0)  # both see no version yet
-    less = league.with_tables(scores=league.scores.where("event_id = 1"))
-    assert store.save_tables(league, root) == store.save_tables(less, root) == 1
-    assert store.load_tables(spark, root).scores.count() in (3, 7)
-    assert len(list((tmp_path / "league").glob("version=1-*"))) == 2
+    store.save_tables(league, root)
+    mine, other = store.load_tables(spark, root), store.load_tables(spark, f"file:{root}/")
+    new = spark.createDataFrame([("Third Meadow", 71)], "name string, par int")
+    assert store.save_tables(changes.insert_rows(other, "courses", new).tables, root) == 2
+    late = changes.delete_rows(mine, "scores", mine.scores.where("id = 11")).tables
+    with pytest.raises(store.VersionConflict, match="from version 1, but version 2"):
+        store.save_tables(late, root)
+    now = store.load_tables(spark, root)
+    assert now.courses.count() == 3 and now.scores.count() == 7
+    # Tables from elsewhere are no version of these, unless they are to replace them.
+    with pytest.raises(store.VersionConflict):
+        store.save_tables(league, root)
+    assert store.save_tables(league, root, replace=True) == 3
+    assert store.load_tables(spark, root).courses.count() == 2
+
+
+def test_savers_at_one_moment(spark, league, tmp_path, monkeypatch):
+    """Both see the same newest version; only one entry can be created."""
+    root = str(tmp_path / "league")
+    store.save_tables(league, root)
+    first, second = store.load_tables(spark, root), store.load_tables(spark, root)
+    seen = store.current_version
+    monkeypatch.setattr(store, "current_version", lambda *_: 1)
+    less = first.with_tables(scores=first.scores.where("event_id = 1"))
+    assert store.save_tables(less, root) == 2
+    with pytest.raises(store.VersionConflict):
+        store.save_tables(second.with_tables(scores=second.scores.limit(0)), root)
+    monkeypatch.setattr(store, "current_version", seen)
+    assert store.current_version(spark, root) == 2 and store.load_tables(spark, root).scores.count() == 3
+    assert len(list((tmp_path / "league").glob("version=2-*"))) == 1  # the other one's rows are gone
+    assert not [p for p in (tmp_path / "league" / "versions").iterdir() if not p.name.startswith("00")]
+
+
+def test_an_entry_is_created_once(spark, tmp_path, monkeypatch):
+    for kind in ("file", "other"):
+        folder = Folder(spark, str(tmp_path / kind))
+        if kind == "other":  # the way of stores whose rename does not replace
+
+            class Uri:
+                def getScheme(self):
+                    return "other"
+
+            system = folder._system
+
+            class System:
+                def __getattr__(self, name):
+                    return Uri if name == "getUri" else getattr(system, name)
+
+            folder._system = System()
+        assert [folder.create("log/1", text) for text in ("a", "b")] == [True, False]
+        assert (tmp_path / kind / "log" / "1").read_text() == "a"
+        assert sorted(p.name for p in (tmp_path / kind / "log").iterdir() if not p.name.endswith(".crc")) == ["1"]
+
+
+def test_commit_applies_the_change_to_the_newer_version(spark, league, tmp_path):
+    root = str(tmp_path / "league")
+    store.save_tables(league, root)
+    tried = []
+
+    def add(name):
+        new = spark.createDataFrame([(name, 71)], "name string, par int")
+        return lambda t: changes.insert_rows(t, "courses", new).tables
+
+    def disturbed(t):
+        tried.append(t.base.version)
+        if len(tried) == 1:
+            store.commit(spark, root, add("Between"))
+        return add("Mine")(t)
+
+    assert store.commit(spark, root, disturbed) == 3 and tried == [1, 2]
+    names = sorted(rows(store.load_tables(spark, root).courses, "id", "name"))
+    assert names[2:] == [(3, "Between"), (4, "Mine")]
+
+    def always(t):
+        store.commit(spark, root, add(f"Again {len(tried)}"))
+        tried.append(t.base.version)
+        return add("Never")(t)
+
+    with pytest.raises(store.VersionConflict):
+        store.commit(spark, root, always, attempts=2)
+
+
+def _files(folder, table: str) -> dict[str, set[str]]:
+    """Names of the data files by slice."""
+    return {
+        p.name: {f.name for f in p.glob("part-*")} for p in folder.glob(f"version=*/{table}/slice=*")
+    }
+
+
+def test_a_change_writes_the_slices_it_touches(spark, league, tmp_path, monkeypatch):
+    monkeypatch.setitem(schemas.SLICE_WIDTH, "scores", 1)  # an event each
+    root = tmp_path / "league"
+    store.save_tables(league, str(root))
+    before = _files(root, "scores")
+    assert sorted(before) == ["slice=1", "slice=2", "slice=3"]
+
+    new = spark.createDataFrame([(22, 69, 2, None)], "id long, strokes int, placement int, notes string")
+    saved = store.load_tables(spark, str(root))
+    store.save_tables(changes.update_rows(saved, "scores", new, refresh=True).tables, str(root))
+    (version,) = root.glob("version=2-*")
+    assert [p.relative_to(version).as_posix() for p in version.glob("*/slice=*")] == ["scores/slice=2"]
+    now = store.load_tables(spark, str(root))
+    assert rows(now.scores.where("id = 22"), "strokes", "to_par") == [(69, -1)]
+    assert now.scores.count() == 7
+    # What is read is the old files and the new slice's.
+    used = {f.split("/")[-1] for f in now.scores.inputFiles()}
+    assert used == before["slice=1"] | before["slice=3"] | {p.name for p in version.glob("scores/*/part-*")}
+
+    gone = changes.delete_rows(now, "events", spark.createDataFrame([(3,)], "id long"))
+    store.save_tables(gone.tables, str(root))
+    last = store.load_tables(spark, str(root))
+    assert sorted(last.base.files["scores"]) == [1, 2] and last.scores.count() == 6
+    assert sorted(rows(last.events, "id")) == [(1,), (2,), (4,)]
+    assert not list(root.glob("version=3-*/scores/slice=*"))
+    # Nothing changed: nothing is written, and all is there.
+    assert store.save_tables(last, str(root)) == 4 and not list(root.glob("version=4-*"))
+    assert store.load_tables(spark, str(root)).scores.count() == 6
+
+
+def test_slices_after_many_changes_equal_whole_tables(spark, league, tmp_path, monkeypatch):
+    monkeypatch.setitem(schemas.SLICE_WIDTH, "scores", 2)
+    root = str(tmp_path / "league")
+    store.save_tables(league, root)
+    plain = league
+    steps = [
+        lambda t: changes.insert_rows(t, "scores", spark.createDataFrame(
+            [(4, 4, 70), (2, 4, 71)], "event_id long, player1_id long, strokes int")).tables,
+        lambda t: changes.delete_rows(t, "scores", t.scores.where("id IN (12, 31)")).tables,
+        lambda t: changes.insert_rows(t, "events", spark.createDataFrame(
+            [("Late", day(9), 1, 2026)], "name string, date date, course_id long, season int")).tables,
+        lambda t: changes.delete_rows(t, "players", spark.createDataFrame([(2,)], "id long"),
+                                      schemas.LENIENT_REFERENCES).tables,
+        lambda t: t.with_tables(courses=t.courses.withColumn("par", F.lit(71))),
+    ]
+    for step in steps:
+        plain = step(plain)
+        store.commit(spark, root, step)
+        now = store.load_tables(spark, root)
+        for name, df in plain.as_dict().items():
+            assert sorted(map(str, rows(df))) == sorted(map(str, rows(getattr(now, name)))), name
 
 
 def test_headers_must_be_in_order(spark, tmp_path):
