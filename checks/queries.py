@@ -28,7 +28,7 @@ from clubhouse.plans import (
 from clubhouse.schemas import LENIENT_REFERENCES, SLOT_IDS, SLOT_NAMES
 from clubhouse.session import shared_path
 from clubhouse.sources import files, store
-from clubhouse.tables import Tables, empty_tables
+from clubhouse.tables import Tables, conform, empty_tables
 
 # Teams on a page of a nested document.
 PAGE = 10_000
@@ -387,7 +387,9 @@ def _delete_players_in_use(t: Tables) -> DataFrame:
     A team key that only differed in an emptied slot would be refused, so every
     score is an event of its own here.
     """
-    apart = t.with_tables(scores=t.scores.withColumn("event_id", F.col("id")))
+    apart = t.with_tables(
+        scores=t.scores.withColumn("event_id", F.col("id")), events=conform(t.scores.select("id"), "events")
+    )
     famous = apart.players.where("hof_inducted")
     after = changes.delete_rows(apart, "players", famous, LENIENT_REFERENCES).tables
     return after.scores.select("id", *SLOT_IDS)
