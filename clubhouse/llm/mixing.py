@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from clubhouse.operators.ids import dense_index
 from clubhouse.session import written
@@ -170,14 +171,28 @@ def mixed(
     )
 
 
+def _row_digest(docs: DataFrame) -> Column:
+    """A digest of a whole row, in which a NULL differs from every value and a
+    value from the same one in the next column."""
+    parts = []
+    for field in docs.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            column = F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"})
+        text = column.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-")))
+    return F.md5(F.concat(*parts))
+
+
 def materialized(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, all columns kept.
 
     A document that is taken in part keeps that many of its words, joined by one
     space. (At most one document of a source is.) Documents that are not taken
-    are left out; a repeated row is taken as often as all its repetitions are.
+    are left out; a repeated row is taken as often as all its repetitions are. Rows
+    that differ in any column, if only by which one is NULL, are different.
     """
-    row_tag = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    row_tag = _row_digest(docs)
     plan = mixed(docs, text_col=text_col, tag=row_tag, **options)
     in_part = (F.col("first_words") > 0) & (F.col("first_words") < F.col("size"))
     in_full = F.col("whole") + ((F.col("first_words") > 0) & ~in_part).cast("long")

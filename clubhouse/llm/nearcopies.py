@@ -46,6 +46,9 @@ BLOCK = 128
 #: Bits of the map of texts to be confirmed.
 MAP_BITS = 1 << 24
 
+#: What tells sets apart.
+DIGEST = ["n_shingles", "d1", "d2"]
+
 _rng = np.random.default_rng(3)
 _FACTORS = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -108,8 +111,8 @@ def likeliest(greater: np.ndarray, smaller: np.ndarray, one: np.ndarray, other:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) as doc_id, n_shingles, a digest of the set (two numbers),
-    and its registers."""
+    """(doc_id, text) as doc_id, a hash of the text, n_shingles, a digest of the
+    set (two numbers), and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,22 +120,28 @@ def signed(docs: DataFrame) -> DataFrame:
             for texts in slices(batch.column(1)):
                 values, sizes = shingle_sets(texts)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                digests = []
-                for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(salt)))])
-                    digests.append(pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)))
                 sketch = registers(values, sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, len(texts)), pa.array(sizes), *digests,
+                        batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)),
+                        pa.array(sizes), *_digests(values, ends),
                         pa.array([row.tobytes() for row in sketch], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "d1", "d2", "registers"],
+                    ["doc_id", "text_hash", *DIGEST, "registers"],
                 )
                 at += len(texts)
 
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, registers binary"
-    return docs.mapInArrow(run, schema)
+    schema = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, registers binary"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
+
+
+def _digests(values: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """Two numbers for every set, whatever the order of its members."""
+    digests = []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(salt)))])
+        digests.append(pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)))
+    return digests
 
 
 def _likely(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -205,13 +214,14 @@ def _confirmed(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from _forest_rows(ids, linked)
 
 
-def _with_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full sets of the texts whose id may be among ``ids``.
+def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Full sets of the wanted classes: family, rep, shingles.
 
-    A bit map of fixed size leaves most other texts out before anything moves; a
-    fuller map lets more through.
+    The text of a class is one with its ``first`` id and its digest. A bit map of
+    fixed size leaves most other texts out before anything moves; a fuller map
+    lets more through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.xxhash64("id").alias("m")), MAP_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(wanted.select(F.xxhash64("first").alias("m")), MAP_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -223,18 +233,24 @@ def _with_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 rows = [values[a:b].tobytes() for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(rows, pa.binary())], ["rep", "shingles"]
-                )
+                    [
+                        batch.column(0).slice(at, len(texts)), pa.array(sizes), *_digests(values, ends),
+                        pa.array(rows, pa.binary()),
+                    ],
+                    ["first", *DIGEST, "shingles"],
+                )
                 at += len(texts)
 
     named = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    return named.mapInArrow(run, "rep long, shingles binary")
+    sets = named.mapInArrow(run, "first long, n_shingles long, d1 long, d2 long, shingles binary")
+    return sets.join(wanted, ["first", *DIGEST]).select("family", "rep", "shingles")
 
 
-def confirmed_links(docs: DataFrame, likely: DataFrame) -> DataFrame:
+def confirmed_links(docs: DataFrame, classes: DataFrame, likely: DataFrame) -> DataFrame:
     """Links (a, b) that join the truly linked sets of each family."""
     members = likely.select(F.col("id").alias("rep"), F.col("component").alias("family"))
-    sets = written(_with_sets(docs, likely).join(members, "rep"))
+    wanted = written(classes.select("rep", "first", *DIGEST).join(members, "rep"))
+    sets = written(_with_sets(docs, wanted))
     blocks = sets.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     spread = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = sets.join(blocks, "family").withColumn("block", spread)
@@ -272,39 +288,76 @@ def confirmed_links(docs: DataFrame, likely: DataFrame) -> DataFrame:
     return written(links.unionByName(more))
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _in_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and for every set with a named text its component:
+    digest, rep, first (least id of the set), component_id (least one of the component).
+
+    Sets go by numbers of their own: several may have the same least id.
+    """
+    sketches = written(signed(rows))
+    classes = written(
+        sketches.where(_NAMED)
+        .groupBy(*DIGEST, "registers")
+        .agg(F.min("doc_id").alias("first"))
+        .withColumn("rep", F.monotonically_increasing_id())
+    )
+    joined = written(components(confirmed_links(rows, classes, written(families(classes)))))
+    numbers = classes.select("rep", "first", *DIGEST)
+    firsts = joined.join(numbers.select(F.col("rep").alias("id"), "first"), "id")
+    least = firsts.groupBy("component").agg(F.min("first").alias("least"))
+    joined = joined.join(least, "component").select(F.col("id").alias("rep"), "component", "least")
+    return sketches, numbers.join(joined, "rep", "left").select(
+        *DIGEST, "rep", "first", F.coalesce("component", "rep").alias("component"),
+        F.coalesce("least", "first").alias("component_id"),
+    )
+
+
+_NAMED = "doc_id is not null and n_shingles > 0"
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of near-duplicate texts.
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (the
     least id reachable by links, its own included) and kept (doc_id =
     component_id). Null texts and texts without words have no shingles, link
-    with nothing and are kept. Rows with equal ids count as one document with
-    several texts: they are in one component. A row with a null id links with
-    nothing, has a null component and is kept. Other columns are not looked at.
+    with nothing and are kept. Rows with equal ids are texts of their own, which
+    link if they are alike. A row with a null id links with nothing, has a
+    null component and is kept. Other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = written(signed(rows))
-    digest = ["n_shingles", "d1", "d2"]
-    named = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = written(
-        sketches.where(named).groupBy(*digest, "registers").agg(F.min("doc_id").alias("rep"))
-    )
-    links = confirmed_links(rows, written(families(classes)))
-    joined = components(links).withColumnRenamed("id", "rep")
-    known = classes.join(joined, "rep", "left").select(
-        *digest, F.coalesce("component", "rep").alias("component_id")
-    )
-    linked = sketches.where(named).join(known, digest).select("doc_id", "n_shingles", "component_id")
-    alone = sketches.where(~named).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    sketches, known = _in_components(_rows(docs, id_col, text_col))
+    linked = sketches.where(_NAMED).join(known, DIGEST).select("doc_id", "n_shingles", "component_id")
+    alone = sketches.where(f"not ({_NAMED})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns kept.
+    """One row of ``docs`` for every group of near-duplicates, all columns kept.
 
-    Of several rows with a kept id one stays; rows without an id all stay.
+    It is the one with the least id; of several texts with that id one stays, and
+    of rows that repeat it one. A row goes only if a near copy of its text
+    stays: texts that are not alike stay under one id, and so do rows without an id or
+    without words.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null")
-    kept = kept.select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    sketches, known = _in_components(_rows(docs, id_col, text_col))
+    chosen = (
+        known.where("first = component_id").groupBy("component").agg(F.min("rep").alias("rep"))
+        .join(known.select("rep", "first", *DIGEST), "rep")
+        .select(F.col("first").alias("doc_id"), *DIGEST)
+    )
+    # Equal ids and equal sets may still be different texts.
+    texts = sketches.where(_NAMED).join(chosen, ["doc_id", *DIGEST]).groupBy("doc_id", *DIGEST)
+    kept = texts.agg(F.min("text_hash").alias("__hash")).select(F.col("doc_id").alias("__id"), "__hash")
+    text = F.col(f"`{text_col}`").cast("string")
+    told = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__hash": F.xxhash64(text)})
+    named = told.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    # Without an id or without words nothing is a copy of anything.
+    apart = told.where(F.col("__id").isNull() | ~F.coalesce(F.regexp_like(text, F.lit(_WORD)), F.lit(False)))
+    return named.unionByName(apart).select(*docs.columns)
+
+
+_WORD = r"[^\x20\x09-\x0D]"

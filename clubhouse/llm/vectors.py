@@ -95,10 +95,12 @@ def near_duplicates(
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("usable", usable(F.col("v")) & F.col("vec_id").isNotNull())
     rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+    # Distinct vectors go by numbers of their own: several may have the same least id.
     classes = written(
-        rows.where("usable").groupBy("v").agg(
-            F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")
-        )
+        rows.where("usable")
+        .groupBy("v")
+        .agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     sizes = {r[0]: r[1] for r in classes.groupBy(F.size("v")).count().collect()}  # by length of vector
     counts, links = [], []
@@ -108,14 +110,17 @@ def near_duplicates(
         links.append(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     empty = spark.createDataFrame([], "rep long, partners long")
     partners = _union(counts, empty)
-    joined = components(_union(links, spark.createDataFrame([], "a long, b long")))
+    joined = written(components(_union(links, spark.createDataFrame([], "a long, b long"))))
+    firsts = joined.join(classes.select(F.col("rep").alias("id"), "first"), "id")
+    least = firsts.groupBy("component").agg(F.min("first").alias("least"))
+    joined = joined.join(least, "component").select(F.col("id").alias("rep"), "least")
     known = (
         classes.join(partners, "rep", "left")
-        .join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+        .join(joined, "rep", "left")
         .select(
             "v",
             (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("least", "first").alias("component_id"),
         )
     )
     linked = rows.where("usable").join(known, "v").select("vec_id", "n_links", "component_id")

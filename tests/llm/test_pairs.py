@@ -128,6 +128,29 @@ def test_near_copies_of_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1]
 
 
+def test_unlike_texts_under_one_id_all_stay(spark):
+    rng = random.Random(4)
+    first, second, third = (" ".join(f"w{rng.randrange(900)}" for _ in range(40)) for _ in range(3))
+    near = second + " more"
+    rows = [(1, first, "a"), (1, second, "b"), (2, near, "c"), (1, near, "d"), (3, third, "e"), (3, third, "f"), (4, "", "g"), (4, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    found = nearcopies.near_duplicates(docs)
+    assert sorted(tuple(r) for r in found.select("doc_id", "component_id").collect()) == [
+        (1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 4), (4, 4),
+    ]
+    kept = sorted((r.doc_id, r.text or "", r.tag) for r in nearcopies.representatives(docs).collect())
+    tags = [t for *_, t in kept]
+    # One of the near copies b, c and d, one of the equal rows e and f, and all that is like nothing.
+    assert len(kept) == 5 and {"a", "g", "h"} <= set(tags)
+    assert len(set(tags) & set("bd")) == 1 and len(set(tags) & set("ef")) == 1
+
+
+def test_unlike_vectors_under_one_id_link(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.01, 1.0]), (2, [1.0, 0.01]), (3, [-1.0, 0.0])]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(tuple(r)[:3] for r in found.collect()) == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 def test_likelihood_estimates_similarity():
     rng = np.random.default_rng(2)
     for j in (0.2, 0.5, 0.75, 0.95):
