@@ -43,6 +43,8 @@ from clubhouse.llm.words import slices
 from clubhouse.session import written
 
 FRAME_IDS = 1 << 17
+#: Tasks that read files at most; each reads several if there are more.
+_MOST_TASKS = 100_000
 SKIPPABLE = 0x184D2A5E
 DOCUMENTS = 0x184D2A50
 SEEKABLE = 0x8F92EAB1
@@ -100,7 +102,10 @@ class Writer:
     def _close_frame(self) -> None:
         if not self._waiting:
             return
-        data = np.concatenate(self._waiting).astype(self._type).tobytes()
+        ids = np.concatenate(self._waiting)
+        if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(self._type).max):
+            raise ValueError(f"an id does not fit {self._type.itemsize} bytes")
+        data = ids.astype(self._type).tobytes()
         packed = self._pack.compress(data)
         self._put(packed)
         self._frames.append((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
@@ -224,7 +229,9 @@ def read(manifest: DataFrame, folder: str, wanted: list[int] | None = None) -> D
 
     one_by_one = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     based = manifest.withColumn("base", F.coalesce(F.sum("ids").over(one_by_one), F.lit(0)))
-    spread = based.repartition("path").select("path", "width", "base")
+    # A task per file: few rows, but each stands for much work.
+    tasks = max(1, min(manifest.count(), _MOST_TASKS))
+    spread = based.repartition(tasks).select("path", "width", "base")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
@@ -271,5 +278,9 @@ def byte_level_encoder(path: str) -> Callable:
     )
     irregular = re.compile(r" (?:\s|\Z)").search if by_chunk else lambda _: True
     return ChunkEncoder(
-        lambda text: library.encode(text, add_special_tokens=False).ids, opens, irregular, bare_start=False
+        # The fast form leaves out places in the text, which nobody needs here.
+        lambda text: library.encode_batch_fast([text], add_special_tokens=False)[0].ids,
+        opens,
+        irregular,
+        bare_start=False,
     )

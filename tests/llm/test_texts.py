@@ -256,3 +256,32 @@ def test_mix_of_nothing_and_of_repeated_rows(spark):
     assert mixing.materialized(twice).count() == 2
 
 
+
+
+def test_rows_that_differ_in_which_column_is_null_are_all_taken(spark):
+    rows = [(1, "a b c", None, "x"), (1, "a b c", "x", None), (1, "a b c", "x", None), (2, "d e", "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = mixing.materialized(docs, weights=(1,), max_epochs=1)
+    assert sorted(map(str, taken.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_every_file_is_read_by_a_task_of_its_own(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    settings = {"spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, setting in settings.items():
+        spark.conf.set(name, setting)
+    try:
+        manifest = tokenfiles.write(docs, str(tmp_path), lambda: tokenfiles.byte_level_encoder(BYTES), 2, 2)
+        read = tokenfiles.read(manifest, str(tmp_path))
+        assert read.rdd.getNumPartitions() == manifest.count() > 1 and read.count() == 40
+    finally:
+        for name, setting in before.items():
+            spark.conf.set(name, setting)
+
+
+def test_ids_that_do_not_fit_are_refused():
+    writer = tokenfiles.Writer(pa.BufferOutputStream(), 2)
+    writer.add([1], np.array([70_000]), np.array([1]))
+    with pytest.raises(ValueError, match="does not fit 2 bytes"):
+        writer.close()
