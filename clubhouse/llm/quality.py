@@ -7,8 +7,10 @@ says which unlabelled documents it is most sure of, and the other learns from
 these as well. At the end each view is calibrated on labelled documents that no
 classifier has seen, and the calibrated views are combined.
 
-The classifiers are fitted on the driver to at most LABELLED labelled documents
-and POOL others, both chosen by a hash of the id; every document is scored.
+The classifiers are fitted on the driver to at most LABELLED labelled documents,
+chosen by a hash of the id, and to what is handed over. In every round tasks score all
+unlabelled documents and report those they are most sure of; only the best few of these, and only as
+features of fixed size, reach the driver. At the end every document is scored.
 """
 
 from __future__ import annotations
@@ -21,17 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from clubhouse.llm.words import SLICE_BYTES, Words, slices
+from clubhouse.session import written
 
-#: Documents for fitting: labelled ones, and unlabelled ones for the exchange.
+#: Labelled documents for fitting, and rounds of exchange.
 LABELLED = 4000
-POOL = 2000
 ROUNDS = 3
-#: Documents that a view hands over in a round, for each class at most, and how
-#: sure it must be of them.
+#: A view hands over the documents that it is most sure of among all unlabelled
+#: ones: so many of each class in a round, if it is as sure as this.
 HANDED = 150
 SURE = 0.95
+#: Rows of labels that may be broadcast: ids alone, 8 bytes each.
+KNOWN_ROWS = 1_000_000
 GRAMS = 1 << 11
 _SHAPE = 9
 CONTENT = _SHAPE + 256 + GRAMS
@@ -129,7 +134,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 200) ->
     z = x.astype(np.float32) * scale
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y <= 0).sum(), 1))
     # Single precision throughout: a mixed product would copy all features.
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    w, b = np.zeros(z.shape[1], np.float32), 0.0
     ahead, ahead_b = w, b
     rate = 4 / (float((weight * np.einsum("ij,ij->i", z, z)).sum()) + 1 + ridge)
     for t in range(1, steps + 1):
@@ -177,31 +182,11 @@ def _platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(labelled: tuple, y: np.ndarray, pool: tuple) -> Model | None:
-    """Fit both views; ``labelled`` and ``pool`` hold (content, metadata) features.
-
-    None if the labels do not hold both classes at least five times.
-    """
-    if min((y > 0).sum(), (y <= 0).sum()) < 5:
-        return None
-    kept_apart = np.zeros(len(y), bool)
-    for c in (0, 1):  # every fourth of each class is for calibration
-        kept_apart[np.flatnonzero(y == c)[::4]] = True
-    taught = [(view[~kept_apart], y[~kept_apart]) for view in labelled]
-    free = np.ones(len(pool[0]), bool)
-    models = [fit(*t) for t in taught]
-    for _ in range(ROUNDS):
-        handed = [_most_sure(m, view, free) for m, view in zip(models, pool)]
-        for learner, (rows, classes) in enumerate(reversed(handed)):
-            x, classes_before = taught[learner]
-            taught[learner] = (np.concatenate([x, pool[learner][rows]]), np.append(classes_before, classes))
-        for rows, _ in handed:
-            free[rows] = False
-        models = [fit(*t) for t in taught]
-    views = [m.logit(view[kept_apart]) for m, view in zip(models, labelled)]
-    truth = y[kept_apart]
-    calibration = np.stack([_platt(v, truth) for v in views])
-    calibrated = np.column_stack([v * s + o for v, (s, o) in zip(views, calibration)])
+def _calibrated(models: list[Linear], views: tuple, truth: np.ndarray) -> Model:
+    """Both views with their calibration and combination, from documents apart."""
+    logits = [m.logit(view) for m, view in zip(models, views)]
+    calibration = np.stack([_platt(v, truth) for v in logits])
+    calibrated = np.column_stack([v * s + o for v, (s, o) in zip(logits, calibration)])
     combination = _platt(calibrated, truth)
     for view in np.flatnonzero(combination[:2] < 0):  # a view never counts against itself
         other = _platt(calibrated[:, [1 - view]], truth)
@@ -210,16 +195,6 @@ def co_train(labelled: tuple, y: np.ndarray, pool: tuple) -> Model | None:
     return Model(*models, calibration, combination)
 
 
-def _most_sure(model: Linear, view: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The free documents that a view is most sure of, and their classes."""
-    p = _sigmoid(model.logit(view))
-    good = np.flatnonzero(free & (p >= SURE))
-    bad = np.flatnonzero(free & (p <= 1 - SURE))
-    good = good[np.argsort(-p[good], kind="stable")][:HANDED]
-    bad = bad[np.argsort(p[bad], kind="stable")][:HANDED]
-    return np.append(good, bad), np.append(np.ones(len(good)), np.zeros(len(bad)))
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
@@ -227,27 +202,112 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """Ids, content features and metadata features of a bounded number of rows.
+
+    The features are made in tasks: texts of any size never reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(1)):
+                langs, sources = (batch.column(i).slice(at, len(texts)).to_pylist() for i in (2, 3))
+                made = content_features(texts), metadata_features(texts, langs, sources)
+                columns = [pa.array([row.tobytes() for row in view], pa.binary()) for view in made]
+                names = ["doc_id", "content", "metadata"]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names)
+                at += len(texts)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    made = rows.mapInArrow(run, f"doc_id {kind}, content binary, metadata binary")
+    table = made.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    width = {"content": CONTENT, "metadata": 2 * CATEGORIES + _NUMBERS}
+    views = [
+        np.frombuffer(b"".join(table[c].to_pylist()), np.float32).reshape(-1, n) for c, n in width.items()
+    ]
+    return table["doc_id"].to_pylist(), *views
+
+
+def _surest(rows: DataFrame, models: list[Linear], handed: set) -> list[tuple]:
+    """What each view is most sure of among all given documents but those handed
+    over already: (view, class, doc_id). A task reports its HANDED best at most."""
+    shared = rows.sparkSession.sparkContext.broadcast((models, handed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, gone = shared.value
+        best: dict[tuple[int, int], list[tuple]] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(1)):
+                langs, sources = (batch.column(i).slice(at, len(texts)).to_pylist() for i in (2, 3))
+                ids = batch.column(0).slice(at, len(texts)).to_pylist()
+                at += len(texts)
+                views = content_features(texts), metadata_features(texts, langs, sources)
+                for v, (model, view) in enumerate(zip(models, views)):
+                    p = _sigmoid(model.logit(view).astype(np.float64))
+                    for c, sure in ((0, 1 - p), (1, p)):
+                        found = [(float(sure[i]), ids[i]) for i in np.flatnonzero(sure >= SURE) if ids[i] not in gone]
+                        best[v, c] = sorted({*best[v, c], *found}, key=lambda x: (-x[0], x[1]))[:HANDED]
+        out = [(v, c, *x) for (v, c), listed in best.items() for x in listed]
+        yield pa.RecordBatch.from_pylist([dict(zip(("view", "class", "sure", "doc_id"), x)) for x in out], schema=kinds)
+
+    kind = rows.schema["doc_id"].dataType
+    kinds = pa.schema([("view", pa.int32()), ("class", pa.int32()), ("sure", pa.float64()), ("doc_id", to_arrow_type(kind))])
+    reported = written(rows.mapInArrow(run, f"view int, class int, sure double, doc_id {kind.simpleString()}"))
+    chosen = []
+    for v in (0, 1):
+        for c in (0, 1):
+            mine = reported.where((F.col("view") == v) & (F.col("class") == c))
+            top = mine.groupBy("doc_id").agg(F.max("sure").alias("sure")).orderBy(F.desc("sure"), "doc_id").limit(HANDED)
+            chosen += [(v, c, r.doc_id) for r in top.select("doc_id").collect()]
+    return chosen
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit to documents (doc_id, text, lang, source) and labels (doc_id, quality).
 
     Several labels of a document count as the lowest; null labels and labels of
-    unknown documents are left out. None if there is too little to learn from.
+    unknown documents are left out, and of rows with equal ids one counts. None if the labels
+    do not hold both classes at least five times.
     """
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))
-    stated = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__y"))
+    stated = written(
+        labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
+    )
     chosen = stated.orderBy(order, "doc_id").limit(LABELLED)
-    others = docs.select("doc_id").join(stated, "doc_id", "left_anti").distinct()
-    others = others.orderBy(order, "doc_id").limit(POOL).withColumn("__y", F.lit(None).cast("int"))
-    # At most LABELLED + POOL ids, so they may be broadcast.
-    sample = chosen.withColumn("__y", F.col("__y").cast("int")).unionByName(others)
-    rows = _texts(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    table = rows.orderBy("doc_id").toArrow()
-    texts = table["text"].combine_chunks().cast(pa.large_string()).fill_null("")
-    langs, sources = table["lang"].to_pylist(), table["source"].to_pylist()
-    views = (content_features(texts), metadata_features(texts, langs, sources))
-    y = np.array([np.nan if v is None else float(v > 0) for v in table["__y"].to_pylist()])
-    known = ~np.isnan(y)
-    return co_train(tuple(v[known] for v in views), y[known], tuple(v[~known] for v in views))
+    truth = dict(chosen.collect())
+    texts = _texts(docs).where("doc_id is not null")
+    ids, *views = _features(texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
+    y = np.array([float(truth[i] > 0) for i in ids])
+    if min((y > 0).sum(), (y <= 0).sum()) < 5:
+        return None
+    apart = np.zeros(len(y), bool)
+    for c in (0, 1):  # every fourth of each class is for calibration
+        apart[np.flatnonzero(y == c)[::4]] = True
+    taught = [(view[~apart], y[~apart]) for view in views]
+    checked = [view[apart] for view in views]
+    del views
+    known = stated.select("doc_id")
+    free = texts.join(F.broadcast(known) if known.count() <= KNOWN_ROWS else known, "doc_id", "left_anti")
+    models = [fit(*t) for t in taught]
+    handed: set = set()
+    for _ in range(ROUNDS):
+        surest = _surest(free, models, handed)
+        if not surest:
+            break
+        new = docs.sparkSession.createDataFrame([(i,) for i in {i for *_, i in surest}], docs.select("doc_id").schema)
+        ids, *views = _features(texts.join(F.broadcast(new), "doc_id", "left_semi"))
+        place = {i: n for n, i in enumerate(ids)}
+        for teacher in (0, 1):
+            learner = 1 - teacher
+            rows = [(place[i], c) for v, c, i in surest if v == teacher]
+            x, classes = taught[learner]
+            more = views[learner][[r for r, _ in rows]]
+            taught[learner] = np.concatenate([x, more]), np.append(classes, [float(c) for _, c in rows])
+        handed |= set(ids)
+        models = [fit(*t) for t in taught]
+    return _calibrated(models, checked, y[apart])
 
 
 def _by_slice(model: Model | None, batch: pa.RecordBatch, at: tuple[int, int, int]) -> Iterator[tuple]:

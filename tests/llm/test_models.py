@@ -92,11 +92,8 @@ def test_quality_of_odd_rows(spark):
     rng = np.random.default_rng(0)
     view = lambda y, n: y[:, None] * 2.0 + rng.standard_normal((len(y), n))
     y = (np.arange(80) % 2).astype(float)
-    hidden = (np.arange(60) % 2).astype(float)
-    model = quality.co_train(
-        (view(y, quality.CONTENT), view(y, 2 * quality.CATEGORIES + 6)), y,
-        (view(hidden, quality.CONTENT), view(hidden, 2 * quality.CATEGORIES + 6)),
-    )
+    views = view(y, quality.CONTENT), view(y, 2 * quality.CATEGORIES + 6)
+    model = quality._calibrated([quality.fit(v, y) for v in views], views, y)
     strange = spark.createDataFrame(
         [(None, None, None, None), (1, "x", None, "s")], "doc_id long, text string, lang string, source string"
     )
