@@ -22,25 +22,34 @@ def ordered_list(fields: list, order: list) -> Column:
     return F.sort_array(F.collect_list(entry)).getField("value")
 
 
-def crowded_groups(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
-    """Groups of more than ``most`` rows, with values of ``by`` that part them.
+def crowded_groups(rows: DataFrame, group: str, by: str, most: int) -> list[tuple]:
+    """Groups of more than ``most`` rows, each with values of ``by`` that part it.
 
     Rows are counted before they move, and quantiles come from mergeable
-    sketches, so a crowded group is never in one place. There is less than one such group for
-    every ``most`` rows, with MOST_PARTS values at most.
+    sketches, so a crowded group is never in one place. There is less than one such
+    group for every ``most`` rows, with MOST_PARTS values at most.
     """
+    if rows.select(group).count() <= most:
+        return []
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > most)
-    crowded = sizes.select(F.col(group).alias("__g"), "__rows")
-    parts = F.least(F.ceil(2 * F.col("__rows") / most), F.lit(MOST_PARTS)).cast("int")
+    crowded = {r[0]: r[1] for r in sizes.collect()}
+    if not crowded:
+        return []
+    kind = rows.schema[group].dataType.simpleString()
+    listed = rows.sparkSession.createDataFrame([(g,) for g in crowded], f"__g {kind}")
     shares = [(i + 1) / MOST_PARTS for i in range(MOST_PARTS - 1)]
-    found = rows.join(F.broadcast(crowded), F.col(group).eqNullSafe(F.col("__g"))).groupBy("__g")
-    marks = found.agg(
-        F.percentile_approx(by, shares, 10 * MOST_PARTS).alias("__marks"), F.first("__rows").alias("__rows")
+    marks = (
+        rows.join(F.broadcast(listed), F.col(group).eqNullSafe(F.col("__g")), "left_semi")
+        .groupBy(group)
+        .agg(F.percentile_approx(by, shares, 10 * MOST_PARTS))
     )
-    # As many marks as there are parts less one, evenly chosen.
-    step = F.lit(MOST_PARTS) / parts
-    chosen = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("__marks", F.floor(i * step).cast("int") - 1))
-    return marks.select("__g", F.array_sort(F.array_distinct(chosen)).alias("__marks"))
+    found = []
+    for g, values in marks.collect():
+        parts = min(-(-2 * crowded[g] // most), MOST_PARTS)
+        # As many values as there are parts less one, evenly chosen.
+        chosen = {values[i * MOST_PARTS // parts - 1] for i in range(1, parts)} if values else set()
+        found.append((g, sorted(chosen)))
+    return found
 
 
 def with_positions(
@@ -55,8 +64,7 @@ def with_positions(
     """
     keys = [F.asc_nulls_last(c) for c in order]
     local = Window.partitionBy(group).orderBy(*keys)
-    crowded = crowded_groups(rows, group, order[0], crowd)
-    marked = [(row["__g"], row["__marks"]) for row in crowded.collect()]
+    marked = crowded_groups(rows, group, order[0], crowd)
     if not marked:
         return rows.withColumn("position", F.row_number().over(local).cast("long"))
     spark = rows.sparkSession

@@ -36,7 +36,7 @@ _LOG = "version bigint, slices map<string,map<string,string>>"
 # season between files, and row group statistics then serve filters on it.
 CLUSTERED_BY = {"events": ["id"], "scores": ["event_id", "id"], "player_events": ["event_id", "player_id"]}
 # Scores are clustered by event; these filters tell which row groups hold a player.
-# A row group of a slice has some thousand players, and filters take the room that needs.
+# (Where nobody at all fills a slot there is none for it, and no row group is skipped.)
 _PLAYER_FILTERS = {
     "parquet.bloom.filter.adaptive.enabled": "true",
     **{f"parquet.bloom.filter.enabled#{slot}": "true" for slot in schemas.SLOT_IDS},

@@ -6,11 +6,14 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
+from clubhouse import schemas
 from clubhouse.binding import bound_tables
 from clubhouse.plans import leaderboards, players, wins
 from clubhouse.sources import store
+from clubhouse.tables import conform, empty_tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -39,7 +42,7 @@ REPORTS = [
 def test_no_pairwise_joins_and_no_python(spark, no_broadcast, name):
     for broadcast_rows in (0, 100_000):
         text = plan(QUERIES[name](bound_tables(spark, SF_DIR, broadcast_rows)))
-        # Positions need a window over one row per partition.
+        # Positions are numbered by event, where the event's rows meet.
         bad = ["NestedLoop", "CartesianProduct", "Python"] + ["Window"] * (name != "event_with_teams")
         assert not [b for b in bad if b in text]
 
@@ -81,3 +84,63 @@ def test_podiums_and_one_player_prune_the_scan(spark, league, tmp_path):
     for report in (players.player_stats, players.player_results, players.player_scores):
         text = plan(report(saved, player_id=3))
         assert "EqualTo(player1_id,3)" in text and "EqualTo(player4_id,3)" in text
+
+
+def test_teams_are_shuffled_once(spark, league, tmp_path, no_broadcast):
+    """Numbering, nesting and the join of the events share one shuffle by event."""
+    store.save_tables(league, str(tmp_path))
+    saved = store.load_tables(spark, str(tmp_path))
+    text = plan(leaderboards.event_with_teams(saved, 10))
+    scores = text[: text.index("\n\n")]
+    assert "Checkpoint" not in text and "rangepartitioning" not in text
+    assert text.count("Arguments: hashpartitioning(event_id") == 1 and "Window" in scores
+    # The events are the other side of the only join that is not broadcast.
+    assert text.count("Arguments: hashpartitioning(id") == 1
+    podium = plan(leaderboards.podium_rows(saved))
+    assert "Checkpoint" not in podium and "Scan ExistingRDD" not in podium
+
+
+def test_filters_on_players_skip_row_groups(spark, tmp_path):
+    """1,500 players of whom each plays in a few events: most files hold none of a player's teams."""
+    n = 60_000
+    event = F.col("id") % 3000
+    # Events next to each other have players from all over the table.
+    of = lambda slot: F.pmod(F.xxhash64(F.floor(event / 50)) + F.pmod(F.xxhash64("id", F.lit(slot)), F.lit(20)) * 77, F.lit(1500))
+    scores = spark.range(n).select(
+        "id", event.alias("event_id"), of(1).alias("player1_id"), of(2).alias("player2_id"),
+        *[F.when(F.col("id") % 2 == 0, of(i)).alias(f"player{i}_id") for i in (3, 4)],
+        F.lit(False).alias("disqualified"),
+    )
+    tables = empty_tables(spark).with_tables(scores=conform(scores, "scores"))
+    before, schemas.SLICE_WIDTH["scores"] = schemas.SLICE_WIDTH["scores"], 50
+    try:
+        store.save_tables(tables, str(tmp_path))
+    finally:
+        schemas.SLICE_WIDTH["scores"] = before
+    saved = store.load_tables(spark, str(tmp_path))
+    player = scores.first().player1_id
+    one = saved.scores.where(" OR ".join(f"{slot} = {player}" for slot in schemas.SLOT_IDS))
+    want = scores.where(" OR ".join(f"{slot} = {player}" for slot in schemas.SLOT_IDS)).count()
+    assert one.count() == want > 0
+    # Rows that the scan hands to the filter: whole row groups.
+    one.write.format("noop").mode("overwrite").save()
+    read = rows_scanned(spark)
+    assert want <= read < n / 4
+
+
+def rows_scanned(spark) -> int:
+    """Rows that the scans of the last query read."""
+    state = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    last = state.executionsList().last()
+    metrics = state.executionMetrics(last.executionId())
+    nodes = state.planGraph(last.executionId()).allNodes()
+    total = 0
+    for i in range(nodes.size()):
+        node = nodes.apply(i)
+        if node.name().startswith("Scan parquet"):
+            for j in range(node.metrics().size()):
+                metric = node.metrics().apply(j)
+                if metric.name() == "number of output rows":
+                    total += int(metrics.apply(metric.accumulatorId()).replace(",", ""))
+    return total

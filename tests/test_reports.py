@@ -236,3 +236,19 @@ def test_reports_on_empty_tables(spark, broadcast_rows):
     assert page.latestEvents == [] and page.leaderboardSnippet is None
     assert page.upcomingEvents == [] and page.topPlayers == []
     assert wins.career_wins(nothing).isEmpty() and players.player_stats(nothing).isEmpty()
+
+
+def test_lists_by_collation(spark, league):
+    people = [{"id": i, "first_name": "A", "last_name": n, "hof_inducted": False}
+              for i, n in enumerate(["zeta", "Ärger", "Zoll", "arm", "Öl", None, "Oase"])]
+    grounds = [{"id": i, "name": n, "par": 70} for i, n in enumerate(["b", "Ä", "a", "B", "Z"])]
+    t = league.with_tables(players=frame(spark, "players", people), courses=frame(spark, "courses", grounds))
+    by_bytes = [r[0] for r in rows(players.player_list(t), "last_name")]
+    assert by_bytes == ["Oase", "Zoll", "arm", "zeta", "Ärger", "Öl", None]
+    for collation in ("UNICODE", "de"):
+        listed = [r[0] for r in rows(players.player_list(t, collation=collation), "last_name")]
+        assert listed == ["Ärger", "arm", "Oase", "Öl", "zeta", "Zoll", None]
+        assert [r[0] for r in rows(courses.course_list(t, collation=collation), "name")] == ["a", "Ä", "b", "B", "Z"]
+    assert [r[0] for r in rows(courses.course_list(t), "name")] == ["B", "Z", "a", "b", "Ä"]
+    best = wins.top_players(t.with_tables(scores=league.scores.limit(0)), 3, collation="de")
+    assert [r[0] for r in rows(best, "name")] == ["A", "A Ärger", "A arm"]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal as D
 
 import pytest
 from conftest import day, rows
@@ -222,3 +223,34 @@ def test_documents(league, tmp_path):
     files.write_documents(page, str(path))
     (line,) = [p.read_text() for p in path.glob("part-*") if p.stat().st_size]
     assert json.loads(line) == text
+
+
+def test_rows_of_a_sheet_that_cannot_be_loaded(spark, tmp_path):
+    header = ",".join(schemas.SHEET.names)
+    good = "2025,2025-04-12,Pairs,Links,Town,MN,72,True,False,,True,Ada Birch,,,,68.0,1,"
+    path = tmp_path / "results.csv"
+    lines = [
+        good, good.replace("68.0", "67"), good.replace(",68.0,1,", ",,,DQ"),
+        good.replace("68.0", "sixty"), good.replace("2025-04-12", "12.4.2025"), good.replace("72,True", "72,maybe"),
+        good.replace("2025,2025-04-12,Pairs", ",2025-04-12,"), good + ",more", "2025,2025-04-12",
+        good.replace("Links", "").replace("2025,2025-04-12,Pairs", ",,"),
+    ]
+    path.write_text("\n".join([header, *lines]) + "\n")
+    accepted, rejects = files.read_results_checked(spark, str(path))
+    assert accepted.schema == schemas.SHEET
+    assert sorted(map(str, rows(accepted, "season", "strokes", "placement", "notes", "finalized"))) == sorted(map(str, [
+        (2025, D("68.00"), 1, None, True), (2025, D("67.00"), 1, None, True), (2025, None, None, "DQ", True),
+        (None, D("68.00"), 1, None, True),
+    ]))
+    assert sorted(rows(rejects, "reasons")) == sorted([
+        (["strokes: not decimal(5,2)"],), (["event_date: not date", "event_date: missing"][:1],),
+        (["is_team_event: not boolean"],), (["event_name: missing", "season: missing"],),
+        (["wrong number of fields"],), (["wrong number of fields"],),
+    ])
+    assert [r.line for r in rejects.where("line is not null").orderBy("line").collect()] == ["2025,2025-04-12", good + ",more"]
+    assert rows(rejects.where("strokes = 'sixty'"), "event_name", "season") == [("Pairs", "2025")]
+    whole = tmp_path / "whole.csv"
+    whole.write_text(header + "\n" + good + "\n")
+    strict = files.read_results(spark, str(whole))
+    assert rows(strict) == rows(files.read_results_checked(spark, str(whole))[0])
+    assert files.read_results_checked(spark, str(whole))[1].isEmpty()
