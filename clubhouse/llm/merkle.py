@@ -3,15 +3,17 @@
 With DataFrame operations only. The leaves are the clauses of a paragraph: cuts
 follow white space after a word that ends in a punctuation mark or in one of
 some common letters, so they depend on the text around them and not on its
-position, and an edit changes the leaves it touches only. A paragraph is a line,
-a section is SECTION paragraphs in a row. Every node hashes its children, the
-root hashes the sections. Cutting loses no character, so equal texts have equal
-roots and other texts other roots.
+position, and an edit changes the leaves it touches only. A paragraph is a line.
+A section ends after a paragraph whose hash is a multiple of SECTION, so that an
+inserted paragraph changes one section and moves the others as they are. Every
+node hashes its children, the root hashes the sections. Cutting loses no
+character, so equal texts have equal roots and other texts other roots.
 
 A fingerprint is one string: the root, then each section with its paragraphs and
 their leaves: ``root|section:paragraph.leaf.leaf,paragraph.leaf|section:...``.
 Two fingerprints are compared without the texts: ``likeness`` counts shared
-leaves, ``differing_paragraphs`` walks down the branches that differ.
+leaves, ``edits`` walks down the branches that differ and names the paragraphs
+that are deleted or inserted. Equal roots and equal sections are passed over.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Paragraphs of a section.
+from clubhouse.session import written
+
+#: Paragraphs of a section, on average.
 SECTION = 16
 #: Where a paragraph is cut into leaves: white space after these characters.
 CLAUSE = r"(?<=[.,;:!?)\]}%&*#$|enos]\s)(?=\S)"
@@ -42,12 +46,18 @@ def leaf_hashes(text: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Add ``name`` (the fingerprint) and ``name_leaves`` (distinct leaf hashes)."""
-    hashes, nodes, sections = f"__{name}_h", f"__{name}_p", f"__{name}_s"
+    hashes, nodes, ends, sections = (f"__{name}_{c}" for c in "hpes")
     count = F.size(F.col(nodes))
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / SECTION).cast("int")),
-        lambda i: F.slice(F.col(nodes), i * SECTION + 1, SECTION),
+    cuts = F.filter(
+        F.sequence(F.lit(0), count - 1),
+        lambda i: (F.pmod(F.get(F.col(nodes), i)["hash"], F.lit(SECTION)) == 0) | (i == count - 1),
     )
+
+    def block(end: Column, j: Column) -> Column:
+        begin = F.when(j == 0, F.lit(0)).otherwise(F.get(F.col(ends), j - 1) + 1)
+        return F.slice(F.col(nodes), begin + 1, end - begin + 1)
+
+    blocks = F.transform(F.col(ends), block)
     digest = lambda node: F.hex(F.xxhash64(node))
     section = lambda block: F.concat(
         digest(F.transform(block, lambda p: p["hash"])),
@@ -68,10 +78,11 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
                 ),
             ),
         )
+        .withColumn(ends, cuts)
         .withColumn(sections, F.array_join(F.transform(blocks, section), "|"))
         .withColumn(name, F.concat(F.md5(F.col(sections)), F.lit("|"), F.col(sections)))
         .withColumn(f"{name}_leaves", F.array_distinct(F.flatten(F.col(hashes))))
-        .drop(hashes, nodes, sections)
+        .drop(hashes, nodes, ends, sections)
     )
 
 
@@ -99,28 +110,54 @@ def likeness(one: Column, other: Column) -> Column:
     return leaf_likeness(leaves_of(one), leaves_of(other))
 
 
-def differing_paragraphs(one: Column, other: Column) -> Column:
-    """Places (from 0) of the paragraphs of ``one`` that ``other`` has changed.
+def _unmatched(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes (side, digest, place) without an equal one on the other side.
 
-    Sections that are equal at the same place are passed over; of the others
-    the paragraphs are compared. Paragraphs beyond the end of ``other`` differ.
-    Equal roots give an empty list.
+    The n-th of several equal nodes matches the n-th on the other side.
     """
-    mine = _tail(F.split(one, r"\|"))
-    theirs = _tail(F.split(other, r"\|"))
-
-    def changed(section: Column, i: Column) -> Column:
-        there = F.coalesce(F.get(theirs, i), F.lit(""))
-        ours = F.split(F.substring_index(section, ":", -1), ",")
-        others = F.split(F.substring_index(there, ":", -1), ",")
-        places = F.filter(
-            F.sequence(F.lit(0), F.size(ours) - 1),
-            lambda k: ~F.coalesce(F.get(ours, k) == F.get(others, k), F.lit(False)),
-        )
-        moved = F.transform(places, lambda k: k + i * SECTION)
-        return F.when(section == there, F.array().cast("array<int>")).otherwise(moved)
+    nth = Window.partitionBy(*keys, "side", "digest").orderBy("place")
+    both = Window.partitionBy(*keys, "digest", "nth")
+    return (
+        nodes.withColumn("nth", F.row_number().over(nth))
+        .withColumn("sides", F.count(F.lit(1)).over(both))
+        .where("sides = 1")
+        .drop("nth", "sides")
+    )
 
-    return F.flatten(F.transform(mine, changed))
+
+def edits(df: DataFrame, keys: list[str], one: str, other: str) -> DataFrame:
+    """The paragraphs by which two fingerprints of a row differ.
+
+    ``keys`` identify a row. Returns them with edit ("deleted": a paragraph of
+    ``one`` that ``other`` lacks; "inserted": one that only ``other`` has) and
+    place (from 0, in its own text). A changed paragraph is both, one that only
+    moved is none. Equal fingerprints give no row; a null one is no text at all.
+    """
+    # Written down: a filter on fingerprints must not compute them a second time.
+    df = written(df.select(*keys, one, other))
+    root = lambda c: F.substring_index(c, "|", 1)
+    sides = F.array(
+        F.struct(F.lit("deleted").alias("side"), F.col(one).alias("f")),
+        F.struct(F.lit("inserted").alias("side"), F.col(other).alias("f")),
+    )
+    sections = (
+        df.where(~root(F.col(one)).eqNullSafe(root(F.col(other))))
+        .select(*keys, F.explode(sides).alias("s"))
+        .select(*keys, "s.side", F.posexplode(_tail(F.split("s.f", r"\|"))).alias("place", "section"))
+        .select(
+            *keys, "side", "place",
+            F.substring_index("section", ":", 1).alias("digest"),
+            F.split(F.substring_index("section", ":", -1), ",").alias("paragraphs"),
+        )
+    )
+    earlier = Window.partitionBy(*keys, "side").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(F.size("paragraphs")).over(earlier), F.lit(0))
+    differing = _unmatched(sections.withColumn("first", first), keys)
+    paragraphs = differing.select(*keys, "side", "first", F.posexplode("paragraphs").alias("i", "p")).select(
+        *keys, "side", (F.col("first") + F.col("i")).cast("int").alias("place"),
+        F.substring_index("p", ".", 1).alias("digest"),
+    )
+    return _unmatched(paragraphs, keys).select(*keys, F.col("side").alias("edit"), "place")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,14 +230,18 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = with_fingerprint(rows, F.col("text"), "fingerprint")
     rows = with_fingerprint(rows, F.col("edited_text"), "edited_fingerprint")
     rows = with_fingerprint(rows, F.col("next_text"), "next_fingerprint")
+
+    def near(name: str) -> Column:
+        # Equal roots need no look at the leaves.
+        leaves = leaf_likeness(F.col("fingerprint_leaves"), F.col(f"{name}_leaves"))
+        return F.when(F.col("fingerprint") == F.col(name), 1.0).otherwise(leaves)
+
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         "edited_text",
         "fingerprint",
         "edited_fingerprint",
-        leaf_likeness(F.col("fingerprint_leaves"), F.col("edited_fingerprint_leaves")).alias(
-            "near_edited"
-        ),
-        leaf_likeness(F.col("fingerprint_leaves"), F.col("next_fingerprint_leaves")).alias("near_next"),
+        near("edited_fingerprint").alias("near_edited"),
+        near("next_fingerprint").alias("near_next"),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -185,14 +187,61 @@ def test_fingerprints_of_edited_texts(spark):
     assert found[0].near_edited > found[0].near_next
     assert len({r.fingerprint for r in found}) == len(set(plain))
     one = spark.createDataFrame([(found[0].fingerprint, found[0].edited_fingerprint)], "a string, b string")
-    near, same, moved = one.select(
-        merkle.likeness(F.col("a"), F.col("b")), merkle.likeness(F.col("a"), F.col("a")),
-        merkle.differing_paragraphs(F.col("a"), F.col("b")),
-    ).first()
+    near, same = one.select(
+        merkle.likeness(F.col("a"), F.col("b")), merkle.likeness(F.col("a"), F.col("a"))
+    ).first()
     assert near == pytest.approx(found[0].near_edited) and same == 1
-    kept = plain[0].split("\n")
-    changed = found[0].edited_text.split("\n")
-    assert moved == [i for i, p in enumerate(kept) if i >= len(changed) or changed[i] != p]
+
+
+def test_edits_are_located(spark):
+    rng = random.Random(6)
+    pairs = []
+    for n in (1, 2, 40, 1000):  # one line before, between or after n others
+        lines = [f"line {rng.randrange(n // 3 + 5)} of some" for _ in range(n)]
+        for at in {0, n // 2, n}:
+            pairs.append(("\n".join(lines), "\n".join([*lines[:at], "a new line", *lines[at:]])))
+            pairs.append(("\n".join([*lines[:at], "an old line", *lines[at:]]), "\n".join(lines)))
+    for _ in range(12):
+        lines = [rng.choice(["", "same", f"l{rng.randrange(60)}"]) for _ in range(rng.randint(0, 200))]
+        other = [x for x in lines if rng.random() < 0.95]
+        for _ in range(rng.randint(0, 4)):
+            other.insert(rng.randint(0, len(other)), rng.choice(["", "same", "new"]))
+        pairs.append(("\n".join(lines), "\n".join(other)))
+    pairs += [("", ""), ("a", ""), (pairs[0][0], pairs[0][0])]
+    rows = spark.createDataFrame([(i, 7, *p) for i, p in enumerate(pairs)], "id int, place int, one string, other string")
+    for c in ("one", "other"):
+        rows = merkle.with_fingerprint(rows, F.col(c), f"{c}_f").withColumnRenamed(f"{c}_f_leaves", f"{c}_l")
+    found: dict = {}
+    for i, edit, place in merkle.edits(rows, ["id"], "one_f", "other_f").collect():
+        found.setdefault(i, []).append((edit, place))
+    for i, (one, other) in enumerate(pairs):
+        a, b = one.split("\n"), other.split("\n")
+        mine = found.get(i, [])
+        assert Counter(a[p] for e, p in mine if e == "deleted") == Counter(a) - Counter(b)
+        assert Counter(b[p] for e, p in mine if e == "inserted") == Counter(b) - Counter(a)
+        assert len(set(mine)) == len(mine)
+    assert all(len(found[i]) == 1 for i in range(22))
+
+
+def test_the_tree_is_that_of_its_paragraphs(spark):
+    """Sections end after a paragraph whose hash is a multiple of SECTION; nodes hash children."""
+    text = "\n".join(f"line {i % 50}, with clauses; and ends." for i in range(400))
+    df = spark.createDataFrame([(text,)], "t string")
+    hashes = df.select(merkle.leaf_hashes(F.col("t")).alias("h")).first().h
+    paragraphs = [r[0] for r in spark.createDataFrame([(h,) for h in hashes], "h array<bigint>").select(F.xxhash64("h")).collect()]
+    sections, now = [], []
+    for h in paragraphs:
+        now.append(h)
+        if h % merkle.SECTION == 0:
+            sections, now = [*sections, now], []
+    sections += [now] if now else []
+    digests = spark.createDataFrame([(s,) for s in sections], "h array<bigint>").select(F.hex(F.xxhash64("h"))).collect()
+    fingerprint = merkle.with_fingerprint(df, F.col("t"), "f").first().f
+    root, *rest = fingerprint.split("|")
+    assert [s.split(":")[0] for s in rest] == [d[0] for d in digests] and len(sections) > 5
+    assert root == hashlib.md5("|".join(rest).encode()).hexdigest()
+    named = [p.split(".")[0] for s in rest for p in s.split(":")[1].split(",")]
+    assert named == [f"{h % 2**64:X}" for h in paragraphs]
 
 
 def test_next_document_over_many_ranges(spark):
