@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clubhouse import schemas
 from clubhouse.operators.slots import fill_slots
+from clubhouse.session import written
 from clubhouse.tables import Tables
 
 
@@ -141,6 +142,26 @@ def check_values(df: DataFrame, table: str) -> None:
     refuse(problems.where(F.size("problems") > 0), table)
 
 
+def written_checked(df: DataFrame, table: str) -> DataFrame:
+    """Write a whole table down and check it, or raise.
+
+    Required values and text lengths are observed by the write itself; only the
+    key columns are read again, to find keys that occur twice.
+    """
+    watch = Observation(f"values of {table}")
+    missing = {f"{c}: required value missing": F.count_if(F.col(c).isNull()) for c in schemas.REQUIRED[table]}
+    long = {
+        f"{c}: text too long": F.count_if(F.length(c) > limit) for c, limit in schemas.MAX_LENGTH.get(table, {}).items()
+    }
+    counts = [rows.alias(problem) for problem, rows in {**missing, **long}.items()]
+    rows = written(df.observe(watch, *counts))
+    problems = [f"{problem} ({n} rows)" for problem, n in watch.get.items() if n]
+    if problems:
+        raise IntegrityError(f"{table}: {'; '.join(problems)}")
+    refuse(duplicate_keys(rows, table), f"{table}: duplicate key")
+    return rows
+
+
 def check_table(df: DataFrame, table: str) -> None:
     """Required values, text lengths and unique key of a whole table, or raise."""
     check_values(df, table)

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from clubhouse.operators import load
+from clubhouse.operators import load, quality
 from clubhouse.operators.quality import IntegrityError
 from clubhouse.plans import leaderboards
 from clubhouse.schemas import SHEET
@@ -224,3 +224,17 @@ def test_ambiguous_names_are_refused_at_any_size(spark, league, sheet, broadcast
     one = Tables(**league.as_dict(), broadcast_rows=broadcast_rows)
     with pytest.raises(IntegrityError, match="given twice"):
         load.insert_scores(sheet, once.union(once), one)
+
+
+def test_a_table_is_checked_by_its_write(spark, league):
+    """Values are observed while the rows are written; an empty table is fine."""
+    kept = quality.written_checked(league.players, "players")
+    assert sorted(rows(kept)) == sorted(rows(league.players))
+    assert quality.written_checked(league.players.limit(0), "players").count() == 0
+    for broken, complaint in (
+        (league.players.withColumn("last_name", F.when(F.col("id") > 1, F.col("last_name"))), "last_name: required value"),
+        (league.players.withColumn("nickname", F.repeat(F.lit("x"), 51)), "nickname: text too long"),
+        (league.players.unionByName(league.players), "duplicate key"),
+    ):
+        with pytest.raises(quality.IntegrityError, match=complaint):
+            quality.written_checked(broken, "players")
