@@ -53,18 +53,21 @@ def crowded_groups(rows: DataFrame, group: str, by: str, most: int) -> list[tupl
 
 
 def with_positions(
-    rows: DataFrame, group: str, order: list[str], crowd: int = CROWD
+    rows: DataFrame, group: str, order: list[str], crowd: int = CROWD,
+    counted_in: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``position``: 1, 2, 3, … in the order of each group, NULLs last.
 
     A group is sorted where its rows meet, in one shuffle by group that later steps
     by group can use. Groups of more than ``crowd`` rows are parted at quantiles of the first
     numeric column of ``order`` from which on it decides; a position there is the one
-    within the part, and the sizes of the parts before it are added.
+    within the part, and the sizes of the parts before it are added. ``counted_in`` is a
+    cheaper frame with the group and that column, to look for such groups in; which ones
+    it names changes the work per task, never the positions.
     """
     keys = [F.asc_nulls_last(c) for c in order]
     local = Window.partitionBy(group).orderBy(*keys)
-    marked = crowded_groups(rows, group, order[0], crowd)
+    marked = crowded_groups(rows if counted_in is None else counted_in, group, order[0], crowd)
     if not marked:
         return rows.withColumn("position", F.row_number().over(local).cast("long"))
     spark = rows.sparkSession

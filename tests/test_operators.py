@@ -90,6 +90,43 @@ def test_distinct_slots_keep_later_players(spark):
     assert sorted(rows(found, "p")) == [(1,), (2,), (3,)]
 
 
+def test_tables_of_short_names_are_broadcast_by_their_measured_size(spark, league):
+    from clubhouse.plans.leaderboards import event_scores
+    from clubhouse.tables import Tables
+
+    few = Tables(**league.as_dict(), broadcast_rows=1)
+    assert not few.is_small("players") and few.has_short("players", "first_name", "last_name")
+    long = few.with_tables(players=few.players.withColumn("last_name", F.repeat("last_name", 200)))
+    assert not long.has_short("players", "first_name", "last_name")
+    none = Tables(**league.as_dict(), broadcast_rows=0)
+    assert not none.has_short("players", "first_name", "last_name")
+    want = sorted(rows(event_scores(league)), key=str)
+    for tables in (few, none):
+        assert sorted(rows(event_scores(tables)), key=str) == want
+
+
+def test_rows_travel_to_their_key_with_few_bits_of_its_hash(uneven, keyed):
+    """A whole hash per row does not compress: the row's exchange has to do without."""
+    spark = uneven.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lookup(uneven, keyed, ["key"])._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = [line for line in plan.splitlines() if "CASE WHEN" in line and "xxhash64" in line]
+    assert keys and all("shiftrightunsigned" in line for line in keys)
+
+
+@pytest.mark.parametrize("other", ["fewer", "more"])
+def test_positions_do_not_depend_on_where_crowds_are_counted(spark, other):
+    board = spark.range(400).selectExpr("id", "id % 2 AS event", "CAST(id % 7 AS INT) AS place")
+    counted = board.where("event = 1") if other == "fewer" else board.unionAll(board)
+    plain = with_positions(board, "event", ["place", "id"])
+    parted = with_positions(board, "event", ["place", "id"], crowd=50, counted_in=counted)
+    assert sorted(rows(parted)) == sorted(rows(plain))
+
+
 def test_both_ways_to_fill_slots_agree(spark, league):
     dim = league.players.select(F.col("id").alias("k"), F.col("last_name").alias("v"))
     # Two rows share their id, as broken data might.
