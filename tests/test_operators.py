@@ -98,7 +98,10 @@ def test_tables_of_short_names_are_broadcast_by_their_measured_size(spark, leagu
     assert not few.is_small("players") and few.has_short("players", "first_name", "last_name")
     long = few.with_tables(players=few.players.withColumn("last_name", F.repeat("last_name", 200)))
     assert not long.has_short("players", "first_name", "last_name")
+    names = spark.createDataFrame([("Ada Birch",), ("Ben Cole",)], "raw_full string")
+    assert few.fits(names, 2, "raw_full") and not few.fits(names.select(F.repeat("raw_full", 200).alias("r")), 2, "r")
     none = Tables(**league.as_dict(), broadcast_rows=0)
+    assert not none.fits(names, 2, "raw_full")
     assert not none.has_short("players", "first_name", "last_name")
     want = sorted(rows(event_scores(league)), key=str)
     for tables in (few, none):
