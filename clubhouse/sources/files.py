@@ -42,7 +42,11 @@ def read_results_checked(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     """
     names = schemas.SHEET.names
     text = StructType([StructField(c, StringType()) for c in [*names, "line"]])
-    options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "line"}
+    # Fields are only counted where all are parsed, whichever of them a caller selects.
+    options = {
+        "header": True, "enforceSchema": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "line",
+        "columnPruning": False,
+    }
     rows = spark.read.schema(text).options(**options).csv(path)
     values = {f.name: _typed(f.name, f.dataType) for f in schemas.SHEET.fields}
     broken = F.when(F.col("line").isNotNull(), F.lit("wrong number of fields"))
