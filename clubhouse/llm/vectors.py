@@ -5,8 +5,11 @@ directions into cells; the centres are fitted to a bounded sample. A vector's
 home is the cell of the centre nearest to it. For vectors x at home in cell a
 and y within a distance d of x, y.(c - c_a) <= d |c - c_a| holds for every
 centre c, so y is also sent as a guest to every cell where that holds for the
-centre of its own home and some others. Each cell then holds all partners of the
-vectors at home there, and no pair is lost. Cells are compared in blocks of
+centre of its own home and some others. Each of x and y would so be a guest of the
+other; as one meeting is enough, guests go only to cells of a higher number than
+their home. Each cell then holds all partners, at home there or in cells before it,
+of the vectors at home there, and no pair is lost or met twice. Vectors travel in
+packs, as the numbers of many in one row. Cells are compared in blocks of
 bounded size by matrix products in double precision; a block reports numbers of
 partners and a spanning forest of its links, never the pairs.
 """
@@ -14,6 +17,7 @@ partners and a spanning forest of its links, never the pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,18 @@ THRESHOLD = 0.95
 #: Vectors the centres are fitted to, and of a cell and of a block, about.
 SAMPLE = 20_000
 CELL = 2_000
-BLOCK = 1_024
+BLOCK = 2_048
+#: Vectors of a pack at most, and rows of a block that are compared at once.
+PACK = 256
+_PACKS = 64  # that a task hands over together
+_STEP = 512
 _ITERATIONS = 8
+_PACK = pa.schema(
+    [
+        ("cell", pa.int32()), ("home", pa.bool_()), ("n", pa.int32()),
+        ("v", pa.binary()), ("rep", pa.binary()), ("copies", pa.binary()),
+    ]
+)
 #: Widens the guests' bound so that rounding loses nothing.
 _SLACK = 1e-6
 
@@ -44,7 +58,10 @@ def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of one length as rows of length 1 in double precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return _of_length_one(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
+def _of_length_one(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no over- or underflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -63,7 +80,8 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
 
 
 def cells_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, at home) for all cells where a vector must be present."""
+    """(row, cell, at home) for all cells where a vector must be present: its home, and
+    cells of higher numbers that may have partners of it at home."""
     distance = np.sqrt(max(2 - 2 * threshold, 0)) + _SLACK
     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
     near = x @ centres.T
@@ -73,6 +91,7 @@ def cells_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.n
     for c in np.argsort(-near, axis=1)[:, :8].T:
         ahead = np.take_along_axis(near, c[:, None], 1) - near
         within &= ahead <= distance * apart[c] + _SLACK
+    within &= np.arange(len(centres)) > home[:, None]
     within[np.arange(len(x)), home] = True
     row, cell = np.nonzero(within)
     return row, cell, home[row] == cell
@@ -145,6 +164,7 @@ def _compare(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     spark = classes.sparkSession
     sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()
     centres = spherical_kmeans(unit(sample["v"]), max(1, min(n // CELL, SAMPLE // 8)))
+    length = centres.shape[1]
     shared = spark.sparkContext.broadcast(centres)  # SAMPLE / 8 rows at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,59 +172,78 @@ def _compare(classes: DataFrame, n: int, threshold: float) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 row, cell, home = cells_of(unit(batch.column(0)), shared.value, threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cell, pa.int32()), pa.array(home),
-                        *(batch.column(i).take(pa.array(row)) for i in range(3)),
-                    ],
-                    ["cell", "home", "v", "rep", "copies"],
-                )
+                plain = _plain(batch.column(0))
+                numbers = [batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]
+                order = np.lexsort((row, ~home, cell))
+                row, cell, home = row[order], cell[order], home[order]
+                cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (home[1:] != home[:-1])) + 1
+                packs: list[tuple] = []
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)]):
+                    for i in range(a, b, PACK):
+                        part = row[i : min(i + PACK, b)]
+                        data = (x[part].tobytes() for x in (plain, *numbers))
+                        packs.append((int(cell[a]), bool(home[a]), len(part), *data))
+                        if len(packs) == _PACKS:
+                            yield _packed(packs)
+                            packs = []
+                yield _packed(packs)
 
     placed = written(
         classes.select("v", "rep", "copies").mapInArrow(
-            place, "cell int, home boolean, v array<double>, rep long, copies long"
+            place, "cell int, home boolean, n int, v binary, rep binary, copies binary"
         )
     )
-    at_home, all_here = F.count_if("home"), F.count(F.lit(1))
+    at_home, all_here = F.sum(F.when(F.col("home"), F.col("n"))), F.sum("n")
     blocks = placed.groupBy("cell").agg(
         F.ceil(at_home / BLOCK).cast("int").alias("rows"), F.ceil(all_here / BLOCK).cast("int").alias("cols")
     )
     # One row per cell, SAMPLE / 8 at most.
     blocks = blocks.where("rows > 0")
+    # A pack is known by its vectors: no two at home in a cell, or guests there, share one.
     spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     both = placed.join(F.broadcast(blocks), "cell")
+    packs = ["home", "n", "v", "rep", "copies"]
     homes = both.where("home").select(
-        "cell", spread(F.col("rows")).alias("i"), F.explode(numbers("cols")).alias("j"),
-        F.lit(True).alias("is_row"), "v", "rep", "copies",
+        "cell", spread(F.col("rows")).alias("i"), F.explode(numbers("cols")).alias("j"), F.lit(True).alias("is_row"), *packs
     )
     others = both.select(
-        "cell", F.explode(numbers("rows")).alias("i"), spread(F.col("cols")).alias("j"),
-        F.lit(False).alias("is_row"), "v", "rep", "copies",
+        "cell", F.explode(numbers("rows")).alias("i"), spread(F.col("cols")).alias("j"), F.lit(False).alias("is_row"), *packs
     )
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         is_row = table["is_row"].to_numpy()
-        reps, copies = table["rep"].to_numpy(), table["copies"].to_numpy()
-        a, b = np.flatnonzero(is_row), np.flatnonzero(~is_row)
-        if not len(a) or not len(b):
+        if is_row.all() or not is_row.any():
             return
-        x = unit(table["v"])
-        linked = x[a] @ x[b].T >= threshold
-        linked &= reps[a][:, None] != reps[b][None, :]
-        some = np.flatnonzero(linked.any(axis=1))
+        rows, cols = (_unpacked(table.filter(pa.array(side)), length) for side in (is_row, ~is_row))
+        ids, node = np.unique(np.concatenate([rows.rep, cols.rep]), return_inverse=True)
+        of_row, of_col = node[: len(rows.rep)], node[len(rows.rep) :]
+        # Pairs of which both are at home meet from either side, a guest meets its partner once.
+        partners = np.zeros(len(ids), np.int64)
+        links = []
+        for at in range(0, len(rows.rep), _STEP):
+            here = slice(at, at + _STEP)
+            linked = rows.v[here] @ cols.v.T >= threshold
+            r, c = np.nonzero(linked)
+            r += at
+            apart = of_row[r] != of_col[c]
+            r, c = r[apart], c[apart]
+            np.add.at(partners, of_row[r], cols.copies[c])
+            guest = ~cols.home[c]
+            np.add.at(partners, of_col[c[guest]], rows.copies[r[guest]])
+            label = forest([(of_row[r], of_col[c])], len(ids))
+            joined = np.flatnonzero(label != np.arange(len(ids)))
+            links.append((joined, label[joined]))
+        some = np.flatnonzero(partners)
         if not len(some):
             return
-        partners = linked[some] @ copies[b]
-        ids, node = np.unique(reps, return_inverse=True)
-        r, c = np.nonzero(linked)
-        label = forest([(node[a][r], node[b][c])], len(ids))
+        label = forest(links, len(ids))
         joined = np.flatnonzero(label != np.arange(len(ids)))
         none = lambda n: pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([reps[a][some], ids[joined]])),
-                pa.concat_arrays([pa.array(partners.astype(np.int64)), none(len(joined))]),
+                pa.array(np.concatenate([ids[some], ids[joined]])),
+                pa.concat_arrays([pa.array(partners[some]), none(len(joined))]),
                 pa.concat_arrays([none(len(some)), pa.array(ids[label[joined]])]),
             ],
             ["rep", "partners", "other"],
@@ -213,3 +252,35 @@ def _compare(classes: DataFrame, n: int, threshold: float) -> DataFrame:
     return by_group(
         homes.unionByName(others), ["cell", "i", "j"], compare, "rep long, partners long, other long"
     )
+
+
+def _packed(packs: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*packs)) if packs else [()] * len(_PACK)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACK)], schema=_PACK)
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as they are, in single precision where that holds them exactly."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return short if (short == x).all() else x
+
+
+@dataclass
+class _Unpacked:
+    v: np.ndarray
+    rep: np.ndarray
+    copies: np.ndarray
+    home: np.ndarray
+
+
+def _unpacked(packs: pa.Table, length: int) -> _Unpacked:
+    """The vectors of some packs, with length 1, and what belongs to them."""
+    sizes = packs["n"].to_numpy()
+    parts = []
+    for data, n in zip(packs["v"].to_pylist(), sizes.tolist()):
+        kind = np.float32 if len(data) == 4 * n * length else np.float64
+        parts.append(np.frombuffer(data, kind).astype(np.float64).reshape(n, length))
+    rep, copies = (np.frombuffer(b"".join(packs[c].to_pylist()), np.int64) for c in ("rep", "copies"))
+    return _Unpacked(_of_length_one(np.concatenate(parts)), rep, copies, np.repeat(packs["home"].to_numpy(), sizes))

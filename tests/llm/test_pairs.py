@@ -72,6 +72,35 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block, cell):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_meet_once_and_travel_in_packs(spark, monkeypatch):
+    """A vector is at home in one cell and a guest in later ones only, and rows hold many vectors."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = vectors.spherical_kmeans(x, 12)
+    row, cell, at_home = vectors.cells_of(x, centres, 0.9)
+    home = np.empty(len(x), int)
+    home[row[at_home]] = cell[at_home]
+    assert at_home.sum() == len(x) and (cell[~at_home] > home[row[~at_home]]).all()
+    placed = set(zip(row.tolist(), cell.tolist()))
+    for i, j in np.argwhere(x @ x.T >= 0.9):
+        late, early = (i, j) if home[i] >= home[j] else (j, i)
+        assert (early, home[late]) in placed
+    for name, n in (("CELL", 25), ("BLOCK", 20), ("PACK", 7), ("_PACKS", 3), ("_STEP", 6)):
+        monkeypatch.setattr(vectors, name, n)
+    sent = []
+    monkeypatch.setattr(vectors, "by_group", lambda rows, *rest: (sent.append(rows), groups.by_group(rows, *rest))[1])
+    # Vectors that need double precision, and copies of some.
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[i].tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {r.vec_id: r.n_links for r in vectors.near_duplicates(df, threshold=0.9).collect()}
+    u = np.concatenate([x, x[:30]])
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert [found[i] for i, _ in rows] == want.tolist()
+    # Before, a row was a vector.
+    assert sent[0].count() < 0.5 * sent[0].agg({"n": "sum"}).first()[0]
+
+
 # -- near copies -------------------------------------------------------------------------
 
 
