@@ -11,15 +11,16 @@ to the library whole. The result is what the library gives for the whole text.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import filterfalse
 
 import numpy as np
 
 #: Chunks a worker remembers, and the longest one in characters.
 CACHE_CHUNKS = 400_000
 CACHED_LENGTH = 48
-#: New chunks that the library encodes together.
-LINE_CHUNKS = 64
+#: New chunks that the library encodes together, and so few that they go one by one
+#: where that does not work.
+LINE_CHUNKS = 256
+FEW_CHUNKS = 16
 
 
 def _text(chunks: list) -> str:
@@ -45,21 +46,39 @@ class ChunkEncoder:
     ):
         self._encode, self._opens = encode, opens
         self._irregular, self._lead = irregular, "" if bare_start else " "
+        # Two generations: when the younger is full, it takes the elder's place, and
+        # what is met again returns. Frequent chunks are so never encoded anew.
         self._known: dict[str, bytes] = {}
+        self._elder: dict[str, bytes] = {}
+        self._bare: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._encode(text), np.int32).tobytes()
 
+    def _first(self, chunk: str) -> bytes:
+        ids = self._bare.get(chunk)
+        if ids is None:
+            ids = self._whole(_text([chunk]))
+            if len(chunk) <= CACHED_LENGTH:
+                self._bare[chunk] = ids
+        return ids
+
     def _learn(self, missing: list[str]) -> None:
         for at in range(0, len(missing), LINE_CHUNKS):
-            part = missing[at : at + LINE_CHUNKS]
-            ids = np.asarray(self._encode(self._lead + _text(part)), np.int32)
-            begins = np.flatnonzero(self._opens[ids])
-            if len(begins) != len(part) or begins[0]:
-                self._known.update((c, self._whole(self._lead + _text([c]))) for c in part)
-                continue
+            self._learn_line(missing[at : at + LINE_CHUNKS])
+
+    def _learn_line(self, part: list[str]) -> None:
+        ids = np.asarray(self._encode(self._lead + _text(part)), np.int32)
+        begins = np.flatnonzero(self._opens[ids])
+        if len(begins) == len(part) and not begins[0]:
             data, cuts = ids.tobytes(), [*(begins * 4).tolist(), 4 * len(ids)]
             self._known.update((c, data[a:b]) for c, a, b in zip(part, cuts, cuts[1:]))
+        elif len(part) > FEW_CHUNKS:
+            half = len(part) // 2
+            self._learn_line(part[:half])
+            self._learn_line(part[half:])
+        else:
+            self._known.update((c, self._whole(self._lead + _text([c]))) for c in part)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
@@ -71,23 +90,29 @@ class ChunkEncoder:
         return self._all(chunked, [""] * len(chunked))
 
     def _all(self, chunked: list[list | None], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known = self._known
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
+        if len(self._known) > CACHE_CHUNKS // 2:
+            self._known, self._elder = {}, self._known
+        if len(self._bare) > CACHE_CHUNKS // 8:
+            self._bare.clear()
+        known, found = self._known, []
         missing: set = set()
         for chunks in chunked:
-            if chunks:
-                missing.update(filterfalse(known.__contains__, chunks))
+            # The first chunk has no space before it and so may have ids of its own.
+            inner = chunks[1:] if chunks and self._lead else chunks
+            ids = list(map(known.get, inner)) if inner else []
+            missing.update(c for c, known_ids in zip(inner or [], ids) if known_ids is None)
+            found.append((inner, ids))
+        met = missing & self._elder.keys()
+        known.update(zip(met, map(self._elder.__getitem__, met)))
+        missing -= met
         self._learn(list(missing))
-        look = known.__getitem__
         rows = []
-        for text, chunks in zip(texts, chunked):
+        for text, chunks, (inner, ids) in zip(texts, chunked, found):
             if not chunks:
                 rows.append(self._whole(text))
-            elif self._lead:
-                rows.append(self._whole(_text(chunks[:1])) + b"".join(map(look, chunks[1:])))
-            else:
-                rows.append(b"".join(map(look, chunks)))
+                continue
+            row = b"".join([known[c] if known_ids is None else known_ids for c, known_ids in zip(inner, ids)])
+            rows.append(self._first(chunks[0]) + row if self._lead else row)
         for chunk in missing:
             if len(chunk) > CACHED_LENGTH:
                 del known[chunk]

@@ -124,6 +124,24 @@ def test_byte_level_ids_equal_the_library():
         assert ids[end - n : end].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_met_before_are_not_encoded_again(monkeypatch):
+    from clubhouse.llm import chunks
+
+    monkeypatch.setattr(chunks, "CACHE_CHUNKS", 8)
+    library = Tokenizer.from_file(BYTES)
+    library.encode_special_tokens = True
+    tokenfiles.byte_level_encoder.cache_clear()
+    encode = tokenfiles.byte_level_encoder(BYTES)
+    asked, plain = [], encode._encode
+    encode._encode = lambda text: asked.append(text) or plain(text)
+    texts = [f"the cat and the {i}th dog <|endoftext|> x\n{i} the cat" for i in range(20)]  # with ever new chunks
+    for text in texts:
+        ids, counts = encode([text])
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    assert sum(" cat" in a for a in asked) == 1 and asked.count("the") == 1  # before: again after every full cache
+    tokenfiles.byte_level_encoder.cache_clear()
+
+
 def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfiles, "FRAME_IDS", 40)
     library = Tokenizer.from_file(BYTES)
