@@ -35,6 +35,8 @@ ROUNDS = 3
 #: ones: so many of each class in a round, if it is as sure as this.
 HANDED = 150
 SURE = 0.95
+#: Documents whose features reach the driver together, some 5 MB.
+PIECE = 512
 #: Rows of labels that may be broadcast: ids alone, 8 bytes each.
 KNOWN_ROWS = 1_000_000
 GRAMS = 1 << 11
@@ -127,11 +129,13 @@ class Linear:
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 200) -> Linear:
     """Fit by accelerated gradient steps; both classes weigh the same. The many
     hashed features count for less than the few others."""
-    scale = (1 / np.maximum(x.std(axis=0), 1e-2)).astype(np.float32)
+    # Some columns at a time: a copy of all features is made once, as z.
+    spread = np.concatenate([x[:, at : at + 128].std(axis=0) for at in range(0, x.shape[1], 128)])
+    scale = (1 / np.maximum(spread, 1e-2)).astype(np.float32)
     if x.shape[1] == CONTENT:
         scale[_SHAPE : _SHAPE + 256] *= 0.3
         scale[_SHAPE + 256 :] *= 0.05
-    z = x.astype(np.float32) * scale
+    z = x.astype(np.float32, copy=False) * scale
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y <= 0).sum(), 1))
     # Single precision throughout: a mixed product would copy all features.
     w, b = np.zeros(z.shape[1], np.float32), 0.0
@@ -221,12 +225,16 @@ def _features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = rows.mapInArrow(run, f"doc_id {kind}, content binary, metadata binary")
-    table = made.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    made = written(made.dropDuplicates(["doc_id"]))
+    ids = made.select("doc_id").orderBy("doc_id").toArrow()["doc_id"].to_pylist()
     width = {"content": CONTENT, "metadata": 2 * CATEGORIES + _NUMBERS}
-    views = [
-        np.frombuffer(b"".join(table[c].to_pylist()), np.float32).reshape(-1, n) for c, n in width.items()
-    ]
-    return table["doc_id"].to_pylist(), *views
+    views = [np.empty((len(ids), n), np.float32) for n in width.values()]
+    for at in range(0, len(ids), PIECE):
+        part = ids[at : at + PIECE]
+        piece = made.where(F.col("doc_id").between(part[0], part[-1])).orderBy("doc_id").toArrow()
+        for view, c in zip(views, width):
+            view[at : at + len(part)] = np.frombuffer(b"".join(piece[c].to_pylist()), np.float32).reshape(len(part), -1)
+    return ids, *views
 
 
 def _surest(rows: DataFrame, models: list[Linear], handed: set) -> list[tuple]:

@@ -101,6 +101,39 @@ def test_quality_of_odd_rows(spark):
     assert quality.accepted(frame(spark, []), model).count() == 0
 
 
+def test_features_reach_the_driver_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PIECE", 4)
+    sizes = []
+    kind = type(spark.range(1))
+    plain = kind.toArrow
+
+    def counted(df):
+        table = plain(df)
+        sizes.append((table.num_rows, table.num_columns))
+        return table
+
+    monkeypatch.setattr(kind, "toArrow", counted)
+    texts = [f"text {i} of some " + "words " * i for i in range(11)]
+    docs = frame(spark, texts).repartition(3)
+    ids, content, metadata = quality._features(quality._texts(docs.unionByName(docs)))
+    assert ids == [10 * i for i in range(11)]
+    every = pa.array(texts, pa.large_string())
+    assert (content == quality.content_features(every)).all()
+    assert (metadata == quality.metadata_features(every, ["en"] * 11, ["s"] * 11)).all()
+    assert max(n for n, columns in sizes if columns > 1) == 4  # before, all at once
+    none = quality._features(quality._texts(docs.limit(0)))
+    assert none[0] == [] and none[1].shape == (0, quality.CONTENT)
+
+
+def test_scales_of_some_columns_at_a_time_are_those_of_all():
+    x = np.random.default_rng(1).random((300, quality.CONTENT)).astype(np.float32)
+    y = (np.arange(300) % 2).astype(float)
+    scale = (1 / np.maximum(x.std(axis=0), 1e-2)).astype(np.float32)
+    scale[quality._SHAPE : quality._SHAPE + 256] *= 0.3
+    scale[quality._SHAPE + 256 :] *= 0.05
+    assert (quality.fit(x, y, steps=1).scale == scale).all()
+
+
 # -- scoring --------------------------------------------------------------------------
 
 
