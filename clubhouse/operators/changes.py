@@ -21,6 +21,7 @@ from clubhouse.operators.quality import (
     duplicate_ids,
     refuse,
 )
+from clubhouse.session import written
 from clubhouse.tables import Tables, conform
 
 # What an update may set.
@@ -29,6 +30,9 @@ UPDATABLE = {
     "courses": [c for c in schemas.COURSES.names if c != "id"],
     "scores": ["strokes", "placement", "notes"],
 }
+# An update of up to this many rows is broadcast to the table. Beyond that the table
+# moves by id once and is written down.
+FEW_CHANGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -77,21 +81,21 @@ def update_rows(
     refuse(duplicate_ids(changes), f"{table}: an id is changed twice")
     columns = UPDATABLE[table]
     current = conform(getattr(tables, table), table)
-    new = conform(changes, table).select("id", F.struct(*columns).alias("new"))
-    is_changed = F.col("new").isNotNull()
-    joined = current.join(new, "id", "left").select(
-        *[
-            F.when(is_changed, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
-            if c in columns
-            else c
-            for c in current.columns
-        ]
+    new = conform(changes, table).select("id", F.struct(*columns).alias("__new"))
+    few = new.count() <= min(FEW_CHANGES, tables.broadcast_rows)
+    told = current.join(F.broadcast(new) if few else new, "id", "left")
+    if not few:
+        # Several steps look at the rows, each at other ones.
+        told = written(told)
+    is_changed = F.col("__new").isNotNull()
+    stays, changes_now = told.where(~is_changed).drop("__new"), told.where(is_changed)
+    before = changes_now.drop("__new")
+    affected = changes_now.select(
+        *[F.col(f"__new.{c}").alias(c) if c in columns else c for c in current.columns]
     )
-    before = current.join(changes.select("id"), "id", "left_semi")
-    after = tables.with_rows_changed(table, joined, before)
     if refresh and table == "scores":
-        after = after.with_rows_changed("scores", refresh_to_par(after, changes), before)
-    affected = getattr(after, table).join(changes.select("id"), "id", "left_semi")
+        affected = refresh_to_par(tables.with_tables(scores=affected))
+    after = tables.with_rows_changed(table, stays.unionByName(affected), before)
     check_changed_rows(after, table, affected, columns)
     return Change(after, affected, not_found(current, changes))
 

@@ -91,6 +91,19 @@ def test_update_scores(spark, either):
     assert {r[0] for r in rows(fresh.where("id <> 12"), "to_par")} == {0}  # not changed, kept
 
 
+def test_a_large_update_moves_the_table_once(spark, large):
+    new = spark.createDataFrame(
+        [(12, 80, None, "recount"), (22, 70, 2, None)], "id long, strokes int, placement int, notes string"
+    )
+    after = changes.update_rows(large, "scores", new).tables.scores
+    # The rows are written down by now: whoever reads them joins nothing any more.
+    assert "Join" not in after._jdf.queryExecution().optimizedPlan().toString()
+    assert len(after.inputFiles()) > 0
+    assert sorted(rows(after, "id", "strokes")) == [
+        (11, 70), (12, 80), (13, 75), (21, 66), (22, 70), (23, None), (31, 71),
+    ]
+
+
 def test_update_players_overwrites_with_nulls(spark, league):
     new = spark.createDataFrame(
         [(1, "Ada", "Ash")], "id long, first_name string, last_name string"
