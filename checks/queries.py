@@ -32,6 +32,8 @@ from clubhouse.tables import Tables, conform, empty_tables
 
 # Teams on a page of a nested document.
 PAGE = 10_000
+# Sheets and documents repeat much text. A file is what one task wrote, so that one can read it.
+COMPRESSION = "gzip"
 # The player of the queries about one player.
 ONE_PLAYER = 7
 
@@ -207,7 +209,7 @@ def _load_from_staging(t: Tables) -> DataFrame:
 
 def _csv_sheet(t: Tables) -> DataFrame:
     path = shared_path(t.spark, "sheet")
-    files.write_csv(bound_sheet(t), path)
+    files.write_csv(bound_sheet(t), path, compression=COMPRESSION)
     return files.read_results(t.spark, path)
 
 
@@ -248,14 +250,14 @@ def _sheet_with_faults(t: Tables) -> DataFrame:
 
 def _sheet_rejects(t: Tables) -> DataFrame:
     path = shared_path(t.spark, "faults")
-    files.write_csv(_sheet_with_faults(t), path)
+    files.write_csv(_sheet_with_faults(t), path, compression=COMPRESSION)
     _, rejects = files.read_results_checked(t.spark, path)
     return rejects.select("event_name", "player1_full", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def _sheet_accepted(t: Tables) -> DataFrame:
     path = shared_path(t.spark, "faults")
-    files.write_csv(_sheet_with_faults(t), path)
+    files.write_csv(_sheet_with_faults(t), path, compression=COMPRESSION)
     good, _ = files.read_results_checked(t.spark, path)
     return good.select("event_name", "event_date", "season", "player1_full", "strokes", "placement", "notes")
 
@@ -291,7 +293,7 @@ def _conflicting_changes(t: Tables) -> DataFrame:
 def _json_documents(t: Tables) -> DataFrame:
     path = shared_path(t.spark, "documents")
     documents = leaderboards.event_with_teams(t, PAGE)
-    files.write_documents(documents, path)
+    files.write_documents(documents, path, compression=COMPRESSION)
     return _team_lines(files.read_documents(t.spark, path, documents.schema))
 
 

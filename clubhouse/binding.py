@@ -133,22 +133,27 @@ def bound_sheet(tables: Tables) -> DataFrame:
         F.col("state").alias("course_state"),
         F.col("par").alias("course_par"),
     )
-    sheet = tables.scores.drop("to_par", "disqualified").join(
-        sheet_events(tables).join(course, "course_id").select(
-            F.col("id").alias("event_id"), "season", F.col("date").alias("event_date"),
-            F.col("name").alias("event_name"), "course_name", "course_city", "course_state",
-            "course_par", "is_team_event", "is_major", "major_label", "finalized",
-        ),
-        "event_id",
+    facts = sheet_events(tables).join(course, "course_id").select(
+        F.col("id").alias("event_id"), "season", F.col("date").alias("event_date"),
+        F.col("name").alias("event_name"), "course_name", "course_city", "course_state",
+        "course_par", "is_team_event", "is_major", "major_label", "finalized",
     )
     names = tables.players.select(
         F.col("id").alias("__player"), full_name("first_name", "last_name").alias("__name")
     )
-    named = fill_slots(
-        sheet, names, SLOT_IDS, SHEET_NAMES,
-        small=tables.has_short("players", "first_name", "last_name"),
-        keys_from=tables.scores,
-    )
+    scores = tables.scores.drop("id", "to_par", "disqualified")
+    small = tables.has_short("players", "first_name", "last_name")
+
+    def with_names(rows: DataFrame) -> DataFrame:
+        return fill_slots(
+            rows, names, SLOT_IDS, SHEET_NAMES, small=small, keys_from=tables.scores, keep=False
+        )
+
+    # What moves once per slot should not have the wide facts with it yet.
+    if small:
+        named = with_names(scores.join(facts, "event_id"))
+    else:
+        named = with_names(scores).join(facts, "event_id")
     return named.select(
         "season", "event_date", "event_name", "course_name", "course_city", "course_state",
         "course_par", "is_team_event", "is_major", "major_label", "finalized",

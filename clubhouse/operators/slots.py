@@ -53,13 +53,15 @@ def fill_slots(
     outputs: list[str],
     small: bool,
     keys_from: DataFrame | None = None,
+    keep: bool = True,
 ) -> DataFrame:
     """Look up every slot column in ``dim`` (its columns: key, value).
 
     With a small ``dim`` that is one broadcast join per slot, otherwise one
     shuffled lookup per slot, all with the frequent keys of one sketch over
     all slots. Rows with an empty slot travel spread out. ``keys_from`` is a cheaper frame
-    with the slots to take frequent keys from.
+    with the slots to take frequent keys from. Without ``keep`` a slot that was looked
+    up is left out, so that it does not travel on to the next lookup.
     """
     key, value = dim.columns
     hot = None
@@ -69,6 +71,7 @@ def fill_slots(
     for slot, output in zip(slots, outputs):
         side = dim.select(F.col(key).alias(slot), F.col(value).alias(output))
         df = lookup(df, side, [slot], small=small, hot=hot)
+        df = df if keep else df.drop(slot)
     return df
 
 

@@ -86,20 +86,20 @@ def as_json(document: DataFrame) -> DataFrame:
     )
 
 
-def write_documents(document: DataFrame, path: str) -> None:
-    """One JSON object per line."""
-    document.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_documents(document: DataFrame, path: str, compression: str | None = None) -> None:
+    """One JSON object per line; ``compression`` as Spark names it, such as gzip."""
+    document.write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression=compression)
 
 
-def write_csv(rows: DataFrame, path: str, short_flags: bool = False) -> None:
+def write_csv(rows: DataFrame, path: str, short_flags: bool = False, compression: str | None = None) -> None:
     """Rows as CSV files with a header; ``short_flags`` writes booleans as t and
-    f, as backups have them."""
+    f, as backups have them. ``compression`` as Spark names it, such as gzip."""
     flags = {
         f.name: F.when(F.col(f.name), "t").when(~F.col(f.name), "f")
         for f in rows.schema.fields
         if short_flags and f.dataType.typeName() == "boolean"
     }
-    (rows.withColumns(flags) if flags else rows).write.option("header", True).csv(path)
+    (rows.withColumns(flags) if flags else rows).write.option("header", True).csv(path, compression=compression)
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -214,3 +214,12 @@ def test_many_heavy_keys_are_all_found(spark):
         assert max(sizes) < 3 * 20_000 / len(sizes)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_slots_that_were_looked_up_do_not_travel_on(league, large):
+    dim = league.players.select(F.col("id").alias("player"), F.col("last_name").alias("label"))
+    found = fill_slots(large.scores.select("id", *SLOT_IDS), dim, SLOT_IDS, SLOT_NAMES, small=False, keep=False)
+    assert found.columns == ["id", *SLOT_NAMES]
+    assert sorted(rows(found, "id", "player1_name", "player2_name"))[:3] == [
+        (11, "Birch", "Birch"), (12, "Cole", None), (13, "Drake", "Cole"),
+    ]

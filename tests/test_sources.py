@@ -212,6 +212,19 @@ def test_backups(spark, tmp_path):
     assert event.notes is None
 
 
+def test_compressed_sheets_and_documents(spark, league, tmp_path):
+    names = league.players.select(
+        F.concat_ws(" ", "first_name", "last_name").alias("raw_full"), "first_name", "last_name"
+    )
+    files.write_csv(names, str(tmp_path / "names"), compression="gzip")
+    assert all(f.endswith(".csv.gz") for f in spark.read.text(str(tmp_path / "names")).inputFiles())
+    assert sorted(rows(files.read_name_map(spark, str(tmp_path / "names")))) == sorted(rows(names))
+    files.write_documents(league.events, str(tmp_path / "events"), compression="gzip")
+    assert all(f.endswith(".json.gz") for f in spark.read.text(str(tmp_path / "events")).inputFiles())
+    read = files.read_documents(spark, str(tmp_path / "events"), league.events.schema)
+    assert sorted(map(str, rows(read))) == sorted(map(str, rows(league.events)))
+
+
 def test_documents(league, tmp_path):
     page = homepage.homepage(league, day(3), 10)
     text = json.loads(files.as_json(page).first().value)
