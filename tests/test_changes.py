@@ -104,6 +104,19 @@ def test_a_large_update_moves_the_table_once(spark, large):
     ]
 
 
+def test_updates_where_ids_repeat_or_are_missing(spark, either):
+    again = either.scores.where("id IN (12, 13)").withColumn("id", F.when(F.col("id") == 12, F.col("id")))
+    odd = either.with_tables(scores=either.scores.unionByName(again).unionByName(either.scores.where("id = 12")))
+    new = spark.createDataFrame(
+        [(12, 80, None, "recount"), (None, 1, 1, None)], "id long, strokes int, placement int, notes string"
+    )
+    for refresh in (False, True):
+        after = changes.update_rows(odd, "scores", new, refresh=refresh).tables.scores
+        assert sorted(map(str, rows(after, "id", "strokes"))) == sorted(map(str, [
+            (11, 70), (12, 80), (12, 80), (12, 80), (13, 75), (21, 66), (22, 70), (23, None), (31, 71), (None, 75),
+        ]))
+
+
 def test_update_players_overwrites_with_nulls(spark, league):
     new = spark.createDataFrame(
         [(1, "Ada", "Ash")], "id long, first_name string, last_name string"
