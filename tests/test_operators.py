@@ -12,6 +12,7 @@ from clubhouse.operators.slots import (
     add_player_names,
     explode_slots,
     fill_slots,
+    fill_slots_at_once,
     hydrate_names,
     members,
 )
@@ -223,3 +224,17 @@ def test_slots_that_were_looked_up_do_not_travel_on(league, large):
     assert sorted(rows(found, "id", "player1_name", "player2_name"))[:3] == [
         (11, "Birch", "Birch"), (12, "Cole", None), (13, "Drake", "Cole"),
     ]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_slots_are_filled_at_once_as_one_by_one(spark, repeated):
+    """Broken data too: equal rows, null and repeated ids, unknown players, a team with most rows."""
+    teams = [(i % 5 or None, 2, 3, i % 7 or None, 99 if i % 2 else None) for i in range(60)] + [(1, 4, None, None, None)] * 200
+    scores = spark.createDataFrame([(*t, "x") for t in teams], ["id", *SLOT_IDS, "notes"]).where("id IS NULL OR id < 9")
+    listed = [(2, "B"), (3, None), (4, "D"), (5, "E"), (None, "nobody")] + [(2, "Bb")] * repeated
+    dim = spark.createDataFrame(listed, "k long, v string")
+    by_one = fill_slots(scores, dim, SLOT_IDS, SLOT_NAMES, small=True)
+    for asked in (None, scores.drop("notes").union(scores.drop("notes").limit(3))):
+        at_once = fill_slots_at_once(scores, dim, SLOT_IDS, SLOT_NAMES, asked)
+        assert at_once.columns == by_one.columns
+        assert sorted(rows(at_once), key=str) == sorted(rows(by_one), key=str)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
 from clubhouse import schemas
-from clubhouse.binding import bound_tables
-from clubhouse.plans import leaderboards, players, wins
+from clubhouse.binding import bound_sheet, bound_tables
+from clubhouse.operators import load
+from clubhouse.plans import leaderboards, players, presentation, wins
 from clubhouse.sources import store
 from clubhouse.tables import conform, empty_tables
 
@@ -59,6 +60,23 @@ def test_small_tables_are_broadcast_large_ones_shuffled(league, large, no_broadc
     assert "SortMergeJoin" in text and "approx_top_k" in text
 
 
+def test_rows_move_once_for_the_names_of_a_large_table(spark, large, no_broadcast):
+    reports = [
+        leaderboards.event_scores(large), leaderboards.score_list(large), leaderboards.event_with_teams(large, 10),
+        players.player_scores(large), players.player_results(large), presentation.score_labels(large),
+        bound_sheet(bound_tables(spark, SF_DIR, 0)),
+    ]
+    for report in reports:
+        text = plan(report)
+        assert "hashpartitioning(__team" in text
+        assert not [i for i in (1, 2, 3, 4) if f"hashpartitioning(player{i}" in text]
+
+
+def test_staged_events_are_written_once(spark):
+    tables = bound_tables(spark, SF_DIR)
+    assert "course_city" not in plan(load.upsert_events(bound_sheet(tables), tables))
+
+
 def test_distinct_counts_do_not_expand_rows(spark):
     text = plan(players.player_stats(bound_tables(spark, SF_DIR)))
     assert "Expand" not in text
