@@ -238,3 +238,31 @@ def test_a_table_is_checked_by_its_write(spark, league):
     ):
         with pytest.raises(quality.IntegrityError, match=complaint):
             quality.written_checked(broken, "players")
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+def test_of_equally_placed_rows_of_a_team_missing_values_come_first(spark, league, broadcast_rows):
+    """A missing place or missing strokes rank as the greatest number, missing notes as empty ones;
+    where that leaves a tie, the row without the value stands."""
+    last = 2**31 - 1
+    tables = Tables(**league.as_dict(), broadcast_rows=broadcast_rows)
+    event, course = tables.events.where("id = 1").first(), tables.courses.where("id = 1").first()
+    names = spark.createDataFrame([("A", "Ada", "Birch"), ("B", "Ben", "Cole")], ["raw_full", "first_name", "last_name"])
+    options = [(p, s, n) for p in (None, last, 3) for s in (None, 70) for n in (None, "", "b")]
+    for given in ([(None, 70, ""), (last, 70, ""), (last, 70, None)], [(3, None, "b"), (3, 70, "b")], options, options[:12]):
+        lines = [
+            {"event_name": event.name, "event_date": event.date, "course_name": course.name, "course_city": course.city,
+             "course_state": course.state, "player1_full": "A", "player3_full": "B", "strokes": s, "placement": p, "notes": n}
+            for p, s, n in given
+        ]
+        sheet = spark.createDataFrame([tuple(r.get(c) for c in SHEET.names) for r in lines], ", ".join(
+            f"{f.name} {'int' if f.name == 'strokes' else f.dataType.simpleString()}" for f in SHEET.fields
+        ))
+        (found,) = rows(
+            load.staged_scores(sheet, names, tables), "player1_id", "player2_id", "player3_id", "placement", "strokes", "notes", "par"
+        )
+        least = min(given, key=lambda r: (
+            last if r[0] is None else r[0], last if r[1] is None else r[1], r[2] or "",
+            r[1] is not None, r[0] is not None, r[2] is not None,
+        ))
+        assert found == (1, None, 2, *least, course.par)

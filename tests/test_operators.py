@@ -238,3 +238,8 @@ def test_slots_are_filled_at_once_as_one_by_one(spark, repeated):
         at_once = fill_slots_at_once(scores, dim, SLOT_IDS, SLOT_NAMES, asked)
         assert at_once.columns == by_one.columns
         assert sorted(rows(at_once), key=str) == sorted(rows(by_one), key=str)
+
+
+def test_numbering_keeps_its_rows_as_compressed_columns(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("n"))
+    assert "parquet" in dense_index(df, ["n"])._jdf.queryExecution().toString()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
 from clubhouse import schemas
-from clubhouse.binding import bound_sheet, bound_tables
+from clubhouse.binding import bound_name_map, bound_sheet, bound_tables
 from clubhouse.operators import load
 from clubhouse.plans import leaderboards, players, presentation, wins
 from clubhouse.sources import store
@@ -72,6 +72,12 @@ def test_rows_move_once_for_the_names_of_a_large_table(spark, large, no_broadcas
         assert not [i for i in (1, 2, 3, 4) if f"hashpartitioning(player{i}" in text]
 
 
+def test_names_of_a_large_sheet_move_its_rows_once(spark, no_broadcast):
+    tables = bound_tables(spark, SF_DIR, 0)
+    text = plan(load.staged_scores(bound_sheet(tables), bound_name_map(tables), tables))
+    assert "hashpartitioning(player4_full" not in text and "hashpartitioning(__team" in text
+
+
 def test_staged_events_are_written_once(spark):
     tables = bound_tables(spark, SF_DIR)
     assert "course_city" not in plan(load.upsert_events(bound_sheet(tables), tables))
