@@ -240,6 +240,23 @@ def test_slots_are_filled_at_once_as_one_by_one(spark, repeated):
         assert sorted(rows(at_once), key=str) == sorted(rows(by_one), key=str)
 
 
+@pytest.mark.parametrize("repeated", [(False, False), (True, False), (False, True), (True, True)])
+def test_facts_and_slots_at_once_as_one_after_the_other(spark, repeated):
+    """Null, unknown and repeated events, repeated players, a team with most rows, an event with most rows."""
+    teams = [(i, i % 4 or None, i % 5 or None, 2, i % 7 or None, None) for i in range(60)]
+    teams += [(60 + i, 3 if i % 2 else i % 9, 1, 4, None, None) for i in range(200)]
+    columns = ", ".join(f"{c} long" for c in ["id", "event_id", *SLOT_IDS])
+    scores = spark.createDataFrame(teams, columns).drop("id").withColumn("notes", F.lit("x"))
+    events = [(1, "One", 70), (2, None, None), (3, "Three", 72), (None, "none", 1)] + [(3, "Again", 71)] * repeated[0]
+    facts = spark.createDataFrame(events, "event_id long, event_name string, par int")
+    listed = [(1, "A"), (2, "B"), (3, None), (4, "D"), (None, "nobody")] + [(2, "Bb")] * repeated[1]
+    dim = spark.createDataFrame(listed, "k long, v string")
+    one = fill_slots(lookup(scores, facts, ["event_id"], "inner", small=True), dim, SLOT_IDS, SLOT_NAMES, small=True)
+    both = fill_slots_at_once(scores, dim, SLOT_IDS, SLOT_NAMES, facts=facts)
+    assert both.columns == one.columns
+    assert sorted(rows(both), key=str) == sorted(rows(one), key=str)
+
+
 def test_numbering_keeps_its_rows_as_compressed_columns(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("n"))
     assert "parquet" in dense_index(df, ["n"])._jdf.queryExecution().toString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,22 @@ def test_rows_move_once_for_the_names_of_a_large_table(spark, large, no_broadcas
         assert not [i for i in (1, 2, 3, 4) if f"hashpartitioning(player{i}" in text]
 
 
+def moved_by(text: str, column: str) -> list[str]:
+    """The columns of every exchange by a column."""
+    return re.findall(rf"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\({column}#", text)
+
+
+def test_rows_move_once_for_large_events_and_names(large, no_broadcast):
+    reports = [
+        leaderboards.event_scores(large), leaderboards.score_list(large),
+        players.player_scores(large), players.player_results(large),
+    ]
+    for report in reports:
+        text = plan(report)
+        assert not [c for c in moved_by(text, "event_id") if "player1_id" in c]
+        assert len([c for c in moved_by(text, "__team") if "player1_id" in c]) == 1
+
+
 def test_names_of_a_large_sheet_move_its_rows_once(spark, no_broadcast):
     tables = bound_tables(spark, SF_DIR, 0)
     text = plan(load.staged_scores(bound_sheet(tables), bound_name_map(tables), tables))
